@@ -148,14 +148,17 @@ def backtest_frame(
 ) -> DataFrame:
     """Rows of the frame with every fold they belong to and their split.
 
-    The folds come as an array of at most ``plan.folds`` entries and each row explodes
-    those that reach it, so no join is needed. With ``horizons`` only evaluation rows
+    The folds come as an array of at most ``plan.folds`` entries that each row explodes,
+    so no join is needed. With ``horizons`` only evaluation rows
     are kept, once for each horizon that covers them.
     """
     day = F.col(roles.date)
     folds = fold_array(frame.select(roles.date), plan, roles.date).scalar()
-    reached = F.filter(folds, lambda f: day <= f["eval_end_date"])
-    with_fold = frame.withColumn("_f", F.explode(reached)).select(*frame.columns, "_f.*")
+    with_fold = (
+        frame.withColumn("_f", F.explode(folds))
+        .filter(day <= F.col("_f.eval_end_date"))
+        .select(*frame.columns, "_f.*")
+    )
     split = F.when(day <= F.col("train_end_date"), "train").otherwise("eval")
     out = with_fold.withColumn("split", split)
     if not horizons:

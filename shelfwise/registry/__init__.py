@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from shelfwise.registry import data, demand, forecasts, models, tests  # noqa: F401
+    from shelfwise.registry import data, demand, effects, forecasts, models  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
