@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import Roles
 from shelfwise.functions.columns import require_columns
+from shelfwise.functions.lineage import pin
 from shelfwise.functions.ordered import running_counts
 from shelfwise.functions.tails import chi_square_upper, f_upper
 
@@ -87,14 +88,15 @@ def ols_overall(series: DataFrame) -> DataFrame:
     """The same columns for one model over all segments.
 
     The fit sums the normal equations over the partitions, so the rows are never
-    brought together. The levels of the dummies, at most 7 and 12, are read first.
+    brought together. The levels of the dummies, at most 7 and 12, are read first. The
+    series is written once because both fits and the result read it.
     """
     require_columns(series, ["units", *COVARIATES, *DUMMIES], "series")
     names = list(COVARIATES)
-    wide = series
+    wide = series = pin(series, "series")
+    found = series.agg(*[F.collect_set(dummy).alias(dummy) for dummy in DUMMIES]).first()
     for dummy in DUMMIES:
-        levels = sorted(row[0] for row in series.select(dummy).distinct().collect())
-        for level in levels[1:]:
+        for level in sorted(found[dummy])[1:]:
             wide = wide.withColumn(f"{dummy}_{level}", (F.col(dummy) == level).cast("double"))
             names.append(f"{dummy}_{level}")
     rows = VectorAssembler(inputCols=names, outputCol="_x").transform(wide)

@@ -375,7 +375,7 @@ did_report AS (
   SELECT m.cluster, m.product_class, l.campaign_start, n_1 AS n_treated_stores, n_0 AS n_control_stores,
     l.tp AS treated_pre_mean_other_class_units, l.tq AS treated_post_mean_other_class_units,
     l.cp AS control_pre_mean_other_class_units, l.cq AS control_post_mean_other_class_units,
-    mean_1 - mean_0 AS did_effect_other_class_units, 100 * (mean_1 - mean_0) / l.cp AS did_pct_of_control_pre,
+    mean_1 - mean_0 AS did_effect_other_class_units, 100 * (mean_1 - mean_0) / nullif(l.cp, 0) AS did_pct_of_control_pre,
     b.ci_low AS did_ci95_low, b.ci_high AS did_ci95_high, {_T_TAIL.format(t="welch_t", v="welch_df")} AS welch_t_pvalue
   FROM (SELECT *, {_WELCH} FROM did_moments WHERE n_1 >= 2 AND n_0 >= 2) m
   JOIN boot b ON m.cluster = b.cluster AND m.product_class = b.product_class
