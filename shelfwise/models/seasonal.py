@@ -1,10 +1,10 @@
 """Per-segment seasonal forecaster with outside inputs.
 
-Each segment's series is one group of one row per calendar day. The model is an
-autoregression with moving-average terms at non-seasonal and weekly lags, estimated
-by two least-squares passes: a long autoregression gives the shocks, and the second
-pass regresses on lagged values, lagged shocks and the outside inputs. Forecasts are
-recursive: beyond the first day they use the model's own predictions.
+Each segment's series is one group of one row per calendar day. The model is a
+regression on outside inputs whose errors are autoregressive with moving-average
+terms at non-seasonal and weekly lags. All steps are least squares; there is no
+maximum-likelihood search. Forecasts are recursive: beyond the first day they use
+the model's own predictions.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def _lag_set(short: int, seasonal: int, period: int) -> list[int]:
 
 def _filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The differenced series; the first ``len(weights) - 1`` entries are lost."""
-    return np.apply_along_axis(lambda c: np.convolve(c, weights, mode="valid"), 0, x)
+    lost = len(weights) - 1
+    return sum(v * x[lost - j : len(x) - j] for j, v in enumerate(weights))
 
 
 def _lagged(x: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
@@ -73,18 +74,45 @@ def _stable(coefficients: np.ndarray, lags: Sequence[int]) -> tuple[np.ndarray,
     return coefficients * np.power(0.99 / largest, np.array(lags)), False
 
 
+def _solve(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(design, target, rcond=None)[0]
+
+
+def _error_model(
+    u: np.ndarray, ar: Sequence[int], ma: Sequence[int], long_lags: Sequence[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Coefficients of the error series and its shocks, by two least-squares passes."""
+    start = max(long_lags, default=0)
+    long = _solve(_lagged(u, long_lags, start), u[start:]) if long_lags else np.empty(0)
+    shocks = np.zeros(len(u))
+    shocks[start:] = u[start:] - _lagged(u, long_lags, start) @ long
+    phi, theta = (long, np.empty(0)) if not ma else (np.empty(0), np.empty(0))
+    if ma:
+        first = start + max(ma)
+        both = np.column_stack([_lagged(u, ar, first), _lagged(shocks, ma, first)])
+        coefficients = _solve(both, u[first:])
+        phi, theta = coefficients[: len(ar)], coefficients[len(ar) :]
+        shocks[first:] = u[first:] - both @ coefficients
+    phi, stable = _stable(phi, ar)
+    return phi, theta, shocks, stable
+
+
 def seasonal_regression(
     history: np.ndarray, known: np.ndarray, future: np.ndarray, order: SeasonalOrder
 ) -> Forecast:
-    """Fit on ``history`` with inputs ``known`` and forecast one value per row of ``future``."""
+    """Regression on outside inputs whose errors follow the seasonal order.
+
+    ``known`` has the inputs of ``history``; one value is forecast per row of ``future``.
+    The regression is estimated again on series filtered by a long autoregression of
+    its first errors, so correlated errors do not blur the input effects.
+    """
     weights = _difference_weights(order)
     lost = len(weights) - 1
-    scale = known.std(axis=0)
+    scale, center = known.std(axis=0), known.mean(axis=0)
     use = scale > 0
-    center = known.mean(axis=0)
     inputs = (np.vstack([known, future]) - center)[:, use] / scale[use]
     w = _filtered(history[:, None], weights)[:, 0]
-    x = _filtered(inputs, weights)
+    x = np.column_stack([np.ones(len(inputs) - lost), _filtered(inputs, weights)])
     ar, ma = _lag_set(order.p, order.sp, order.period), _lag_set(order.q, order.sq, order.period)
     n, horizon = len(w), len(future)
     long_lags = list(range(1, max([*ar, *ma, order.period]) + 2)) if ma else ar
@@ -92,33 +120,26 @@ def seasonal_regression(
     if n - start < x.shape[1] + 2 * len(long_lags) + 10:
         raise ValueError("series too short for this order")
 
-    def solve(lagged: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-        design = np.column_stack([np.ones(n - first), x[first:n], lagged])
-        coefficients, *_ = np.linalg.lstsq(design, w[first:], rcond=None)
-        return coefficients, w[first:] - design @ coefficients
-
-    coefficients, residual = solve(_lagged(w, long_lags, start), start)
-    shocks = np.concatenate([np.zeros(start), residual])
-    if ma:
-        first = start + max(ma)
-        both = np.column_stack([_lagged(w, ar, first), _lagged(shocks, ma, first)])
-        coefficients, residual = solve(both, first)
-        shocks = np.concatenate([np.zeros(first), residual])
-    k = 1 + x.shape[1]
-    phi, stable = _stable(coefficients[k : k + len(ar)], ar)
-    theta = coefficients[k + len(ar) :]
-    w_all, e_all = np.concatenate([w, np.zeros(horizon)]), np.concatenate([shocks, np.zeros(horizon)])
+    beta = _solve(x[:n], w)
+    if long_lags:
+        u = w - x[:n] @ beta
+        rho = _solve(_lagged(u, long_lags, start), u[start:])
+        flat_w = w[start:] - _lagged(w, long_lags, start) @ rho
+        flat_x = x[start:n] - sum(
+            r * x[start - lag : n - lag] for r, lag in zip(rho, long_lags)
+        )
+        beta = _solve(flat_x, flat_w)
+    u = w - x[:n] @ beta
+    phi, theta, shocks, stable = _error_model(u, ar, ma, long_lags)
+    u_all, e_all = np.concatenate([u, np.zeros(horizon)]), np.concatenate([shocks, np.zeros(horizon)])
     y_all = np.concatenate([history, np.zeros(horizon)])
-    for h in range(horizon):
-        t = n + h
-        value = coefficients[0] + x[t] @ coefficients[1:k]
-        value += sum(c * w_all[t - lag] for c, lag in zip(phi, ar))
-        value += sum(c * e_all[t - lag] for c, lag in zip(theta, ma))
-        w_all[t] = value
+    for t in range(n, n + horizon):
+        u_all[t] = sum(c * u_all[t - lag] for c, lag in zip(phi, ar))
+        u_all[t] += sum(c * e_all[t - lag] for c, lag in zip(theta, ma))
         at = lost + t
-        y_all[at] = value - sum(weights[j] * y_all[at - j] for j in range(1, lost + 1))
+        y_all[at] = x[t] @ beta + u_all[t] - sum(weights[j] * y_all[at - j] for j in range(1, lost + 1))
     values = y_all[len(history) :]
-    return Forecast(values, stable and bool(np.all(np.isfinite(values))), residual)
+    return Forecast(values, stable and bool(np.all(np.isfinite(values))), shocks[start:])
 
 
 def _forecast_group(

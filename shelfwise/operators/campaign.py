@@ -22,14 +22,10 @@ UNIT = [*PAIR, "store_id"]
 FACT_COLUMNS = ["date", "store_id", "cluster", "product_class", "units", "on_promotion"]
 
 
-def cross_class_panel(fact: DataFrame) -> DataFrame:
-    """Units per store, class and day with the units of the store's other classes.
-
-    The fact shuffles once, into (store, class, day) rows. The window behind it holds
-    the classes of one store on one day.
-    """
+def store_class_days(fact: DataFrame) -> DataFrame:
+    """Units and promotion per store, class and day."""
     require_columns(fact, FACT_COLUMNS, "fact")
-    rows = (
+    return (
         fact.filter(F.col("cluster").isNotNull() & F.col("product_class").isNotNull())
         .filter(F.col("store_id").isNotNull() & F.col("date").isNotNull())
         .groupBy("cluster", "store_id", "date", "product_class")
@@ -38,6 +34,13 @@ def cross_class_panel(fact: DataFrame) -> DataFrame:
             F.bool_or(flag(F.col("on_promotion"))).alias("promo_active"),
         )
     )
+
+
+def with_other_classes(rows: DataFrame) -> DataFrame:
+    """Add the units of the store's other classes on the day.
+
+    The window holds the classes of one store on one day.
+    """
     store_day = Window.partitionBy("cluster", "store_id", "date")
     total = F.sum("units").over(store_day)
     return rows.withColumn("store_day_total_units", total).withColumn(
@@ -45,6 +48,11 @@ def cross_class_panel(fact: DataFrame) -> DataFrame:
     )
 
 
+def cross_class_panel(fact: DataFrame) -> DataFrame:
+    """Units per store, class and day with the units of the store's other classes."""
+    return with_other_classes(store_class_days(fact))
+
+
 def promo_days(panel: DataFrame) -> DataFrame:
     """Days on promotion and the first of them per cluster, class and store."""
     active = F.col("promo_active")

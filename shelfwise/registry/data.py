@@ -87,20 +87,20 @@ def write_training_table(spark, folder):
 )
 def store_coordinates(spark, folder):
     target = fresh_path(spark, "coordinates")
-    star.coordinates(spark, folder).write.option("header", True).csv(target)
+    star.coordinates(star.Star(spark, folder)).write.option("header", True).csv(target)
     return raw.read_store_coordinates(spark, target)
 
 
 @query("local_events", with_base("SELECT date, event_name, store_id, event_intensity FROM events_in"))
 def local_events(spark, folder):
     target = fresh_path(spark, "events")
-    star.events(spark, folder).write.option("header", True).csv(target)
+    star.events(star.Star(spark, folder)).write.option("header", True).csv(target)
     return raw.read_local_events(spark, target)
 
 
 @query("weather_explode", with_base("SELECT * FROM weather"))
 def weather_explode(spark, folder):
-    return raw.explode_weather(star.weather_payloads(spark, folder))
+    return raw.explode_weather(star.weather_payloads(star.Star(spark, folder)))
 
 
 @query(
@@ -112,7 +112,7 @@ def weather_explode(spark, folder):
 def promo_flag_parse(spark, folder):
     text = F.col("onpromotion")
     return (
-        star.sales(spark, folder)
+        star.sales(star.Star(spark, folder))
         .groupBy("onpromotion", promo_flag(text).alias("on_promotion"))
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("unit_sales").alias("units"))
     )
@@ -120,7 +120,7 @@ def promo_flag_parse(spark, folder):
 
 @query("holiday_daily", with_base("SELECT date, is_holiday_event FROM holiday_daily"))
 def holiday_daily(spark, folder):
-    return enrich.holiday_daily(star.holidays(spark, folder))
+    return enrich.holiday_daily(star.holidays(star.Star(spark, folder)))
 
 
 @query(
@@ -129,8 +129,9 @@ def holiday_daily(spark, folder):
                  FROM oil_daily"""),
 )
 def oil_impute(spark, folder):
-    dates = star.sales(spark, folder).select("date").distinct()
-    return enrich.oil_daily(star.oil(spark, folder), dates)
+    source = star.Star(spark, folder)
+    dates = star.sales(source).select("date").distinct()
+    return enrich.oil_daily(star.oil(source), dates)
 
 
 @query(
@@ -152,18 +153,19 @@ LEFT JOIN city c ON f.date = c.date""",
     ),
 )
 def merge_external(spark, folder):
-    weather = raw.explode_weather(star.weather_payloads(spark, folder))
-    return enrich.merge_external(fact(spark, folder), weather, star.events(spark, folder))
+    source = star.Star(spark, folder)
+    weather = raw.explode_weather(star.weather_payloads(source))
+    return enrich.merge_external(fact(spark, folder), weather, star.events(source))
 
 
 @query("negative_units", with_base("SELECT * FROM dirty WHERE units < 0"))
 def negative_units(spark, folder):
-    return quality.negative_units(star.dirty_sales(spark, folder))
+    return quality.negative_units(star.dirty_sales(star.Star(spark, folder)))
 
 
 @query("null_ids", with_base("SELECT * FROM dirty WHERE store_id IS NULL OR product_id IS NULL"))
 def null_ids(spark, folder):
-    return quality.null_ids(star.dirty_sales(spark, folder))
+    return quality.null_ids(star.dirty_sales(star.Star(spark, folder)))
 
 
 @query(
@@ -171,7 +173,7 @@ def null_ids(spark, folder):
     with_base("SELECT * FROM dirty WHERE units = 0 AND NOT coalesce(on_promotion, false)"),
 )
 def stockout_candidates(spark, folder):
-    return quality.stockout_candidates(star.dirty_sales(spark, folder))
+    return quality.stockout_candidates(star.dirty_sales(star.Star(spark, folder)))
 
 
 @query(
@@ -185,7 +187,7 @@ spans AS (SELECT store_id, unnest(generate_series(min(date), max(date), INTERVAL
     ),
 )
 def missing_dates(spark, folder):
-    return quality.missing_dates(star.dirty_sales(spark, folder), segment=["store_id"])
+    return quality.missing_dates(star.dirty_sales(star.Star(spark, folder)), segment=["store_id"])
 
 
 @query(
@@ -205,7 +207,7 @@ def missing_pair_dates(spark, folder):
     All of them are listed by the operator; at scale factor 0.01 that is already
     millions of rows, so the query sums them up.
     """
-    listed = quality.missing_dates(star.dirty_sales(spark, folder))
+    listed = quality.missing_dates(star.dirty_sales(star.Star(spark, folder)))
     per_pair = listed.groupBy("store_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     return per_pair.groupBy("store_id").agg(
         F.sum("n").alias("n_missing"), F.count(F.lit(1)).alias("n_products")
@@ -227,7 +229,7 @@ FROM dirty""",
     ),
 )
 def validation_summary(spark, folder):
-    return quality.validation_summary(star.dirty_sales(spark, folder))
+    return quality.validation_summary(star.dirty_sales(star.Star(spark, folder)))
 
 
 @query(
@@ -245,8 +247,9 @@ SELECT 'store_transactions', count_if(store_transactions IS NULL),
     ),
 )
 def missing_profile(spark, folder):
-    sales = star.dirty_sales(spark, folder)
-    traffic = enrich.store_traffic(star.transactions(spark, folder))
+    source = star.Star(spark, folder)
+    sales = star.dirty_sales(source)
+    traffic = enrich.store_traffic(star.transactions(source))
     return quality.missing_profile(sales.join(traffic, ["store_id", "date"], "left"))
 
 
@@ -260,7 +263,7 @@ SELECT count(*) AS rows, 5 AS columns, count(DISTINCT store_id) AS unique_stores
 FROM dirty"""),
 )
 def key_counts(spark, folder):
-    return quality.key_counts(star.dirty_sales(spark, folder))
+    return quality.key_counts(star.dirty_sales(star.Star(spark, folder)))
 
 
 @query(
@@ -342,7 +345,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY h) AS place FROM hashed) WHERE place
     ),
 )
 def row_sample(spark, folder):
-    rows = star.sales(spark, folder).select(
+    rows = star.sales(star.Star(spark, folder)).select(
         "date",
         F.col("store_nbr").alias("store_id"),
         F.col("item_nbr").alias("product_id"),

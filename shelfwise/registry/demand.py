@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import counts, evaluate, features, profile
 from shelfwise.registry import query
-from shelfwise.registry.inputs import fact, frame, light_fact, round_all, rounded, total
+from shelfwise.registry.inputs import classed_fact, frame, light_fact, round_all, rounded, total
 from shelfwise.registry.views import with_base, with_more
 from shelfwise.sources import star
 
@@ -123,7 +123,7 @@ SELECT cluster, perishable, round(avg(units), 6) AS avg_units, round(quantile_co
 FROM fact GROUP BY cluster, perishable"""),
 )
 def segment_summary(spark, folder):
-    return round_all(profile.segment_summary(fact(spark, folder)))
+    return round_all(profile.segment_summary(classed_fact(spark, folder)))
 
 
 @query(
@@ -134,8 +134,9 @@ SELECT cluster, count(*) AS rows, round(100 * avg((units = 0)::INT), 2) AS zero_
 FROM dirty JOIN stores USING (store_id) GROUP BY cluster"""),
 )
 def zero_negative_rates(spark, folder):
-    clusters = star.stores(spark, folder).withColumnRenamed("store_nbr", "store_id")
-    joined = star.dirty_sales(spark, folder).join(clusters, "store_id", "left")
+    source = star.Star(spark, folder)
+    clusters = star.stores(source).withColumnRenamed("store_nbr", "store_id")
+    joined = star.dirty_sales(source).join(clusters, "store_id", "left")
     return profile.zero_negative_rates(joined)
 
 

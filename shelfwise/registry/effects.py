@@ -16,7 +16,7 @@ from shelfwise.operators.two_sample import (
     rank_sums,
     welch_columns,
 )
-from shelfwise.plans import promotion
+from shelfwise.plans import cannibalization, promotion
 from shelfwise.registry import query
 from shelfwise.registry.inputs import (
     any_days,
@@ -29,6 +29,7 @@ from shelfwise.registry.inputs import (
     total,
 )
 from shelfwise.registry.views import with_more
+from shelfwise.sources import star
 
 # The SQL twins recompute every draw, so the checked queries use few replicates and
 # the hash that other engines have.
@@ -314,7 +315,8 @@ cases AS (SELECT * FROM (VALUES """
         + """) t(scenario, promo_intensity, oil_change, holiday)),
 lifted AS (SELECT cluster, mean_0, scenario, promo_intensity, oil_change, holiday,
                   promo_intensity * (mean_1 - mean_0) / mean_0 - oil_change * 0.12::DOUBLE
-                  + CASE WHEN holiday THEN 0.11::DOUBLE ELSE 0 END AS lift FROM promo_moments, cases)""",
+                  + CASE WHEN holiday THEN 0.11::DOUBLE ELSE 0 END AS lift FROM promo_moments, cases
+           WHERE n_1 >= 30 AND n_0 >= 30)""",
         """ SELECT cluster, round(mean_0, 6) AS mean_nonpromo, scenario, promo_intensity, oil_change, holiday,
                    round(lift, 6) AS total_lift, round(mean_0 * (1 + lift), 6) AS estimated_units FROM lifted""",
     ),
@@ -396,21 +398,21 @@ _DID_COLUMNS = """cluster, product_class, campaign_start, n_treated_stores, n_co
 
 
 def panel(spark, folder):
-    return campaign.cross_class_panel(fact(spark, folder))
+    return cannibalization.panel(star.raw_tables(spark, folder))
 
 
 def window(spark, folder):
-    rows = panel(spark, folder)
-    return campaign.did_panel(rows, campaign.did_roles(rows, CAMPAIGNS), CAMPAIGNS)
+    return cannibalization.window(star.raw_tables(spark, folder), CAMPAIGNS)
 
 
 def effects(spark, folder):
-    return campaign.did_effects(campaign.did_store_change(window(spark, folder)), CAMPAIGNS)
+    return cannibalization.report(star.raw_tables(spark, folder), CAMPAIGNS)
 
 
 @query("cross_class_panel", with_more(_PANEL, " SELECT * FROM panel"))
 def cross_class_panel(spark, folder):
-    return panel(spark, folder)
+    """The operator on the row-level fact."""
+    return campaign.cross_class_panel(fact(spark, folder))
 
 
 @query("promo_days", with_more(_PANEL, " SELECT * FROM store_promo"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
 from shelfwise.operators import features
-from shelfwise.operators.enrich import base_daily_sales
+from shelfwise.operators.enrich import base_daily_sales, product_classes
 from shelfwise.plans import segment_day
 from shelfwise.sources import star
 
@@ -55,6 +55,12 @@ def light_fact(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def classed_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """Light fact with the product's class and kind."""
+    classes = product_classes(star.products(star.Star(spark, folder)))
+    return light_fact(spark, folder).join(classes, "product_id", "left")
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Round columns whose last bits depend on the order of summation."""
     return df.withColumns({name: F.round(F.col(name), digits) for name in names})
@@ -63,6 +69,3 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
     return rounded(df, *[name for name, kind in df.dtypes if kind == "double"], digits=digits)
 
-
-def integer(value: Column) -> Column:
-    return value.cast("int")

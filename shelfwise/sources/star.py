@@ -13,18 +13,27 @@ from pyspark.sql import functions as F
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+class Star:
+    """The tables of one folder; each file listing is read once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._tables[name]
 
 
 def _day(name: str):
     return F.col(name).cast("date")
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
+def sales(star: Star) -> DataFrame:
     """date, store_nbr, item_nbr, unit_sales, onpromotion (text, null when no discount)."""
     discount = F.col("l_discount")
-    return table(spark, folder, "lineitem").select(
+    return star.table("lineitem").select(
         _day("l_shipdate").alias("date"),
         F.col("l_suppkey").alias("store_nbr"),
         F.col("l_partkey").alias("item_nbr"),
@@ -33,7 +42,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
+def dirty_sales(star: Star) -> DataFrame:
     """Sales with returns as negative units, zero units and missing stores."""
     tax, discount = F.col("l_tax"), F.col("l_discount")
     units = (
@@ -42,7 +51,7 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("l_quantity"))
     )
     store = F.when(~((tax >= 0.075) & (discount >= 0.085)), F.col("l_suppkey"))
-    return table(spark, folder, "lineitem").select(
+    return star.table("lineitem").select(
         _day("l_shipdate").alias("date"),
         store.alias("store_id"),
         F.col("l_partkey").alias("product_id"),
@@ -51,36 +60,36 @@ def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stores(spark: SparkSession, folder: str) -> DataFrame:
-    nation = F.broadcast(table(spark, folder, "nation"))  # a fixed table of 25 rows
-    supplier = table(spark, folder, "supplier")
+def stores(star: Star) -> DataFrame:
+    nation = F.broadcast(star.table("nation"))  # a fixed table of 25 rows
+    supplier = star.table("supplier")
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
         F.col("s_suppkey").alias("store_nbr"), F.col("n_regionkey").alias("cluster")
     )
 
 
-def products(spark: SparkSession, folder: str) -> DataFrame:
+def products(star: Star) -> DataFrame:
     types = F.array(*[F.lit(t) for t in PART_TYPES])
-    return table(spark, folder, "part").select(
+    return star.table("part").select(
         F.col("p_partkey").alias("item_nbr"),
         F.array_position(types, F.col("p_type")).cast("int").alias("class"),
         (F.col("p_size") <= 25).cast("int").alias("perishable"),
     )
 
 
-def _order_days(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+def _order_days(star: Star) -> DataFrame:
+    return star.table("orders").select(
         _day("o_orderdate").alias("date"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
 
 
-def holidays(spark: SparkSession, folder: str) -> DataFrame:
+def holidays(star: Star) -> DataFrame:
     """Order days 1, 15 and 25 of a month; those of June and December are transferred."""
     day = F.dayofmonth("date")
     kind = F.when(day == 1, "Holiday").when(day == 25, "Event").when(day == 15, "Work Day")
     return (
-        _order_days(spark, folder)
+        _order_days(star)
         .select("date")
         .distinct()
         .select(
@@ -92,11 +101,11 @@ def holidays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def oil(spark: SparkSession, folder: str) -> DataFrame:
+def oil(star: Star) -> DataFrame:
     """Price signal with two decimals; null on Saturdays, no row on Sundays."""
     price = F.expr("sum(cents) div (count(*) * 1000)") / 100.0
     return (
-        _order_days(spark, folder)
+        _order_days(star)
         .groupBy("date")
         .agg(price.alias("price"))
         .filter(F.weekday("date") < 6)
@@ -104,10 +113,10 @@ def oil(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
+def transactions(star: Star) -> DataFrame:
     """Orders with taxed lines per store and day; days without any have no row."""
     return (
-        table(spark, folder, "lineitem")
+        star.table("lineitem")
         .filter(F.col("l_tax") >= 0.005)
         .groupBy(_day("l_shipdate").alias("date"), F.col("l_suppkey").alias("store_nbr"))
         .agg(F.countDistinct("l_orderkey").cast("double").alias("transactions"))
@@ -115,26 +124,28 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The six raw tables by name."""
+    star = Star(spark, folder)
     return {
-        "sales": sales(spark, folder),
-        "stores": stores(spark, folder),
-        "products": products(spark, folder),
-        "holidays": holidays(spark, folder),
-        "oil": oil(spark, folder),
-        "transactions": transactions(spark, folder),
+        "sales": sales(star),
+        "stores": stores(star),
+        "products": products(star),
+        "holidays": holidays(star),
+        "oil": oil(star),
+        "transactions": transactions(star),
     }
 
 
-def store_days(spark: SparkSession, folder: str) -> DataFrame:
+def store_days(star: Star) -> DataFrame:
     """Distinct (store_id, date) of the sales."""
     return (
-        sales(spark, folder)
+        sales(star)
         .select(F.col("store_nbr").alias("store_id"), "date")
         .distinct()
     )
 
 
-def weather_payloads(spark: SparkSession, folder: str) -> DataFrame:
+def weather_payloads(star: Star) -> DataFrame:
     """One JSON payload per store with a value for each of its sales days.
 
     A store has at most one entry per calendar day, so the arrays are bounded.
@@ -150,7 +161,7 @@ def weather_payloads(spark: SparkSession, folder: str) -> DataFrame:
         wind.alias("wind"),
     )
     series = (
-        store_days(spark, folder)
+        store_days(star)
         .groupBy("store_id")
         .agg(F.array_sort(F.collect_list(entry)).alias("s"))
     )
@@ -167,12 +178,12 @@ def weather_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return series.select("store_id", payload.alias("payload"))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def events(star: Star) -> DataFrame:
     """City-wide events on 20 March and 20 September, and one August day per store.
 
     The store's day in August is its nation number plus one.
     """
-    days = sales(spark, folder).select("date").distinct()
+    days = sales(star).select("date").distinct()
     city = days.filter(
         (F.dayofmonth("date") == 20) & F.month("date").isin(3, 9)
     ).select(
@@ -181,11 +192,11 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("bigint").alias("store_id"),
         F.lit(1.5).alias("event_intensity"),
     )
-    nation_of = table(spark, folder, "supplier").select(
+    nation_of = star.table("supplier").select(
         F.col("s_suppkey").alias("store_id"), "s_nationkey"
     )
     shop = (
-        store_days(spark, folder)
+        store_days(star)
         .filter(F.month("date") == 8)
         .join(nation_of, "store_id")
         .filter(F.dayofmonth("date") == F.col("s_nationkey") + 1)
@@ -199,9 +210,9 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return city.unionByName(shop)
 
 
-def coordinates(spark: SparkSession, folder: str) -> DataFrame:
+def coordinates(star: Star) -> DataFrame:
     """Store coordinates with incomplete and repeated rows, as in a hand-kept file."""
-    rows = table(spark, folder, "supplier").select(
+    rows = star.table("supplier").select(
         F.col("s_suppkey").alias("store_id"),
         F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey") * 2.5 - 30).alias("latitude"),
         (F.lit(-60.0) - F.col("s_nationkey")).alias("longitude"),
