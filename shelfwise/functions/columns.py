@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,12 +53,15 @@ def calendar_columns(date: Column) -> dict[str, Column]:
     }
 
 
-def fill_both_ways(value: Column, window) -> Column:
+def fill_both_ways(value: Column, order: str, keys: Sequence[str] = ()) -> Column:
     """Last known value at or before the row, else the first known one after it.
 
-    ``window`` is a partitioned and ordered window without a frame.
+    The look ahead is a running frame in descending order: a frame that reaches to the
+    end of the group would be scanned again for every row.
     """
-    start, end = -(1 << 63), (1 << 63) - 1
-    before = F.last(value, ignorenulls=True).over(window.rowsBetween(start, 0))
-    after = F.first(value, ignorenulls=True).over(window.rowsBetween(0, end))
-    return F.coalesce(before, after)
+    window = Window.partitionBy(*keys)
+    before = window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    after = window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(
+        F.last(value, ignorenulls=True).over(before), F.last(value, ignorenulls=True).over(after)
+    )

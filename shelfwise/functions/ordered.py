@@ -110,22 +110,23 @@ def suffix_minimum(
 ) -> DataFrame:
     """Smallest ``measure`` at or after each row's ``order`` value, per key.
 
-    Rows with equal ``order`` see each other.
+    Rows with equal ``order`` see each other. The windows run from the highest value
+    down, so every frame grows by one row at a time.
     """
     bucketed = df.withColumn("_bucket", order_bucket(F.col(order)))
     lows = bucketed.groupBy(*keys, "_bucket").agg(F.min(measure).alias("_low"))
-    later = Window.partitionBy(*keys).orderBy("_bucket")
+    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket"))
     beyond = lows.select(
         *keys,
         "_bucket",
         F.min("_low")
-        .over(later.rowsBetween(1, Window.unboundedFollowing))
+        .over(later.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_later"),
     )
     inside = (
         Window.partitionBy(*keys, "_bucket")
-        .orderBy(order)
-        .rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        .orderBy(F.desc(order))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         bucketed.withColumn("_here", F.min(measure).over(inside))

@@ -61,7 +61,7 @@ def oil_daily(oil: DataFrame, sales_dates: DataFrame) -> DataFrame:
     looked_up = sales_dates.join(F.broadcast(known), ["date"], "left")
     return looked_up.select(
         "date",
-        fill_both_ways(F.col("_price"), along).alias("oil_price"),
+        fill_both_ways(F.col("_price"), "date").alias("oil_price"),
         F.col("_price").isNull().cast("int").alias("oil_price_missing_flag"),
     )
 

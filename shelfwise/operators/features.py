@@ -129,14 +129,13 @@ def covariates_of(series: DataFrame, roles: Roles = Roles()) -> DataFrame:
     segment without any value takes the mean of the day over all segments, and
     then the mean over all days.
     """
-    w = by_segment(roles)
     day = Window.partitionBy(roles.date)
     filled = series
     for name in ("avg_store_transactions", "oil_price"):
         overall = series.agg(F.avg(name).alias("m")).scalar()
         filled = filled.withColumn(
             name,
-            F.coalesce(fill_both_ways(F.col(name), w), F.avg(name).over(day), overall),
+            F.coalesce(fill_both_ways(F.col(name), roles.date, [roles.segment]), F.avg(name).over(day), overall),
         )
     out = filled.withColumns(
         {"day_of_week": F.weekday(roles.date), "month": F.month(roles.date)}
