@@ -130,12 +130,12 @@ def covariates_of(series: DataFrame, roles: Roles = Roles()) -> DataFrame:
     then the mean over all days.
     """
     day = Window.partitionBy(roles.date)
-    filled = series
-    for name in ("avg_store_transactions", "oil_price"):
-        overall = series.agg(F.avg(name).alias("m")).scalar()
+    filled, names = series, ("avg_store_transactions", "oil_price")
+    means = series.agg(F.struct(*[F.avg(name).alias(name) for name in names]).alias("m")).scalar()
+    for name in names:
         filled = filled.withColumn(
             name,
-            F.coalesce(fill_both_ways(F.col(name), roles.date, [roles.segment]), F.avg(name).over(day), overall),
+            F.coalesce(fill_both_ways(F.col(name), roles.date, [roles.segment]), F.avg(name).over(day), means[name]),
         )
     out = filled.withColumns(
         {"day_of_week": F.weekday(roles.date), "month": F.month(roles.date)}

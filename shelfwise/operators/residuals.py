@@ -76,12 +76,12 @@ def ols_segment(series: DataFrame, roles: Roles = Roles(), min_rows: int = MIN_R
 
     kind = series.schema[roles.segment].dataType.simpleString()
     schema = f"{roles.segment} {kind}, {roles.date} date, units double, {FIT_COLUMNS}"
-    sizes = series.groupBy(roles.segment).agg(F.count(F.lit(1)).alias("_n"))
-    enough = sizes.filter(F.col("_n") >= min_rows).select(roles.segment)
-    wanted = series.join(enough, roles.segment, "left_semi").select(
-        roles.segment, roles.date, "units", *COVARIATES, *DUMMIES
+    size = F.count(F.lit(1)).over(Window.partitionBy(roles.segment))
+    wanted = series.select(
+        roles.segment, roles.date, "units", *COVARIATES, *DUMMIES, size.alias("_n")
     )
-    return wanted.groupBy(roles.segment).applyInPandas(fit, schema)
+    enough = wanted.filter(F.col("_n") >= min_rows).drop("_n")
+    return enough.groupBy(roles.segment).applyInPandas(fit, schema)
 
 
 def ols_overall(series: DataFrame) -> DataFrame:
@@ -133,18 +133,26 @@ def breusch_pagan_columns() -> dict[str, Column]:
     }
 
 
-def _box_sums(lagged: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
-    """Autocorrelations from rows with a centred value ``_c`` and its lags ``_c1``..."""
+def _box_sums(
+    lagged: DataFrame, keys: Sequence[str], longest: int, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Sums of products of a centred value ``_c`` with its lags ``_c1``, ``_c2`` and so on.
+
+    ``carried`` columns are constant within a key.
+    """
     products = [F.sum(F.col("_c") * F.col(f"_c{k}")).alias(f"_p{k}") for k in range(1, longest + 1)]
     return lagged.groupBy(*keys).agg(
         F.count("_c").alias("n_obs"),
         F.sum(F.col("_c") * F.col("_c")).alias("_p0"),
         F.stddev_samp("_c").alias("residual_std"),
         *products,
+        *[F.first(name).alias(name) for name in carried],
     )
 
 
-def _box_statistics(sums: DataFrame, keys: Sequence[str], lags: Sequence[int]) -> DataFrame:
+def _box_statistics(
+    sums: DataFrame, keys: Sequence[str], lags: Sequence[int], carried: Sequence[str] = ()
+) -> DataFrame:
     n = F.col("n_obs").cast("double")
     columns: list[Column] = []
     for lag in lags:
@@ -153,7 +161,7 @@ def _box_statistics(sums: DataFrame, keys: Sequence[str], lags: Sequence[int]) -
             r = F.try_divide(F.coalesce(F.col(f"_p{k}"), F.lit(0.0)), F.col("_p0"))
             total = total + r * r / (n - k)
         columns.append((n * (n + 2) * total).alias(f"ljung_box_q{lag}"))
-    return sums.select(*keys, "n_obs", "residual_std", *columns)
+    return sums.select(*keys, "n_obs", "residual_std", *columns, *carried)
 
 
 def ljung_box(
@@ -162,17 +170,22 @@ def ljung_box(
     order: str,
     value: str = "residual",
     lags: Sequence[int] = LJUNG_BOX_LAGS,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Ljung-Box Q of each segment's series at the given lags."""
+    """Ljung-Box Q of each segment's series at the given lags.
+
+    ``carried`` names columns that are constant in a segment and are kept.
+    """
     require_columns(rows, [segment, order, value], "residuals")
     longest = max(lags)
     inside = Window.partitionBy(segment)
     w = inside.orderBy(order)
     centred = rows.select(
-        segment, order, (F.col(value) - F.avg(value).over(inside)).alias("_c")
+        segment, order, *carried, (F.col(value) - F.avg(value).over(inside)).alias("_c")
     )
     lagged = centred.withColumns({f"_c{k}": F.lag("_c", k).over(w) for k in range(1, longest + 1)})
-    return _box_statistics(_box_sums(lagged, [segment], longest), [segment], lags)
+    sums = _box_sums(lagged, [segment], longest, carried)
+    return _box_statistics(sums, [segment], lags, carried)
 
 
 def ljung_box_overall(
@@ -242,11 +255,13 @@ _STATISTICS = ("r_squared", "n_params", "bp_lm", "bp_f", "bp_df_model", "bp_df_r
 def residual_diagnostics(
     series: DataFrame, roles: Roles = Roles(), level: float = 0.05, min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """R squared, Breusch-Pagan and Ljung-Box tests and flags per segment."""
+    """R squared, Breusch-Pagan and Ljung-Box tests and flags per segment.
+
+    The fit, the lags and the sums share one partitioning by segment.
+    """
     rows = ols_segment(series, roles, min_rows)
-    stats = rows.groupBy(roles.segment).agg(*[F.first(c).alias(c) for c in _STATISTICS])
-    box = ljung_box(rows, roles.segment, roles.date)
-    return _with_flags(stats.join(box, roles.segment), [roles.segment], level)
+    report = ljung_box(rows, roles.segment, roles.date, carried=_STATISTICS)
+    return _with_flags(report, [roles.segment], level)
 
 
 def residual_diagnostics_overall(

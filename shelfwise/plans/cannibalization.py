@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import CampaignPlan
 from shelfwise.functions.joins import attach
+from shelfwise.functions.lineage import pin
 from shelfwise.operators import campaign
 from shelfwise.operators.enrich import canonical_sales, product_classes, store_clusters
 
@@ -41,5 +42,12 @@ def window(tables: Mapping[str, DataFrame], plan: CampaignPlan = CampaignPlan())
 
 
 def report(tables: Mapping[str, DataFrame], plan: CampaignPlan = CampaignPlan()) -> DataFrame:
-    """Effect, interval, test and flag of every campaign."""
-    return campaign.did_effects(campaign.did_store_change(window(tables, plan)), plan)
+    """Effect, interval, test and flag of every campaign.
+
+    The panel is read for the roles and for the window, and the changes for every
+    statistic, so both are written once and the sales are read once.
+    """
+    rows = pin(panel(tables), "panel")
+    inside = campaign.did_panel(rows, campaign.did_roles(rows, plan), plan)
+    changes = pin(campaign.did_store_change(inside), "changes")
+    return campaign.did_effects(changes, plan)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import Roles, TestPlan
 from shelfwise.functions.columns import require_columns
+from shelfwise.functions.lineage import pin
 from shelfwise.functions.ordered import exact_quantiles
 from shelfwise.functions.tails import normal_two_sided_upper, t_two_sided
 from shelfwise.operators import fdr
@@ -19,6 +22,7 @@ from shelfwise.operators.two_sample import (
     uplift_columns,
     welch_columns,
 )
+from shelfwise.plans import segment_day
 
 EVENT_FLAGS = {"promotion": "on_promotion", "holiday": "is_holiday_event"}
 
@@ -137,6 +141,17 @@ def action_effects(
     )
 
 
+def promotion_report(tables: Mapping[str, DataFrame], plan: TestPlan = TestPlan()) -> DataFrame:
+    """Promotion report from the raw tables. The segment-day table, a few thousand rows
+    per segment, is written once because every statistic reads it."""
+    return promo_significance(pin(segment_day.segment_day_promo(tables), "promo-days"), plan=plan)
+
+
+def action_report(tables: Mapping[str, DataFrame], plan: TestPlan = TestPlan()) -> DataFrame:
+    """Promotion and holiday report from the raw tables."""
+    return action_effects(pin(segment_day.segment_day_any(tables), "event-days"), plan=plan)
+
+
 def significance_rollup(
     results: DataFrame, flag: str, measure: str, keys: list[str] | None = None
 ) -> DataFrame:

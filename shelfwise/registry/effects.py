@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwise.config import CampaignPlan, Roles, TestPlan
+from shelfwise.config import CampaignPlan, TestPlan
 from shelfwise.operators import campaign, evaluate, fdr, residuals, scenario
 from shelfwise.operators.bootstrap import mean_difference_interval
-from shelfwise.operators.features import covariates_of
 from shelfwise.operators.two_sample import (
     arm_moments,
     average_ranks,
@@ -16,11 +15,9 @@ from shelfwise.operators.two_sample import (
     rank_sums,
     welch_columns,
 )
-from shelfwise.plans import cannibalization, promotion
+from shelfwise.plans import cannibalization, diagnostics, promotion
 from shelfwise.registry import query
 from shelfwise.registry.inputs import (
-    any_days,
-    base,
     fact,
     light_fact,
     promo_days,
@@ -235,7 +232,7 @@ promo_report AS (
 
 
 def promo_report(spark, folder):
-    return promotion.promo_significance(promo_days(spark, folder), plan=TESTS)
+    return promotion.promotion_report(star.raw_tables(spark, folder), TESTS)
 
 
 @query("promo_significance", with_more(_PROMO_TESTED, " SELECT * FROM promo_report"))
@@ -271,7 +268,7 @@ action_report AS (
 
 
 def action_report(spark, folder):
-    return promotion.action_effects(any_days(spark, folder), plan=TESTS)
+    return promotion.action_report(star.raw_tables(spark, folder), TESTS)
 
 
 @query("action_effects", with_more(_ACTION_TESTED, " SELECT * FROM action_report"))
@@ -507,12 +504,12 @@ def ljung_box_overall(spark, folder):
 
 @query("ols_segment")
 def ols_segment(spark, folder):
-    return round_all(residuals.ols_segment(covariates_of(base(spark, folder))))
+    return round_all(residuals.ols_segment(diagnostics.covariates(star.raw_tables(spark, folder))))
 
 
 @query("breusch_pagan")
 def breusch_pagan(spark, folder):
-    rows = residuals.ols_segment(covariates_of(base(spark, folder)))
+    rows = residuals.ols_segment(diagnostics.covariates(star.raw_tables(spark, folder)))
     stats = rows.groupBy("cluster").agg(
         *[F.first(c).alias(c) for c in ("bp_lm", "bp_f", "n_params", "bp_df_model", "bp_df_resid")]
     )
@@ -521,11 +518,11 @@ def breusch_pagan(spark, folder):
 
 @query("residual_diagnostics")
 def residual_diagnostics(spark, folder):
-    return residuals.residual_diagnostics(covariates_of(base(spark, folder)))
+    return round_all(diagnostics.by_segment(star.raw_tables(spark, folder)))
 
 
 @query("residual_diagnostics_overall")
 def residual_diagnostics_overall(spark, folder):
-    return residuals.residual_diagnostics_overall(covariates_of(base(spark, folder)), Roles())
+    return round_all(diagnostics.overall(star.raw_tables(spark, folder)))
 
 

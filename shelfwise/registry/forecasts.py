@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import FoldPlan
 from shelfwise.operators import evaluate
 from shelfwise.registry import query
-from shelfwise.registry.inputs import CUTOFF, frame, round_all, total
+from shelfwise.registry.inputs import CUTOFF, frame, round_all, total, written_frame
 from shelfwise.registry.views import with_more
 
 FOLDS = FoldPlan()
@@ -110,7 +110,7 @@ summary AS (
 
 
 def naive_folds(spark, folder):
-    rows = evaluate.backtest_frame(frame(spark, folder), FOLDS, horizons=True)
+    rows = evaluate.backtest_frame(written_frame(spark, folder), FOLDS, horizons=True)
     return evaluate.fold_metrics(rows, FRAME_MODELS)
 
 
@@ -130,7 +130,7 @@ FROM frame r JOIN folds f ON r.date <= f.eval_end_date""",
     ),
 )
 def backtest_frame(spark, folder):
-    return evaluate.backtest_frame(frame(spark, folder), FOLDS).select(
+    return evaluate.backtest_frame(written_frame(spark, folder), FOLDS).select(
         "cluster", "date", "units", "lag_7", "fold", "train_end_date", "eval_end_date", "split"
     )
 
@@ -255,7 +255,7 @@ FROM early e FULL JOIN late l ON e.feature = l.feature""",
 )
 def feature_overlap(spark, folder):
     """Top features of the first and second half of the history, by correlation."""
-    rows, middle = frame(spark, folder), F.lit("1998-06-30").cast("date")
+    rows, middle = written_frame(spark, folder), F.lit("1998-06-30").cast("date")
     early = importance_by_correlation(rows.filter(F.col("date") <= middle))
     late = importance_by_correlation(rows.filter(F.col("date") > middle))
     return evaluate.ranked_overlap(early, late, 4)

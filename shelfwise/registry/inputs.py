@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
+from shelfwise.functions.lineage import pin
 from shelfwise.operators import features
 from shelfwise.operators.enrich import base_daily_sales, product_classes
 from shelfwise.plans import segment_day
@@ -30,12 +31,13 @@ def frame(spark: SparkSession, folder: str) -> DataFrame:
     return features.model_frame_of(base(spark, folder))
 
 
-def promo_days(spark: SparkSession, folder: str) -> DataFrame:
-    return segment_day.segment_day_promo(star.raw_tables(spark, folder))
+def written_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """The frame as a written table, for queries that read it more than once."""
+    return pin(frame(spark, folder), "frame")
 
 
-def any_days(spark: SparkSession, folder: str) -> DataFrame:
-    return segment_day.segment_day_any(star.raw_tables(spark, folder))
+def promo_days(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_day.segment_day_promo(star.raw_tables(spark, folder))
 
 
 def light_fact(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from shelfwise.models import linear, search, seasonal, trees
 from shelfwise.models.dataset import split
 from shelfwise.operators.evaluate import overfit_gap
 from shelfwise.registry import query
-from shelfwise.registry.inputs import CUTOFF, frame, round_all
+from shelfwise.registry.inputs import CUTOFF, frame, round_all, written_frame
 
 # Few and shallow trees keep the registered queries short; the settings of the
 # published runs are the defaults of the functions.
@@ -72,12 +72,12 @@ def trial_quantiles(spark, folder):
 
 @query("backtest_segment")
 def backtest_segment(spark, folder):
-    return round_all(seasonal.backtest_metrics(seasonal.backtest(frame(spark, folder))))
+    return round_all(seasonal.backtest_metrics(seasonal.backtest(written_frame(spark, folder))))
 
 
 @query("segment_fit_diagnostics")
 def segment_fit_diagnostics(spark, folder):
-    return round_all(seasonal.fit_diagnostics(seasonal.backtest(frame(spark, folder))))
+    return round_all(seasonal.fit_diagnostics(seasonal.backtest(written_frame(spark, folder))))
 
 
 @query("backtest_gbt")
