@@ -6,6 +6,8 @@ ship date is the day. ``FIXTURES.md`` states the same rules in words.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,18 +125,34 @@ def transactions(star: Star) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The six raw tables by name."""
-    star = Star(spark, folder)
-    return {
-        "sales": sales(star),
-        "stores": stores(star),
-        "products": products(star),
-        "holidays": holidays(star),
-        "oil": oil(star),
-        "transactions": transactions(star),
+class RawTables(Mapping):
+    """The six raw tables by name; a table's files are listed when it is first used."""
+
+    _builders = {
+        "sales": sales,
+        "stores": stores,
+        "products": products,
+        "holidays": holidays,
+        "oil": oil,
+        "transactions": transactions,
     }
 
+    def __init__(self, star: Star):
+        self._star = star
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name](self._star)
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def raw_tables(spark: SparkSession, folder: str) -> RawTables:
+    return RawTables(Star(spark, folder))
+
 
 def store_days(star: Star) -> DataFrame:
     """Distinct (store_id, date) of the sales."""
