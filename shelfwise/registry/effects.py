@@ -195,7 +195,7 @@ tests AS (SELECT s.store_id, st.cluster, round(abs(s.m - 25.5::DOUBLE) / 25.5::D
     "fdr_adjust",
     with_more(
         _STORE_P + _bh("tests", "store_id, cluster", "p_value", "cluster"),
-        """ SELECT t.store_id, t.cluster, t.p_value, round(a.q, 6) AS fdr_qvalue
+        """ SELECT t.store_id, t.cluster, t.p_value, a.q AS fdr_qvalue
             FROM tests t JOIN adjusted a ON t.store_id = a.store_id""",
     ),
 )
@@ -203,7 +203,7 @@ def fdr_adjust(spark, folder):
     """Adjusted values of one score in [0, 1] per store, inside its cluster, with ties."""
     score = F.round(F.abs(F.round(F.avg("units"), 6) - 25.5) / 25.5, 4)
     tests = light_fact(spark, folder).groupBy("store_id", "cluster").agg(score.alias("p_value"))
-    return rounded(fdr.adjust(tests, "p_value", ["cluster"]), "fdr_qvalue")
+    return fdr.adjust(tests, "p_value", ["cluster"])
 
 
 _PROMO_TESTED = (
