@@ -51,12 +51,29 @@ def _error_sums(actual: Column, predicted: Column) -> list[Column]:
     ]
 
 
-def _finish(sums: DataFrame, keys: Sequence[str], fallback: bool) -> DataFrame:
+def _sums_per_model(
+    scored: DataFrame, models: Mapping[str, str], keys: Sequence[str], target: str
+) -> DataFrame:
+    require_columns(scored, [*keys, target, *models.values()], "scored frame")
+    entries = [
+        F.struct(F.lit(name).alias("model"), F.col(column).cast("double").alias("_p"))
+        for name, column in models.items()
+    ]
+    long = scored.select(*keys, F.col(target).alias("_y"), F.inline(F.array(*entries)))
+    return (
+        long.filter(F.col("_p").isNotNull() & F.col("_y").isNotNull())
+        .groupBy("model", *keys)
+        .agg(*_error_sums(F.col("_y"), F.col("_p")))
+    )
+
+
+def _finish(sums: DataFrame, keys: Sequence[str], fallback: bool = False) -> DataFrame:
     mape = F.lit(100.0) * F.try_divide(F.col("_rel"), F.col("_n_rel"))
     if fallback:
         weighted = F.lit(100.0) * F.col("_abs") / (F.col("_actual") + 1e-9 * F.col("_n"))
         mape = F.coalesce(mape, weighted)
     return sums.select(
+        "model",
         *keys,
         (F.col("_abs") / F.col("_n")).alias("mae"),
         F.sqrt(F.col("_sq") / F.col("_n")).alias("rmse"),
@@ -77,36 +94,25 @@ def forecast_metrics(
     left out per model. MAPE ignores days with zero demand and is null if there is
     no other; ``whole_error_fallback`` then gives total error over total demand.
     """
-    require_columns(scored, [*keys, target, *models.values()], "scored frame")
-    long = scored.select(
-        *keys,
-        F.col(target).alias("_actual"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("model"), F.col(column).cast("double").alias("p"))
-                    for name, column in models.items()
-                ]
-            )
-        ).alias("_m"),
-    ).select(*keys, "_actual", F.col("_m.model").alias("model"), F.col("_m.p").alias("_p"))
-    by = ["model", *keys]
-    sums = (
-        long.filter(F.col("_p").isNotNull() & F.col("_actual").isNotNull())
-        .groupBy(*by)
-        .agg(*_error_sums(F.col("_actual"), F.col("_p")))
-    )
-    return _finish(sums, by, whole_error_fallback)
+    return _finish(_sums_per_model(scored, models, keys, target), keys, whole_error_fallback)
 
 
 def metrics_with_total(
     scored: DataFrame, models: Mapping[str, str], segment: str = "cluster", target: str = "units"
 ) -> DataFrame:
-    """Metrics per model and segment, and per model over all segments (segment null)."""
-    total = forecast_metrics(scored, models, target=target)
-    each = forecast_metrics(scored, models, [segment], target)
-    kind = dict(scored.dtypes)[segment]
-    return total.withColumn(segment, F.lit(None).cast(kind)).unionByName(each)
+    """Metrics per model and segment, and per model over all segments (segment null).
+
+    The totals add up the segments' error sums.
+    """
+    each = _sums_per_model(scored, models, [segment], target)
+    parts = [name for name in each.columns if name.startswith("_")]
+    kind = scored.schema[segment].dataType
+    total = (
+        each.groupBy("model")
+        .agg(*[F.sum(name).alias(name) for name in parts])
+        .withColumn(segment, F.lit(None).cast(kind))
+    )
+    return _finish(each.unionByName(total), [segment])
 
 
 def fold_array(dates: DataFrame, plan: FoldPlan = FoldPlan(), date: str = "date") -> DataFrame:

@@ -90,9 +90,9 @@ def promo_lift(fact: DataFrame, segment: str = "cluster") -> DataFrame:
     )
 
 
-def _clipped(fact: DataFrame, units: str, low: float | None, high: float) -> Column:
+def _clipped(histogram: DataFrame, units: str, low: float | None, high: float) -> Column:
     """Units cut at exact quantiles of all rows, which come as one scalar subquery."""
-    counts = running_counts(value_histogram(fact, [], units), [], units, "n")
+    counts = running_counts(histogram, [], units, "n")
     wanted = {"high": high} if low is None else {"low": low, "high": high}
     bounds = quantiles_of(counts, [], units, wanted).select(F.struct(*wanted).alias("b")).scalar()
     cut = F.least(F.col(units), bounds["high"])
@@ -107,17 +107,21 @@ def clip_units(
     ``low=None`` cuts the upper end only.
     """
     require_columns(fact, [units], "fact")
-    clipped = F.when(F.col(units).isNotNull(), _clipped(fact, units, low, high))
+    histogram = value_histogram(fact, [], units)
+    clipped = F.when(F.col(units).isNotNull(), _clipped(histogram, units, low, high))
     return fact.withColumn("units_clipped", clipped)
 
 
 def _clipped_counts(fact: DataFrame, low: float | None, high: float) -> DataFrame:
-    """Rows per promotion label and clipped value, with running counts per label."""
+    """Rows per promotion label and clipped value, with running counts per label.
+
+    The quantiles come from the same histogram, so the fact is read once.
+    """
     require_columns(fact, ["units", "on_promotion"], "fact")
-    labelled = fact.select("units", "on_promotion").dropna()
-    clipped = _clipped(labelled, "units", low, high)
+    by_value = value_histogram(fact, ["on_promotion"], "units")
+    all_values = by_value.groupBy("units").agg(F.sum("n").alias("n"))
+    clipped = _clipped(all_values, "units", low, high)
     label = F.when(F.col("on_promotion"), PROMO_LABELS[1]).otherwise(PROMO_LABELS[0])
-    by_value = value_histogram(labelled, ["on_promotion"], "units")
     merged = by_value.groupBy(
         label.alias("promo_label"), clipped.alias("units_clipped")
     ).agg(F.sum("n").alias("n"))

@@ -72,22 +72,28 @@ def validation_summary(
 ) -> DataFrame:
     """One row of counts: rows, negatives, null ids, stockout candidates, missing dates.
 
-    Missing dates are counted without listing them: a segment's span in days less
-    its number of distinct days.
+    The fact is read and shuffled once, summed to (ids, day) on the map side. Missing
+    dates are counted without listing them: a segment's span in days less its number
+    of distinct days.
     """
     require_columns(fact, [*ids, units, promo, date], "fact")
-    counts = fact.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(_is_negative(units)).alias("negative_units"),
-        F.count_if(_has_null(ids)).alias("null_ids"),
-        F.count_if(_is_stockout(units, promo)).alias("stockout_candidates"),
+    daily = fact.groupBy(*ids, F.col(date).cast("date").alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(_is_negative(units)).alias("_negative"),
+        F.count_if(_is_stockout(units, promo)).alias("_stockout"),
     )
-    days = fact.select(*ids, F.col(date).cast("date").alias("_day")).dropna().distinct()
-    spans = days.groupBy(*ids).agg(
-        (F.datediff(F.max("_day"), F.min("_day")) + 1 - F.count(F.lit(1))).alias("_gap")
+    span = F.datediff(F.max("_day"), F.min("_day")) + 1 - F.count("_day")
+    segments = daily.groupBy(*ids).agg(
+        *[F.sum(name).alias(name) for name in ("_n", "_negative", "_stockout")],
+        F.when(~_has_null(ids), F.coalesce(span, F.lit(0))).otherwise(0).alias("_gap"),
+    )
+    return segments.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("_negative"), F.lit(0)).alias("negative_units"),
+        F.coalesce(F.sum(F.when(_has_null(ids), F.col("_n"))), F.lit(0)).alias("null_ids"),
+        F.coalesce(F.sum("_stockout"), F.lit(0)).alias("stockout_candidates"),
+        F.coalesce(F.sum("_gap"), F.lit(0)).alias("missing_dates"),
     )
-    gaps = spans.agg(F.coalesce(F.sum("_gap"), F.lit(0)).cast("bigint").alias("n"))
-    return counts.withColumn("missing_dates", gaps.scalar())
 
 
 def missing_profile(fact: DataFrame) -> DataFrame:

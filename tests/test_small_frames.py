@@ -210,6 +210,24 @@ def test_report_round_trip(spark, tmp_path):
     assert raw.read_metrics(spark, path).count() == 2
 
 
+def test_search_summary_keeps_nested_settings(spark, tmp_path):
+    from shelfwise.models.search import TRIAL_COLUMNS, best_trial
+
+    trials = [(0, 8, 3, 0.1, 0.8, 0.8, 5.0, 6.0, 7.0), (1, 4, 4, 0.3, 0.6, 1.0, 4.0, 6.0, 7.0)]
+    path = str(tmp_path / "best")
+    sinks.write_search_summary(best_trial(spark.createDataFrame(trials, TRIAL_COLUMNS)), path)
+    row = spark.read.json(path).first()
+    assert row.trial == 1 and row.params.depth == 4 and row.mae == 4.0
+
+
+def test_prediction_extract_takes_the_last_rows(spark):
+    rows = [(c, D("2024-01-01") + timedelta(i), float(i), 1.0) for c in (1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "cluster int, date date, units double, lag_7 double")
+    out = sinks.prediction_extract(df, {"units": "units", "lag_7": "naive"}, rows=6).collect()
+    assert len(out) == 6 and sum(r.cluster == 2 for r in out) == 5
+    assert {r.date.day for r in out if r.cluster == 1} == {5}
+
+
 def test_training_table_round_trip(spark, tmp_path):
     from shelfwise.plans import training_table
 
