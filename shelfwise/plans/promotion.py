@@ -52,29 +52,32 @@ def promo_effects(days: DataFrame, roles: Roles = Roles(), plan: TestPlan = Test
     return moments.withColumns({**uplift_columns(), **welch_columns(), "cohens_d": cohens_d_column()})
 
 
-def promo_significance(
+def promo_tests(
     days: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
 ) -> DataFrame:
-    """Promotion effect per segment on the mean units per sale.
-
-    ``days`` has one row per segment, day and promotion flag.
-    """
+    """Effect, tests and interval of promotion days, one row per segment."""
     require_columns(days, [roles.segment, roles.date, roles.promo, roles.target], "segment days")
     segment = roles.segment
     effects = promo_effects(days, roles, plan)
     wanted = days.join(effects.select(segment), segment, "left_semi")
     ranks = rank_sums(wanted, [segment], roles.promo, roles.target).select(segment, "mann_whitney_z")
     interval = _interval(wanted, [segment], roles.promo, roles, plan)
-    tested = (
+    return (
         effects.join(ranks, segment)
         .join(interval, segment)
         .withColumn("welch_t_pvalue", t_two_sided(F.col("welch_t"), F.col("welch_df")))
         .withColumn("mannwhitney_pvalue", normal_two_sided_upper(F.col("mann_whitney_z")))
     )
-    adjusted = fdr.adjust(tested, "welch_t_pvalue", out="welch_fdr_qvalue")
+
+
+def promo_corrected(
+    tests: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
+) -> DataFrame:
+    """The report of :func:`promo_tests` with adjusted p-values and flags."""
+    adjusted = fdr.adjust(tests, "welch_t_pvalue", out="welch_fdr_qvalue")
     level = F.lit(plan.fdr_level)
     return adjusted.select(
-        segment,
+        roles.segment,
         F.col("n_1").alias("n_days_promo"),
         F.col("n_0").alias("n_days_nonpromo"),
         F.col("mean_1").alias("mean_promo"),
@@ -92,13 +95,22 @@ def promo_significance(
     )
 
 
-def action_effects(
+def promo_significance(
     days: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
 ) -> DataFrame:
-    """Promotion and holiday effects per segment on the total units per day.
+    """Promotion effect per segment on the mean units per sale.
+
+    ``days`` has one row per segment, day and promotion flag.
+    """
+    return promo_corrected(promo_tests(days, roles, plan), roles, plan)
+
 
-    ``days`` has one row per segment and day with "any sale" flags. Both flags are
-    tested in one plan, as two event types.
+def action_tests(
+    days: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
+) -> DataFrame:
+    """Effect, test and interval per event type and segment.
+
+    Both flags are tested in one plan, as two event types.
     """
     names = [roles.segment, roles.date, roles.target, roles.promo, roles.holiday]
     require_columns(days, names, "segment days")
@@ -113,10 +125,16 @@ def action_effects(
         {**uplift_columns(), **welch_columns(), "cohens_d": cohens_d_column()}
     )
     wanted = long.join(effects.select(*keys), keys, "left_semi")
-    tested = effects.join(_interval(wanted, keys, "_event", roles, plan), keys).withColumn(
+    return effects.join(_interval(wanted, keys, "_event", roles, plan), keys).withColumn(
         "welch_t_pvalue", t_two_sided(F.col("welch_t"), F.col("welch_df"))
     )
-    adjusted = fdr.adjust(tested, "welch_t_pvalue", ["event_type"])
+
+
+def action_corrected(
+    tests: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
+) -> DataFrame:
+    """The report of :func:`action_tests`, adjusted within event types, with flags."""
+    adjusted = fdr.adjust(tests, "welch_t_pvalue", ["event_type"])
     significant = F.coalesce(F.col("fdr_qvalue") < plan.fdr_level, F.lit(False))
     actionable = (
         significant
@@ -124,7 +142,8 @@ def action_effects(
         & F.coalesce(F.col("uplift_pct") >= plan.actionable_uplift_pct, F.lit(False))
     )
     return adjusted.select(
-        *keys,
+        "event_type",
+        roles.segment,
         F.col("n_1").alias("n_event_days"),
         F.col("n_0").alias("n_non_event_days"),
         F.col("mean_1").alias("mean_event"),
@@ -141,15 +160,30 @@ def action_effects(
     )
 
 
+def action_effects(
+    days: DataFrame, roles: Roles = Roles(), plan: TestPlan = TestPlan()
+) -> DataFrame:
+    """Promotion and holiday effects per segment on the total units per day.
+
+    ``days`` has one row per segment and day with "any sale" flags.
+    """
+    return action_corrected(action_tests(days, roles, plan), roles, plan)
+
+
 def promotion_report(tables: Mapping[str, DataFrame], plan: TestPlan = TestPlan()) -> DataFrame:
-    """Promotion report from the raw tables. The segment-day table, a few thousand rows
-    per segment, is written once because every statistic reads it."""
-    return promo_significance(pin(segment_day.segment_day_promo(tables), "promo-days"), plan=plan)
+    """Promotion report from the raw tables.
+
+    Every statistic reads the segment-day table and the correction reads the tests
+    twice, so both, a few thousand rows and one row per segment, are written once.
+    """
+    days = pin(segment_day.segment_day_promo(tables), "promo-days")
+    return promo_corrected(pin(promo_tests(days, plan=plan), "promo-tests"), plan=plan)
 
 
 def action_report(tables: Mapping[str, DataFrame], plan: TestPlan = TestPlan()) -> DataFrame:
     """Promotion and holiday report from the raw tables."""
-    return action_effects(pin(segment_day.segment_day_any(tables), "event-days"), plan=plan)
+    days = pin(segment_day.segment_day_any(tables), "event-days")
+    return action_corrected(pin(action_tests(days, plan=plan), "action-tests"), plan=plan)
 
 
 def significance_rollup(
