@@ -10,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the session.
 
     Only a session without the setting (a local test) gets a temporary folder.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="shelfwise-")
+    return _local_folders[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
