@@ -24,14 +24,21 @@ from shelfwise.operators.evaluate import fold_boundaries, fold_metrics, forecast
 from shelfwise.operators.features import feature_columns
 
 PARALLEL_FITS = 4
+BINS = 64
 
 
 def tree_pipeline(
-    features: list[str], roles: Roles, profile: TreeProfile, categorical: bool, early_stop: str | None = None
+    features: list[str],
+    roles: Roles,
+    profile: TreeProfile,
+    categorical: bool,
+    early_stop: str | None = None,
+    bins: int = BINS,
 ) -> Pipeline:
     """Assembler and boosted trees; ``categorical`` treats the segment as a category.
 
-    ``early_stop`` names a boolean column that marks rows for early stopping.
+    ``early_stop`` names a boolean column that marks rows for early stopping. ``bins``
+    must be at least the number of segments when they are categories.
     """
     stages, inputs = [], list(features)
     if categorical:
@@ -50,7 +57,7 @@ def tree_pipeline(
         minInstancesPerNode=profile.min_rows_per_node,
         minInfoGain=profile.min_gain,
         seed=profile.seed,
-        maxBins=64,
+        maxBins=bins,
     )
     if early_stop:
         trees = trees.setValidationIndicatorCol(early_stop)
@@ -76,7 +83,11 @@ def holdout(
     categorical: bool = False,
 ) -> Scored:
     """Fit on the train part and score the validation part."""
-    model = tree_pipeline(data.features, data.roles, profile, categorical).fit(data.train)
+    bins = BINS
+    if categorical:
+        bins = max(BINS, data.train.select(data.roles.segment).distinct().count() + 1)
+    pipeline = tree_pipeline(data.features, data.roles, profile, categorical, bins=bins)
+    model = pipeline.fit(data.train)
     predictions = _predict(model, data.valid)
     spark = data.frame.sparkSession
     return Scored(

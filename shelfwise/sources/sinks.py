@@ -30,13 +30,16 @@ def write_training_table(fact: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Write a small report table as one CSV file."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Write a small report table as one CSV file.
+
+    The shuffle in front of the one writing task keeps the work before it parallel.
+    """
+    report.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_search_summary(best: DataFrame, path: str) -> None:
     """Write the best trials as JSON lines, parameters as a nested object."""
-    best.coalesce(1).write.mode("overwrite").json(path)
+    best.repartition(1).write.mode("overwrite").json(path)
 
 
 def prediction_extract(

@@ -317,3 +317,18 @@ def test_failed_fits_are_reported_not_raised(spark):
     df = spark.createDataFrame(rows, "cluster int, date date, units double, lag_7 double, split string").withColumn("x", F.lit(1.0))
     out = seasonal.forecast_groups(df, ["cluster"], SeasonalOrder(), Roles(), inputs=["x"]).collect()
     assert len(out) == 5 and all("too short" in r.error and r.prediction is None for r in out)
+
+
+def test_categorical_trees_take_more_segments_than_bins(spark):
+    from shelfwise.config import TreeProfile
+    from shelfwise.models import trees
+    from shelfwise.models.dataset import split
+
+    day = F.date_add(F.lit(START), (F.col("id") % 20).cast("int"))
+    frame = spark.range(100 * 20).select(
+        F.floor(F.col("id") / 20).cast("int").alias("cluster"), day.alias("date"),
+        (F.floor(F.col("id") / 20) * 3.0).alias("units"), (F.col("id") % 7).cast("double").alias("lag_7"),
+    )
+    data = split(frame, str(START + timedelta(14)))
+    scored = trees.holdout(data, TreeProfile(trees=2, depth=3), categorical=True)
+    assert scored.metrics.count() == 2 and scored.predictions.count() == 500
