@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
+from shelfwise.llm.secrets import scan_secrets
 from shelfwise.llm.tables import table
+from shelfwise.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,14 @@ def label_weight(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame
     return docs.join(labels, docs.doc_id == labels.labelled, "left").withColumn("mix_weight", weight)
 
 
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(table(spark, folder, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept"
@@ -37,7 +47,28 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_top_k": op1_top_k,
+    "op4_secret_scan": op4_secret_scan,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_mix_sources": op9_mix_sources,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_top_k": """
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+            FROM kept q JOIN kept c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
+        FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
+    """,
+}
