@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.secrets import scan_secrets
+from shelfwise.llm.suffixes import remove_repeats
 from shelfwise.llm.tables import table
 from shelfwise.llm.topk import top_k
 
@@ -39,6 +40,10 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = label_weight(spark, folder, table(spark, folder, "documents").select("doc_id", "source", "text"))
     return mix_sources(docs, F.col("mix_weight")).select(
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_repeated_bytes": op8_repeated_bytes,
     "op9_mix_sources": op9_mix_sources,
 }
 SQL: dict[str, str] = {
