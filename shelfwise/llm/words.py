@@ -29,6 +29,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Letters, digits and every byte of a character beyond ASCII.
+ALPHANUMERIC = np.zeros(256, dtype=bool)
+ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _powers = {}
 
 
@@ -58,9 +61,12 @@ class Slice:
         np.cumsum(_BYTE_CODES[self.data] * powers(_BASE, len(self.data)), out=out[1:])
         return out
 
-    def word_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and rows of all maximal runs without white space; none crosses rows."""
-        inside = _IN_WORD[self.data]
+    def word_spans(self, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of all maximal runs of word bytes, by default without white space.
+
+        No run crosses rows.
+        """
+        inside = in_word[self.data]
         if not len(inside):
             return (np.zeros(0, dtype=np.int64),) * 3
         cut = self.offsets[(self.offsets > 0) & (self.offsets < len(inside))]
