@@ -8,12 +8,11 @@ its predecessor kept and returns the columns of documents, but for the last, whi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfwise.functions.lineage import pin
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
-from shelfwise.llm.registry import label_weight
+from shelfwise.llm.registry import label_weights
 from shelfwise.llm.tables import table
 
 ORACLE_SQL = None
@@ -28,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
-    return mix_sources(label_weight(spark, sf_dir, docs), F.col("mix_weight")).select(
+    return mix_sources(docs, label_weights(spark, sf_dir)).select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
 

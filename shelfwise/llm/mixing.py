@@ -8,7 +8,9 @@ the order of their keys until their prefix sum of sizes is as near to the budget
 Scale. No source is ever sorted as a whole. Keys map monotonically to COARSE * FINE buckets; bucket
 sums are partial aggregates, the windows run over at most COARSE and FINE of them per source, and
 only documents of the one bucket where the budget ends are ordered, about one in a million of a
-source. Everything else is decided by its bucket. The tables of sources have one row per source;
+source. Everything else is decided by its bucket. Sizes and keys are written once, so each text is
+read once; the written limits have a known size, so that Spark joins a hot source without moving
+its documents as long as that size is below its broadcast threshold. The tables of sources have one row per source;
 the windows that rank sources and share the excess see those rows only.
 
 Rules for odd rows. A null text has size 0. Null sources are one source, the last. Rows without
@@ -24,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.lineage import pin
+
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST_EPOCHS = 2
@@ -79,58 +83,45 @@ def source_targets(
 
 def mix_sources(
     docs: DataFrame,
-    document_weight: Column | None = None,
+    document_weights: DataFrame | None = None,
     weights: Sequence[int] = SOURCE_WEIGHTS,
     share_percent: int = SHARE_PERCENT,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, source for every row of (doc_id, text, source).
 
-    ``document_weight`` is a positive expression over ``docs``; heavier documents come earlier in
-    the fractional epoch.
+    ``document_weights`` has one positive ``weight`` per ``doc_id``; heavier documents come earlier
+    in the fractional epoch. Documents without one have weight 1.
     """
-    weight = F.lit(1.0) if document_weight is None else document_weight.cast("double")
-    weight = F.when(
-        weight.isNull() | F.isnan(weight) | (weight <= 0) | (weight == float("inf")), F.lit(1.0)
-    ).otherwise(weight)
-    identity = F.coalesce(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(0))
-    identity = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(identity)
-    # 52 bits, never 0 or 1.
-    uniform = (F.shiftrightunsigned(identity, 12).cast("double") + 0.5) / float(1 << 52)
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"),
-        (-F.log(uniform) / weight).alias("key"),
-    )
-    # 1 - exp(-key) is uniform for weight 1 and keeps the order of keys.
-    place = F.least((1 - F.exp(-F.col("key"))) * float(COARSE * FINE), F.lit(float(COARSE * FINE - 1)))
-    sized = sized.withColumn("place", place.cast("long")).withColumn(
-        "coarse", F.expr(f"place div {FINE}")
+    sized = pin(_sized(docs, document_weights, seed), "sized")
+    targets = source_targets(sized, weights, share_percent).withColumn(
+        "epochs",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+        .otherwise(F.lit(0))
+        .cast("long"),
     )
-    targets = source_targets(sized, weights, share_percent).withColumns(
-        {
-            "epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-            .otherwise(F.lit(0))
-            .cast("long"),
-        }
+    targets = pin(
+        targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets"
     )
-    targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
     # The coarse bucket, then the fine bucket in it, where the budget ends.
-    coarse = _ends(sized.select(F.col("source").alias("of"), F.col("coarse").alias("bucket"), "size"), targets)
+    coarse = pin(
+        _ends(sized.select(F.col("source").alias("of"), F.col("coarse").alias("bucket"), "size"), targets),
+        "coarse",
+    )
     inside = sized.alias("s").join(
-        coarse.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.coarse") == F.col("c.bucket"))
+        coarse.alias("c"),
+        F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.coarse") == F.col("c.bucket")),
     )
-    inside = inside.select(
-        F.col("s.source").alias("of"), F.col("s.place").alias("bucket"), "s.size", "s.doc_id", "s.key"
+    inside = pin(
+        inside.select(
+            F.col("s.source").alias("of"), F.col("s.place").alias("bucket"), "s.size", "s.doc_id", "s.key"
+        ),
+        "inside",
     )
-    remaining = coarse.select("source", F.col("left").alias("budget"))
-    fine = _ends(inside, remaining)
-
-    at = fine.alias("f")
+    fine = pin(_ends(inside, coarse.select("source", F.col("left").alias("budget"))), "fine")
     last = inside.alias("i").join(
-        at, F.col("i.of").eqNullSafe(F.col("f.source")) & (F.col("i.bucket") == F.col("f.bucket"))
+        fine.alias("f"), F.col("i.of").eqNullSafe(F.col("f.source")) & (F.col("i.bucket") == F.col("f.bucket"))
     )
     running = F.sum("i.size").over(
         Window.partitionBy("i.of")
@@ -141,11 +132,10 @@ def mix_sources(
     chosen = last.select(
         F.col("i.of").alias("of"),
         F.col("i.key").alias("key"),
-        F.col("i.size").alias("size"),
         (running - F.col("i.size") / 2.0 <= F.col("f.left")).alias("chosen"),
     ).where("chosen")
-    ends = chosen.groupBy("of").agg(F.max(F.struct("key", "size")).alias("last"))
-    limits = (
+    ends = chosen.groupBy("of").agg(F.max("key").alias("last_key"))
+    limits = pin(
         targets.alias("t")
         .join(fine.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left")
         .join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.of")), "left")
@@ -156,8 +146,9 @@ def mix_sources(
             "t.epochs",
             "t.budget",
             F.col("f.bucket").alias("end_place"),
-            F.col("e.last.key").alias("last_key"),
-        )
+            "e.last_key",
+        ),
+        "limits",
     )
     picked = (
         F.when(F.col("budget") <= 0, F.lit(0))
@@ -166,17 +157,43 @@ def mix_sources(
         .when((F.col("place") == F.col("end_place")) & (F.col("key") <= F.col("last_key")), F.lit(1))
         .otherwise(F.lit(0))
     )
-    return (
-        sized.join(limits, sized.source.eqNullSafe(limits.of))
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("epochs") + picked)).cast("long").alias("taken"),
-            sized.source.alias("source"),
-            "key",
+    return sized.join(limits, sized.source.eqNullSafe(limits.of)).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("epochs") + picked)).cast("long").alias("taken"),
+        sized.source.alias("source"),
+    )
+
+
+def _sized(docs: DataFrame, document_weights: DataFrame | None, seed: int) -> DataFrame:
+    """doc_id, source, size, key and the key's buckets; texts are read once and never shuffled."""
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(
+        F.xxhash64(F.lit(seed), "doc_id")
+    )
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.col("text").cast("string").alias("text"),
+    ).select("doc_id", "source", word_count(F.col("text")).alias("size"), drawn.alias("drawn"))
+    weight = F.lit(1.0)
+    if document_weights is not None:
+        one = document_weights.groupBy(F.col("doc_id").cast("long").alias("weighed")).agg(
+            F.max(F.col("weight").cast("double")).alias("weight")
         )
+        sized = sized.join(one, F.col("doc_id") == F.col("weighed"), "left")
+        weight = F.col("weight")
+        usable = ~F.isnan(weight) & (weight > 0) & (weight < float("inf"))
+        weight = F.when(weight.isNotNull() & usable, weight).otherwise(1.0)
+    # 52 bits, never 0 or 1.
+    uniform = (F.shiftrightunsigned("drawn", 12).cast("double") + 0.5) / float(1 << 52)
+    # 1 - exp(-key) is uniform for weight 1 and keeps the order of keys.
+    place = F.least((1 - F.exp(-F.col("key"))) * float(COARSE * FINE), F.lit(float(COARSE * FINE - 1)))
+    return (
+        sized.select("doc_id", "source", "size", (-F.log(uniform) / weight).alias("key"))
+        .withColumn("place", place.cast("long"))
+        .withColumn("coarse", F.expr(f"place div {FINE}"))
     )
 
 

@@ -17,13 +17,10 @@ from shelfwise.llm.topk import top_k
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def label_weight(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
-    """``docs`` with a document weight: 2 for labelled good, 0.5 for labelled poor, else 1."""
-    labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(
-        F.max("quality").alias("label_quality")
-    )
-    weight = F.when(F.col("label_quality") == 1, 2.0).when(F.col("label_quality") == 0, 0.5).otherwise(1.0)
-    return docs.join(labels, docs.doc_id == labels.labelled, "left").withColumn("mix_weight", weight)
+def label_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, weight: 2 for documents labelled good, 0.5 for poor ones."""
+    weight = F.when(F.max("quality") == 1, 2.0).when(F.max("quality") == 0, 0.5).otherwise(1.0)
+    return table(spark, folder, "labels").groupBy("doc_id").agg(weight.alias("weight"))
 
 
 def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +42,7 @@ def op8_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    docs = label_weight(spark, folder, table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return mix_sources(docs, F.col("mix_weight")).select(
+    return mix_sources(table(spark, folder, "documents"), label_weights(spark, folder)).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
