@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.decontaminate import contaminated
+from shelfwise.llm.licenses import scan_licenses
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.secrets import scan_secrets
@@ -31,6 +33,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+def op6_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept"
@@ -50,6 +60,8 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
     "op4_secret_scan": op4_secret_scan,
+    "op5_license_scan": op5_license_scan,
+    "op6_benchmark_passages": op6_benchmark_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_mix_sources": op9_mix_sources,
