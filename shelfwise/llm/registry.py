@@ -15,6 +15,7 @@ from shelfwise.llm.secrets import scan_secrets
 from shelfwise.llm.suffixes import remove_repeats
 from shelfwise.llm.tables import table
 from shelfwise.llm.topk import top_k
+from shelfwise.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,10 @@ def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"))
 
@@ -59,6 +64,7 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_passages": op6_benchmark_passages,
