@@ -455,15 +455,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if not length // 3 <= gram <= length - 1 or length - gram + 1 > 32:
         raise ValueError("the gram must leave 1 to 31 offsets in a window")
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Answers take a row per pair of a bucket of anchors and one of documents at most.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors = 2 * buckets
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = docs.where("doc_id IS NOT NULL").mapInArrow(_fragment_hashes(buckets, length, gram), FRAGMENT_SCHEMA)
+    hashes = docs.where("doc_id IS NOT NULL").mapInArrow(_fragment_hashes(anchors, length, gram), FRAGMENT_SCHEMA)
     answers = pin(hashes.groupBy("bucket").applyInArrow(_repeats(buckets), ANSWER_SCHEMA), "repeats")
 
     placed = docs.mapInArrow(_placed(buckets), "bucket int, doc_id long, text string")
     pending = answers.where(F.col("kind") == PENDING)
     fragments = placed.groupBy("bucket").cogroup(pending.groupBy("bucket")).applyInArrow(
-        _fragment_bytes(buckets, length, gram), BYTES_SCHEMA
+        _fragment_bytes(anchors, length, gram), BYTES_SCHEMA
     )
     sorted_answers = fragments.groupBy("bucket").applyInArrow(
         _sort_bucket(buckets, length, gram), ANSWER_SCHEMA
