@@ -8,16 +8,32 @@ its predecessor kept and returns the columns of documents, but for the last, whi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.functions.lineage import pin
+from shelfwise.llm.decontaminate import contaminated
+from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.registry import label_weights
 from shelfwise.llm.tables import table
+from shelfwise.llm.toxicity import score_toxicity
 
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the last category of the chain flags go."""
+    flagged = score_toxicity(docs, table(spark, sf_dir, "labels")).where("is_toxic").select("doc_id").distinct()
+    return docs.join(flagged, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first; documents stay."""
+    short = drop_repeated_lines(docs)
+    return short.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: words-of-five shingles, 0.8 or more."""
     found = near_duplicates(docs, width=5)
@@ -25,6 +41,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix_sources(docs, label_weights(spark, sf_dir)).select(
@@ -33,7 +55,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
     ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
     ("source_mix", mix),
 ]
 

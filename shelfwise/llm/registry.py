@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.decontaminate import contaminated
 from shelfwise.llm.licenses import scan_licenses
+from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
+from shelfwise.llm.quotes import reply_order
 from shelfwise.llm.secrets import scan_secrets
 from shelfwise.llm.suffixes import remove_repeats
 from shelfwise.llm.tables import table
@@ -30,6 +32,12 @@ def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return reply_order(table(spark, folder, "conversations")).select(
+        "conv_id", "turn", "role", "reply_text", "n_quotes", "n_linked", "parent_turn", "thread_turn", "depth"
+    )
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -62,8 +70,15 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "text"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
+    "op2_quote_links": op2_quote_links,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
@@ -71,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_mix_sources": op9_mix_sources,
+    "op10_line_templates": op10_line_templates,
 }
 SQL: dict[str, str] = {
     "op1_top_k": """
