@@ -256,7 +256,7 @@ class Suffixes:
     """Suffixes of one byte array that begin at ``starts`` and stop before ``stops``."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, longest: int):
-        self.data = np.append(data, 0)
+        self.data = np.append(data, np.uint8(0))
         self.starts = starts
         self.sizes = np.minimum(stops - starts, longest)
         self.longest = longest
