@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import ORDER_GRID, FoldPlan, ForecastColumns, Roles, SeasonalOrder
 from shelfwise.functions.columns import require_columns
+from shelfwise.functions.lineage import pin
 from shelfwise.models.dataset import Scored, with_naive
 from shelfwise.operators.evaluate import backtest_frame, fold_metrics, forecast_metrics
 
@@ -226,17 +227,32 @@ def segment_forecast(
     predictions = forecast_groups(
         _split_rows(frame, cutoff, roles), [roles.segment], order, roles, forecaster=forecaster
     )
-    return Scored(name, predictions, with_naive(name, predictions, roles))
+    return Scored(name, predictions, scored_with_failures(name, predictions, roles))
 
 
-def order_trials(
+def scored_with_failures(name: str, predictions: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Metrics of the model and the naive rule on the rows that have a prediction.
+
+    ``n_failed_segments`` and ``n_failed_rows`` count what has none.
+    """
+    missing = F.col("prediction").isNull()
+    failed = predictions.agg(
+        F.count_distinct(F.when(missing, F.col(roles.segment))).alias("n_failed_segments"),
+        F.count_if(missing).alias("n_failed_rows"),
+    )
+    counts = failed.select(F.struct("*")).scalar()
+    metrics = with_naive(name, predictions.filter(~missing), roles)
+    return metrics.withColumn("_failed", counts).select(*metrics.columns, "_failed.*")
+
+
+def order_predictions(
     frame: DataFrame,
     cutoff: str,
     grid: Sequence[SeasonalOrder] = ORDER_GRID,
     roles: Roles = Roles(),
     forecaster: Forecaster = seasonal_regression,
 ) -> DataFrame:
-    """MAE of every order for every segment, with the error text of failed fits.
+    """Forecasts of every order for every segment, with the error text of failed fits.
 
     Each row explodes the grid, so (segment, order) pairs are separate groups of one
     job. Predictions below zero are set to zero.
@@ -253,20 +269,60 @@ def order_trials(
     )
     rows = _split_rows(frame, cutoff, roles).select("*", F.inline(grid_rows))
     keys = [roles.segment, "order_label"]
-    scored = forecast_groups(rows, keys, None, roles, forecaster=forecaster, clip=True)
+    return forecast_groups(rows, keys, None, roles, forecaster=forecaster, clip=True)
+
+
+def trials_of(predictions: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """MAE of every order and segment; null, with the error, where the fit failed."""
     error = F.abs(F.col(roles.target) - F.col("prediction"))
-    return scored.groupBy(*keys).agg(F.avg(error).alias("mae"), F.first("error", True).alias("error"))
+    return predictions.groupBy(roles.segment, "order_label").agg(
+        F.avg(error).alias("mae"), F.first("error", True).alias("error")
+    )
+
+
+def order_trials(
+    frame: DataFrame,
+    cutoff: str,
+    grid: Sequence[SeasonalOrder] = ORDER_GRID,
+    roles: Roles = Roles(),
+    forecaster: Forecaster = seasonal_regression,
+) -> DataFrame:
+    """The trial table of the order search."""
+    return trials_of(order_predictions(frame, cutoff, grid, roles, forecaster), roles)
 
 
 def best_orders(trials: DataFrame, segment: str = "cluster") -> DataFrame:
-    """The order with the lowest MAE per segment."""
-    best = F.min(F.struct("mae", "order_label"))
-    ok = trials.filter(F.col("mae").isNotNull())
-    return ok.groupBy(segment).agg(best.alias("_b")).select(
-        segment, F.col("_b.order_label").alias("best_order"), F.col("_b.mae").alias("mae")
+    """The order with the lowest MAE per segment; null where every fit failed."""
+    ranked = F.struct(F.col("mae").isNull().alias("failed"), "mae", "order_label")
+    best = trials.groupBy(segment).agg(F.min(ranked).alias("_b"))
+    return best.select(
+        segment,
+        F.when(~F.col("_b.failed"), F.col("_b.order_label")).alias("best_order"),
+        F.col("_b.mae").alias("mae"),
     )
 
 
+def order_search(
+    frame: DataFrame,
+    cutoff: str,
+    grid: Sequence[SeasonalOrder] = ORDER_GRID,
+    roles: Roles = Roles(),
+    forecaster: Forecaster = seasonal_regression,
+    name: str = "seasonal_best_order",
+) -> Scored:
+    """The search as one model: each segment's forecasts under its best order, scored together."""
+    every = pin(order_predictions(frame, cutoff, grid, roles, forecaster), "order_predictions")
+    best = best_orders(trials_of(every, roles), roles.segment).select(
+        roles.segment, F.col("best_order").alias("order_label")
+    )
+    # A segment without any fit keeps one row a day, without prediction, and counts as failed.
+    chosen = every.join(best.filter(F.col("order_label").isNotNull()), [roles.segment, "order_label"], "left_semi")
+    lost = every.join(best.filter(F.col("order_label").isNull()), roles.segment, "left_semi")
+    lost = lost.filter(F.col("order_label") == F.lit(grid[0].label))
+    predictions = chosen.unionByName(lost)
+    return Scored(name, predictions, scored_with_failures(name, predictions, roles))
+
+
 def trial_quantiles(trials: DataFrame) -> DataFrame:
     """Distribution of MAE over segments for each order."""
     ok = trials.filter(F.col("mae").isNotNull())
@@ -303,13 +359,18 @@ def backtest_metrics(
     roles: Roles = Roles(),
     name: str = "seasonal_cluster_daily",
 ) -> DataFrame:
-    """Metrics per fold, horizon and model, next to the naive rule on the same rows."""
+    """Metrics per fold, horizon and model, next to the naive rule on the same rows.
+
+    ``n_failed_rows`` counts the rows of the fold and horizon without a prediction.
+    """
     wanted = F.array(*[F.lit(h) for h in sorted(set(plan.horizons))])
     ahead = F.datediff(roles.date, "train_end_date")
-    rows = predictions.filter(F.col("prediction").isNotNull()).withColumn(
-        "horizon_days", F.explode(F.filter(wanted, lambda h: ahead <= h))
-    )
-    return fold_metrics(rows, {name: "prediction", "seasonal_naive_7d": "lag_7"}, roles.target)
+    every = predictions.withColumn("horizon_days", F.explode(F.filter(wanted, lambda h: ahead <= h)))
+    missing = F.col("prediction").isNull()
+    failed = every.groupBy("fold", "horizon_days").agg(F.count_if(missing).alias("n_failed_rows"))
+    models = {name: "prediction", "seasonal_naive_7d": "lag_7"}
+    metrics = fold_metrics(every.filter(~missing), models, roles.target)
+    return metrics.join(failed, ["fold", "horizon_days"], "left")
 
 
 def fit_diagnostics(predictions: DataFrame, roles: Roles = Roles()) -> DataFrame:

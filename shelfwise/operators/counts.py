@@ -40,13 +40,18 @@ def count_diagnostics(fact: DataFrame, segment: str = "cluster", units: str = "u
     require_columns(fact, [segment, units], "fact")
     parts = fact.filter(F.col(units).isNotNull()).groupBy(segment).agg(*_moment_parts(units))
     n, mean = F.col("_n"), F.col("_mean")
-    grand = F.sum(n * mean) / F.sum(n)
-    raw_square = F.sum(n * (F.col("_var") + mean * mean)) / F.sum(n)
-    total = parts.agg(
-        F.sum(n).alias("_n"),
-        grand.alias("_mean"),
-        (raw_square - grand * grand).alias("_var"),
-        F.sum("_zero").alias("_zero"),
+    # The grand mean first, then squared distances from it: differences of large squares would
+    # lose the variance of large values. One row per segment is read here.
+    grand = parts.agg(F.sum(n * mean) / F.sum(n)).scalar()
+    away = mean - F.col("_grand")
+    total = (
+        parts.withColumn("_grand", grand)
+        .agg(
+            F.sum(n).alias("_n"),
+            F.max("_grand").alias("_mean"),
+            (F.sum(n * (F.col("_var") + away * away)) / F.sum(n)).alias("_var"),
+            F.sum("_zero").alias("_zero"),
+        )
     ).select(
         F.lit(ALL_ROWS).alias("scope"),
         F.lit(None).cast(fact.schema[segment].dataType).alias(segment),

@@ -121,14 +121,25 @@ def base_daily_sales(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def _one_event(events: DataFrame, keys: list[str], prefix: str, allow_fanout: bool) -> DataFrame:
-    name, strength = f"_{prefix}_name", f"_{prefix}_intensity"
+def _events_on(events: DataFrame, keys: list[str], prefix: str, allow_fanout: bool) -> DataFrame:
+    """One row per key with the strongest event and all names, or one row per event."""
+    name, strength, every = f"_{prefix}_name", f"_{prefix}_intensity", f"_{prefix}_names"
     if allow_fanout:
         return events.select(
-            *keys, F.col("event_name").alias(name), F.col("event_intensity").alias(strength)
+            *keys,
+            F.col("event_name").alias(name),
+            F.col("event_intensity").alias(strength),
+            F.array("event_name").alias(every),
         )
-    return events.groupBy(*keys).agg(
-        F.min("event_name").alias(name), F.max("event_intensity").alias(strength)
+    # Strongest first, events without intensity last; of equals the first name.
+    weakness = -F.coalesce(F.col("event_intensity"), F.lit(float("-inf")))
+    strongest = F.min(
+        F.struct(weakness.alias("weakness"), F.col("event_name").alias("name"), F.col("event_intensity").alias("strength"))
+    )
+    return (
+        events.groupBy(*keys)
+        .agg(strongest.alias("_e"), F.array_sort(F.collect_set("event_name")).alias(every))
+        .select(*keys, F.col("_e.name").alias(name), F.col("_e.strength").alias(strength), every)
     )
 
 
@@ -140,10 +151,11 @@ def merge_external(
 ) -> DataFrame:
     """Add weather and local events to the fact.
 
-    A store's own event wins over a city-wide one, column by column; a day without
-    events has intensity 0. Several events on one key are reduced to one (first
-    name, highest intensity) so that no sale is counted twice; ``allow_fanout``
-    keeps one output row per event instead. Columns of an absent table are null.
+    A store's own events win over city-wide ones; a day without events has intensity 0.
+    So that no sale is counted twice, ``event_name`` and ``event_intensity`` are those of the
+    strongest event on the key, of equals the one with the first name, and ``event_names``
+    lists all of them; ``allow_fanout`` keeps one output row per event instead. A store's
+    own event without intensity takes the city's. Columns of an absent table are null.
     """
     require_columns(fact, ["store_id", "date"], "fact")
     out = fact
@@ -154,18 +166,23 @@ def merge_external(
         out = attach(out, weather, ["store_id", "date"])
     if events is None:
         return out.withColumns(
-            {"event_name": F.lit(None).cast("string"), "event_intensity": F.lit(0.0)}
+            {
+                "event_name": F.lit(None).cast("string"),
+                "event_intensity": F.lit(0.0),
+                "event_names": F.lit(None).cast("array<string>"),
+            }
         )
     own = events.filter(F.col("store_id").isNotNull()).withColumn(
         "store_id", F.col("store_id").cast(fact.schema["store_id"].dataType)
     )
     city = events.filter(F.col("store_id").isNull()).drop("store_id")
-    out = attach(out, _one_event(own, ["store_id", "date"], "own", allow_fanout), ["store_id", "date"])
-    daily = _one_event(city, ["date"], "city", allow_fanout)
+    out = attach(out, _events_on(own, ["store_id", "date"], "own", allow_fanout), ["store_id", "date"])
+    daily = _events_on(city, ["date"], "city", allow_fanout)
     out = out.join(daily, ["date"], "left") if allow_fanout else attach_daily(out, daily)
     return out.withColumns(
         {
             "event_name": F.coalesce("_own_name", "_city_name"),
             "event_intensity": F.coalesce("_own_intensity", "_city_intensity", F.lit(0.0)),
+            "event_names": F.coalesce("_own_names", "_city_names"),
         }
-    ).drop("_own_name", "_city_name", "_own_intensity", "_city_intensity")
+    ).drop(*[f"_{who}_{what}" for who in ("own", "city") for what in ("name", "intensity", "names")])

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +47,21 @@ def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int
     return fitted, r2, int(rank)
 
 
+def _f_value(r2: float, model_df: int, resid_df: int) -> float:
+    """F statistic of a regression; not a number where it has no meaning.
+
+    That is so without regressors, without residual degrees of freedom, for a constant
+    response and for a perfect fit.
+    """
+    if model_df <= 0 or resid_df <= 0 or not r2 < 1.0:
+        return float("nan")
+    return (r2 / model_df) / ((1.0 - r2) / resid_df)
+
+
 def ols_segment(series: DataFrame, roles: Roles = Roles(), min_rows: int = MIN_ROWS) -> DataFrame:
     """Fitted values, residuals and Breusch-Pagan statistics for each segment's own model.
 
+    Statistics that a constant segment or one without varying regressors lacks are null.
     A segment has one row per calendar day, so a group fits a task. Every row of a
     segment repeats the segment's statistics.
     """
@@ -62,13 +75,13 @@ def ols_segment(series: DataFrame, roles: Roles = Roles(), min_rows: int = MIN_R
         _, aux_r2, rank = _least_squares(x, residual**2)
         n = len(y)
         model_df, resid_df = rank - 1, n - rank
-        f_value = (aux_r2 / model_df) / ((1.0 - aux_r2) / resid_df) if resid_df > 0 else np.nan
+        f_value = _f_value(aux_r2, model_df, resid_df)
         return out.assign(
             fitted=fitted,
             residual=residual,
             r_squared=r2,
             n_params=x.shape[1],
-            bp_lm=n * aux_r2,
+            bp_lm=n * aux_r2 if model_df > 0 else np.nan,
             bp_f=f_value,
             bp_df_model=model_df,
             bp_df_resid=resid_df,
@@ -81,7 +94,12 @@ def ols_segment(series: DataFrame, roles: Roles = Roles(), min_rows: int = MIN_R
         roles.segment, roles.date, "units", *COVARIATES, *DUMMIES, size.alias("_n")
     )
     enough = wanted.filter(F.col("_n") >= min_rows).drop("_n")
-    return enough.groupBy(roles.segment).applyInPandas(fit, schema)
+    fitted = enough.groupBy(roles.segment).applyInPandas(fit, schema)
+    return fitted.withColumns({name: _null_if_nan(name) for name in ("r_squared", "bp_lm", "bp_f")})
+
+
+def _null_if_nan(name: str) -> Column:
+    return F.when(~F.isnan(name), F.col(name))
 
 
 def ols_overall(series: DataFrame) -> DataFrame:
@@ -105,22 +123,36 @@ def ols_overall(series: DataFrame) -> DataFrame:
     scored = model.transform(rows).withColumn("residual", F.col("units") - F.col("fitted"))
     squared = scored.withColumn("_sq", F.col("residual") * F.col("residual"))
     aux = solver.copy({solver.labelCol: "_sq", solver.predictionCol: "_aux"}).fit(squared)
-    n, k = model.summary.numInstances, len(names)
-    aux_r2 = aux.summary.r2
-    resid_df = n - k - 1
+    n = model.summary.numInstances
+    # Columns that never vary, and dummies that others determine, do not count.
+    rank = _rank(rows)
+    r2, aux_r2 = float(model.summary.r2), float(aux.summary.r2)
+    lm = n * aux_r2 if rank > 1 else float("nan")
+    f_value = _f_value(aux_r2, rank - 1, n - rank)
+    known = lambda x: F.lit(x if x == x else None).cast("double")
     return scored.select(
         *series.columns,
         "fitted",
         "residual",
-        F.lit(float(model.summary.r2)).alias("r_squared"),
-        F.lit(k + 1).alias("n_params"),
-        F.lit(float(n * aux_r2)).alias("bp_lm"),
-        F.lit(float((aux_r2 / k) / ((1 - aux_r2) / resid_df))).alias("bp_f"),
-        F.lit(k).alias("bp_df_model"),
-        F.lit(resid_df).alias("bp_df_resid"),
+        known(r2).alias("r_squared"),
+        F.lit(len(names) + 1).alias("n_params"),
+        known(lm).alias("bp_lm"),
+        known(f_value).alias("bp_f"),
+        F.lit(rank - 1).alias("bp_df_model"),
+        F.lit(n - rank).alias("bp_df_resid"),
     )
 
 
+def _rank(rows: DataFrame) -> int:
+    """Rank of the design with its constant: from the correlations, at most 21 by 21."""
+    deviation = rows.select(Summarizer.std(F.col("_x")).alias("s")).first()["s"].toArray()
+    varying = np.flatnonzero(deviation > 0)
+    if not len(varying):
+        return 1
+    matrix = Correlation.corr(rows, "_x").first()[0].toArray()[np.ix_(varying, varying)]
+    return 1 + int(np.linalg.matrix_rank(matrix, hermitian=True, tol=1e-9 * len(varying)))
+
+
 def breusch_pagan_columns() -> dict[str, Column]:
     """p-values of the Lagrange multiplier and F forms of the Breusch-Pagan test."""
     return {

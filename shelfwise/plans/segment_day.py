@@ -25,13 +25,16 @@ from shelfwise.operators.enrich import (
 )
 
 
-def store_day_promo(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Units and number of sales per store, day and promotion flag, with the cluster."""
-    sales = canonical_sales(tables["sales"]).filter(
-        F.col("units").isNotNull() & F.col("date").isNotNull()
-    )
+def store_day_promo(tables: Mapping[str, DataFrame], counted_only: bool = True) -> DataFrame:
+    """Units and number of sales per store, day and promotion flag, with the cluster.
+
+    Sales without units count for nothing but, unless ``counted_only``, for the day's flags.
+    """
+    sales = canonical_sales(tables["sales"]).filter(F.col("date").isNotNull())
+    if counted_only:
+        sales = sales.filter(F.col("units").isNotNull())
     sums = sales.groupBy("store_id", "date", "on_promotion").agg(
-        F.sum("units").alias("units"), F.count(F.lit(1)).alias("n_sales")
+        F.sum("units").alias("units"), F.count("units").alias("n_sales")
     )
     joined = attach(sums, store_clusters(tables["stores"]), ["store_id"])
     return joined.filter(F.col("cluster").isNotNull())
@@ -65,8 +68,10 @@ def segment_daily_total(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def segment_day_any(tables: Mapping[str, DataFrame]) -> DataFrame:
-    sums = store_day_promo(tables).groupBy("cluster", "date").agg(
-        F.sum("units").alias("units"), F.bool_or("on_promotion").alias("on_promotion")
+    """A day whose sales all lack units has 0 units and keeps its flags."""
+    sums = store_day_promo(tables, counted_only=False).groupBy("cluster", "date").agg(
+        F.coalesce(F.sum("units"), F.lit(0.0)).alias("units"),
+        F.bool_or(flag(F.col("on_promotion"))).alias("on_promotion"),
     )
     joined = attach_daily(sums, holiday_daily(tables["holidays"]))
     return joined.withColumn("is_holiday_event", flag(F.col("is_holiday_event"))).select(

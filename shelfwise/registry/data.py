@@ -138,14 +138,19 @@ def oil_impute(spark, folder):
     "merge_external",
     with_more(
         """
-own AS (SELECT store_id, date, min(event_name) AS name, max(event_intensity) AS strength
+own AS (SELECT store_id, date, first(event_name ORDER BY event_intensity DESC, event_name) AS name,
+               first(event_intensity ORDER BY event_intensity DESC, event_name) AS strength,
+               string_agg(DISTINCT event_name, '|' ORDER BY event_name) AS names
         FROM events_in WHERE store_id IS NOT NULL GROUP BY ALL),
-city AS (SELECT date, min(event_name) AS name, max(event_intensity) AS strength
+city AS (SELECT date, first(event_name ORDER BY event_intensity DESC, event_name) AS name,
+                first(event_intensity ORDER BY event_intensity DESC, event_name) AS strength,
+                string_agg(DISTINCT event_name, '|' ORDER BY event_name) AS names
          FROM events_in WHERE store_id IS NULL GROUP BY ALL)""",
         """
 SELECT f.*, w.weather_temp_mean, w.weather_precip_sum, w.weather_wind_max,
        coalesce(o.name, c.name) AS event_name,
-       coalesce(o.strength, c.strength, CAST(0 AS DOUBLE)) AS event_intensity
+       coalesce(o.strength, c.strength, CAST(0 AS DOUBLE)) AS event_intensity,
+       coalesce(o.names, c.names) AS event_names
 FROM fact f
 LEFT JOIN weather w ON f.store_id = w.store_id AND f.date = w.date
 LEFT JOIN own o ON f.store_id = o.store_id AND f.date = o.date
@@ -155,7 +160,8 @@ LEFT JOIN city c ON f.date = c.date""",
 def merge_external(spark, folder):
     source = star.Star(spark, folder)
     weather = raw.explode_weather(star.weather_payloads(source))
-    return enrich.merge_external(fact(spark, folder), weather, star.events(source))
+    merged = enrich.merge_external(fact(spark, folder), weather, star.events(source))
+    return merged.withColumn("event_names", F.array_join("event_names", "|"))
 
 
 @query("negative_units", with_base("SELECT * FROM dirty WHERE units < 0"))

@@ -234,12 +234,12 @@ def count_diagnostics(spark, folder):
         _COUNTS,
         """
 SELECT cluster, round(dispersion_ratio, 6) AS dispersion_ratio FROM stats
-WHERE scope = 'segment' ORDER BY stats.dispersion_ratio DESC, cluster LIMIT 3""",
+WHERE scope = 'segment' ORDER BY stats.dispersion_ratio DESC, cluster LIMIT 12""",
     ),
 )
 def top_dispersion(spark, folder):
     table = counts.count_diagnostics(light_fact(spark, folder)).filter(F.col("scope") == "segment")
-    top = evaluate.top_rows(table, "dispersion_ratio", 3, "cluster")
+    top = evaluate.top_rows(table, "dispersion_ratio", 12, "cluster")
     return rounded(top.select("cluster", "dispersion_ratio"), "dispersion_ratio")
 
 

@@ -28,16 +28,14 @@ from shelfwise.registry.inputs import (
 from shelfwise.registry.views import with_more
 from shelfwise.sources import star
 
-# The SQL twins recompute every draw, so the checked queries use few replicates and
-# the hash that other engines have.
-TESTS = TestPlan(replicates=20, draw_hash="md5")
+# The SQL twins recompute every draw, so the checked queries use the hash that other engines have.
+TESTS = TestPlan(draw_hash="md5")
 # Promotions are sparse per store and class in this data; see FIXTURES.md.
 CAMPAIGNS = CampaignPlan(
     pre_days=365,
     post_days=365,
     min_promo_days=6,
     max_control_promo_days=3,
-    replicates=20,
     draw_hash="md5",
 )
 
@@ -67,7 +65,9 @@ def _moments(source: str, keys: str, arm: str, value: str) -> str:
     return f"SELECT {keys}, {sides} FROM {source} GROUP BY {keys}"
 
 
-def _boot(source: str, keys: str, label: str, arm: str, order: str, value: str) -> str:
+def _boot(
+    source: str, keys: str, label: str, arm: str, order: str, value: str, replicates: int = TestPlan.replicates
+) -> str:
     """CTEs ``numbered``, ``draws``, ``boot``: bootstrap means with md5 draws."""
     same = " AND ".join(f"d.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
     picked = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
@@ -79,7 +79,7 @@ numbered AS (
 draws AS (
   SELECT {keys}, arm, r.r AS replicate,
          ('0x' || substr(md5('42|' || {label} || '/' || arm::VARCHAR || '|' || r.r::VARCHAR || '|' || place::VARCHAR), 1, 8))::BIGINT % n AS pick
-  FROM numbered, (SELECT unnest(range(0, 20)) AS r) r),
+  FROM numbered, (SELECT unnest(range(0, {replicates})) AS r) r),
 boot AS (
   SELECT {keys}, quantile_cont(diff, 0.025::DOUBLE) AS ci_low, quantile_cont(diff, 0.975::DOUBLE) AS ci_high FROM (
     SELECT {picked}, replicate, avg(v.v) FILTER (d.arm) - avg(v.v) FILTER (NOT d.arm) AS diff
@@ -180,7 +180,7 @@ def bootstrap_ci(spark, folder):
     samples = promo_days(spark, folder).withColumn("place", place)
     return round_all(
         mean_difference_interval(
-            samples, ["cluster"], "on_promotion", "place", "units", 20, hash_name="md5", bounded=True
+            samples, ["cluster"], "on_promotion", "place", "units", TESTS.replicates, hash_name="md5", bounded=True
         )
     )
 
@@ -366,7 +366,7 @@ arms AS (SELECT *, role = 'treated' AS treated FROM changes),
 did_moments AS ("""
     + _moments("arms", "cluster, product_class", "treated", "change")
     + "),"
-    + _boot("arms", "cluster, product_class", "cluster::VARCHAR || '/' || product_class::VARCHAR || '/' || campaign_start::VARCHAR", "treated", "store_id", "change").replace(
+    + _boot("arms", "cluster, product_class", "cluster::VARCHAR || '/' || product_class::VARCHAR || '/' || campaign_start::VARCHAR", "treated", "store_id", "change", CAMPAIGNS.replicates).replace(
         "SELECT cluster, product_class, treated AS arm,", "SELECT cluster, product_class, campaign_start, treated AS arm,"
     )
     + f""",

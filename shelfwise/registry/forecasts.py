@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import FoldPlan
 from shelfwise.operators import evaluate
 from shelfwise.registry import query
-from shelfwise.registry.inputs import CUTOFF, frame, round_all, total, written_frame
+from shelfwise.registry.inputs import CUTOFF, frame, round_all, rounded, total, written_frame
 from shelfwise.registry.views import with_more
 
 FOLDS = FoldPlan()
@@ -81,6 +81,24 @@ def segment_drilldown(spark, folder):
     return round_all(table)
 
 
+@query(
+    "residual_rows",
+    with_more(
+        _SCORED,
+        """
+SELECT cluster, date, units, round(moving, 6) AS pred_moving_avg_7d, round(units - moving, 6) AS residual
+FROM scored WHERE date > DATE '2001-06-30' AND moving IS NOT NULL""",
+    ),
+)
+def residual_rows(spark, folder):
+    """Actual minus prediction of the moving average, row by row."""
+    rows = scored(spark, folder).filter(F.col("pred_moving_avg_7d").isNotNull())
+    table = evaluate.residual_rows(rows, "pred_moving_avg_7d")
+    return rounded(
+        table.select("cluster", "date", "units", "pred_moving_avg_7d", "residual"), "pred_moving_avg_7d", "residual"
+    )
+
+
 _FOLDS = """
 dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, count(*) OVER () AS n
           FROM (SELECT DISTINCT date FROM frame)),
@@ -224,6 +242,10 @@ IMPORTANCE = (
     "rolling_mean_7",
     "rolling_mean_28",
     "rolling_std_28",
+    "day_of_week",
+    "day_of_month",
+    "month",
+    "week_of_year",
 )
 
 
@@ -244,8 +266,8 @@ def importance_by_correlation(rows):
     "feature_overlap",
     with_more(
         f"""
-early AS (SELECT * FROM ({_importance_sql("date <= DATE '1998-06-30'")}) ORDER BY importance DESC, feature LIMIT 4),
-late AS (SELECT * FROM ({_importance_sql("date > DATE '1998-06-30'")}) ORDER BY importance DESC, feature LIMIT 4)""",
+early AS (SELECT * FROM ({_importance_sql("date <= DATE '1998-06-30'")}) ORDER BY importance DESC, feature LIMIT 10),
+late AS (SELECT * FROM ({_importance_sql("date > DATE '1998-06-30'")}) ORDER BY importance DESC, feature LIMIT 10)""",
         """
 SELECT coalesce(e.feature, l.feature) AS feature,
        CASE WHEN l.feature IS NULL THEN 'only_first' WHEN e.feature IS NULL THEN 'only_second'
@@ -258,4 +280,4 @@ def feature_overlap(spark, folder):
     rows, middle = written_frame(spark, folder), F.lit("1998-06-30").cast("date")
     early = importance_by_correlation(rows.filter(F.col("date") <= middle))
     late = importance_by_correlation(rows.filter(F.col("date") > middle))
-    return evaluate.ranked_overlap(early, late, 4)
+    return evaluate.ranked_overlap(early, late, 10)

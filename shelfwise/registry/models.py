@@ -15,8 +15,8 @@ from shelfwise.registry.inputs import CUTOFF, frame, round_all, written_frame
 # published runs are the defaults of the functions.
 SMALL = replace(STANDARD_TREES, trees=8, depth=4, step_size=0.3)
 SMALL_REGULARIZED = replace(REGULARIZED_TREES, trees=8, depth=3, step_size=0.3)
-FOLDS = FoldPlan(folds=3)
-SPACE = SearchSpace(trees=(4, 8), depth=(3, 4), step_size=(0.1, 0.3), trials=3)
+FOLDS = FoldPlan()
+SPACE = SearchSpace(trees=(4, 8), depth=(3, 4), step_size=(0.1, 0.3))
 
 
 def data(spark, folder):
@@ -65,6 +65,18 @@ def short_order_search(spark, folder):
     return round_all(seasonal.best_orders(trials))
 
 
+@query("order_trials")
+def order_trials(spark, folder):
+    """MAE of every order and segment, failed fits with their error."""
+    return round_all(seasonal.order_trials(frame(spark, folder), CUTOFF))
+
+
+@query("order_search_metrics")
+def order_search_metrics(spark, folder):
+    """Every segment's best order, scored as one model next to the naive rule."""
+    return round_all(seasonal.order_search(frame(spark, folder), CUTOFF).metrics)
+
+
 @query("trial_quantiles")
 def trial_quantiles(spark, folder):
     return round_all(seasonal.trial_quantiles(seasonal.order_trials(frame(spark, folder), CUTOFF)))
@@ -100,3 +112,8 @@ def overfit(spark, folder):
 @query("random_search")
 def random_search(spark, folder):
     return round_all(search.random_search(data(spark, folder), SPACE))
+
+
+@query("best_trial")
+def best_trial(spark, folder):
+    return round_all(search.best_trial(search.random_search(data(spark, folder), SPACE)))

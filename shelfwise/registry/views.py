@@ -82,9 +82,10 @@ events_in AS (
   SELECT date, 'City Day' AS event_name, CAST(NULL AS BIGINT) AS store_id, CAST(1.5 AS DOUBLE) AS event_intensity
   FROM (SELECT DISTINCT date FROM sales) WHERE day(date) = 20 AND month(date) IN (3, 9)
   UNION ALL
-  SELECT d.date, 'Shop Day', d.store_id, CAST(1.2 AS DOUBLE)
-  FROM store_days d JOIN supplier ON d.store_id = s_suppkey
-  WHERE month(d.date) = 8 AND day(d.date) = s_nationkey + 1),
+  SELECT d.date, e.name, d.store_id, CAST(e.strength AS DOUBLE)
+  FROM store_days d JOIN supplier ON d.store_id = s_suppkey,
+       (VALUES ('Shop Day', 1.2, 0), ('Fair', 1.1, 1)) e(name, strength, odd_only)
+  WHERE month(d.date) = 8 AND day(d.date) = s_nationkey + 1 AND (e.odd_only = 0 OR d.store_id % 2 = 1)),
 base AS (
   SELECT cluster, date, sum(units) AS units, avg(on_promotion::INT) AS promo_rate,
          avg(is_holiday_event::INT) AS holiday_rate, round(avg(oil_price), 6) AS oil_price,

@@ -197,7 +197,8 @@ def weather_payloads(star: Star) -> DataFrame:
 
 
 def events(star: Star) -> DataFrame:
-    """City-wide events on 20 March and 20 September, and one August day per store.
+    """City-wide events on 20 March and 20 September, and one August day per store, with two
+    events in odd stores.
 
     The store's day in August is its nation number plus one.
     """
@@ -225,7 +226,11 @@ def events(star: Star) -> DataFrame:
             F.lit(1.2).alias("event_intensity"),
         )
     )
-    return city.unionByName(shop)
+    # Odd stores have a second, weaker event on the same day.
+    fair = shop.filter(F.col("store_id") % 2 == 1).withColumns(
+        {"event_name": F.lit("Fair"), "event_intensity": F.lit(1.1)}
+    )
+    return city.unionByName(shop).unionByName(fair)
 
 
 def coordinates(star: Star) -> DataFrame:

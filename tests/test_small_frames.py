@@ -59,7 +59,7 @@ def test_store_event_wins_and_facts_do_not_multiply(spark):
         [(day, "City", None, 1.5), (day, "Shop B", 1, 1.0), (day, "Shop A", 1, None)], EVENTS
     )
     out = enrich.merge_external(base, None, events).filter(F.col("date") == F.lit(day)).collect()
-    assert [(r.event_name, r.event_intensity) for r in out] == [("Shop A", 1.0)]
+    assert [(r.event_name, r.event_intensity, r.event_names) for r in out] == [("Shop B", 1.0, ["Shop A", "Shop B"])]
     wide = enrich.merge_external(base, None, events, allow_fanout=True)
     kept = {(r.event_name, r.event_intensity) for r in wide.filter(F.col("date") == F.lit(day)).collect()}
     assert kept == {("Shop B", 1.0), ("Shop A", 1.5)}
@@ -67,7 +67,7 @@ def test_store_event_wins_and_facts_do_not_multiply(spark):
 
 def test_absent_optional_tables_give_fixed_columns(spark):
     out = enrich.merge_external(spark.createDataFrame(BASE_ROWS, BASE), None, None)
-    assert out.columns[-2:] == ["event_name", "event_intensity"]
+    assert out.columns[-3:] == ["event_name", "event_intensity", "event_names"]
     empty = raw.read_local_events(spark, "/nonexistent/events.csv")
     assert empty.count() == 0
     assert enrich.merge_external(spark.createDataFrame(BASE_ROWS, BASE), None, empty).count() == 2
