@@ -3,9 +3,14 @@
 A window that orders a whole column, or a column inside a group that may hold a
 third of all rows, runs in one task. The functions here first count equal values
 (partial aggregation does that on the map side) and then split the distinct values
-into buckets whose order follows the value. The running work is done inside
-(group, bucket), and only bucket totals, at most a few thousand rows per group,
-are ordered in one task.
+into buckets whose order follows the value: first by the logarithm, which needs no
+statistics, then ``LEVELS`` times by the value range of each bucket, into as many
+parts as its number of values asks for. So values far from zero with a small spread
+are spread as well. The running work is done inside (group, bucket), and only bucket
+totals are ordered together.
+
+Not-a-number comes after all other values and infinities at the ends, as Spark orders
+them.
 """
 
 from __future__ import annotations
@@ -14,9 +19,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKETS_PER_OCTAVE = 64
+BUCKETS_PER_OCTAVE = 8
+LEVELS = 2
+VALUES_PER_BUCKET = 4096
 _LOWEST_EXPONENT = 1075  # doubles reach down to 2**-1074
+_END = 1 << 40
+HASH_BUCKETS = 4096
 
 
 def order_bucket(value: Column) -> Column:
@@ -24,20 +34,48 @@ def order_bucket(value: Column) -> Column:
 
     It needs no minimum, maximum or sample, so two runs of the same plan agree.
     """
-    step = F.floor((F.log2(F.abs(value)) + _LOWEST_EXPONENT) * BUCKETS_PER_OCTAVE) + 1
+    x = value.cast("double")
+    step = F.floor((F.log2(F.abs(x)) + _LOWEST_EXPONENT) * BUCKETS_PER_OCTAVE) + 1
     return (
-        F.when(value == 0, F.lit(0))
-        .when(value > 0, step)
+        F.when(F.isnan(x), F.lit(_END + 1))
+        .when(x == float("inf"), F.lit(_END))
+        .when(x == float("-inf"), F.lit(-_END))
+        .when(x == 0, F.lit(0))
+        .when(x > 0, step)
         .otherwise(-step)
         .cast("long")
     )
 
 
+def with_buckets(histogram: DataFrame, keys: Sequence[str], value: str, out: str = "_bucket") -> DataFrame:
+    """Add ``out``, an array of bucket numbers that sorts like the value."""
+    x = F.col(value).cast("double")
+    df = histogram.withColumn(out, F.array(order_bucket(F.col(value))))
+    for _ in range(LEVELS):
+        ranges = df.groupBy(*keys, out).agg(
+            F.min(x).alias("_low"), F.max(x).alias("_high"), F.count(F.lit(1)).alias("_values")
+        )
+        # A bucket that is small enough stays as it is, so most joins see few rows.
+        ranges = ranges.filter((F.col("_values") > VALUES_PER_BUCKET) & (F.col("_high") > F.col("_low")))
+        ranges = ranges.select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(out).alias("_of"), "_low", "_high", "_values"
+        )
+        same = F.col(out) == F.col("_of")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        parts = F.ceil(F.col("_values") / VALUES_PER_BUCKET)
+        place = F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)
+        inner = F.coalesce(F.least(place, parts - 1), F.lit(0)).cast("long")
+        names = [c for c in df.columns if c != out]
+        df = df.join(ranges, same, "left").select(*names, F.concat(out, F.array(inner)).alias(out))
+    return df
+
+
 def running_counts(
     histogram: DataFrame, keys: Sequence[str], value: str, weight: str
 ) -> DataFrame:
     """Add ``n_below``, ``n_through`` and ``n_total`` to one row per (keys, value)."""
-    bucketed = histogram.withColumn("_bucket", order_bucket(F.col(value)))
+    bucketed = with_buckets(histogram, keys, value)
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_in_bucket"))
     per_key = Window.partitionBy(*keys)
     through = F.sum("_in_bucket").over(per_key.orderBy("_bucket"))
@@ -93,7 +131,9 @@ def quantiles_of(
     for name, p in probabilities.items():
         place = F.lit(float(p)) * (F.col("_n") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        columns.append((low + (high - low) * (place - F.floor(place))).alias(name))
+        between = low + (high - low) * (place - F.floor(place))
+        # Equal ends may be infinite; their difference is no number.
+        columns.append(F.when(low == high, low).otherwise(between).alias(name))
     return picked.select(*keys, *columns, *(extra or {}))
 
 
@@ -113,7 +153,7 @@ def suffix_minimum(
     Rows with equal ``order`` see each other. The windows run from the highest value
     down, so every frame grows by one row at a time.
     """
-    bucketed = df.withColumn("_bucket", order_bucket(F.col(order)))
+    bucketed = with_buckets(df, keys, order)
     lows = bucketed.groupBy(*keys, "_bucket").agg(F.min(measure).alias("_low"))
     later = Window.partitionBy(*keys).orderBy(F.desc("_bucket"))
     beyond = lows.select(
@@ -143,11 +183,17 @@ def number_rows(
     out: str,
     width: int = 1 << 16,
 ) -> DataFrame:
-    """Zero-based position by an integer column that is unique within each key.
+    """Zero-based position by a column that is unique within each key.
 
-    A bucket holds at most ``width`` rows, because the order column is unique.
+    Positions follow a numeric column; its buckets hold at most ``width`` rows, because
+    the column is unique. Positions of another type follow a hash of it first, which
+    spreads any ids evenly.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        bucket = F.floor(F.col(order) / F.lit(width))
+    else:
+        bucket = F.pmod(F.xxhash64(order), F.lit(HASH_BUCKETS))
+    bucketed = df.withColumn("_bucket", bucket)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     running = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket"))
     offsets = sizes.select(*keys, "_bucket", (running - F.col("_size")).alias("_before"))

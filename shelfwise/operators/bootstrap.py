@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import require_columns
 
-ARRAY_LIMIT = 1 << 17
 REPLICATES_PER_TASK_ROW = 50
 
 
@@ -71,7 +70,7 @@ def _replicate_means_in_arrays(
 def _replicate_means_by_join(
     samples: DataFrame, by: list[str], position: str, value: str, replicates: int, seed: int, hash_name: str
 ) -> DataFrame:
-    """The same means for arms too large for one array: every draw joins its value."""
+    """The same means for arms of any size: every draw joins its value."""
     index = draw_index(seed, F.col("_label"), F.col("_replicate"), F.col(position), F.col("_n"), hash_name)
     draws = samples.withColumn(
         "_replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
@@ -92,26 +91,19 @@ def mean_difference_interval(
     alpha: float = 0.05,
     hash_name: str = "xxhash64",
     bounded: bool = False,
-    array_limit: int = ARRAY_LIMIT,
 ) -> DataFrame:
     """``ci_low`` and ``ci_high`` of mean(arm) - mean(not arm) per key.
 
     ``position`` numbers the values of an arm from 0. ``bounded`` states that every
-    arm has at most one value per calendar day; otherwise arms with more than
-    ``array_limit`` values take the join path, which gives the same numbers.
+    arm has at most one value per calendar day, so that an arm is one array; otherwise
+    every draw joins its value, which gives the same numbers.
     """
     require_columns(samples, [*keys, arm, position, value], "samples")
     by = [*keys, arm]
     sizes = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sized = samples.join(sizes, by).withColumn("_label", _label(keys, arm))
     rest = (by, position, value, replicates, seed, hash_name)
-    if bounded:
-        means = _replicate_means_in_arrays(sized, *rest)
-    else:
-        small = F.col("_n") <= array_limit
-        means = _replicate_means_in_arrays(sized.filter(small), *rest).unionByName(
-            _replicate_means_by_join(sized.filter(~small), *rest)
-        )
+    means = (_replicate_means_in_arrays if bounded else _replicate_means_by_join)(sized, *rest)
     on = F.max(F.when(F.col(arm), F.col("_mean")))
     off = F.max(F.when(~F.col(arm), F.col("_mean")))
     diffs = means.groupBy(*keys, "_replicate").agg((on - off).alias("_diff"))
