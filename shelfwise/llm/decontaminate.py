@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.words import Slice, mix, slices
 
-DEPTH, SAMPLE, TABLES = 32, 14, 4
-REST, WALKS, AGREE = 128, 3, 0.3
+DEPTH, SAMPLE, TABLES = 24, 16, 4
+REST, WALKS, AGREE = 96, 3, 0.55
 MOST_EDITS = 0.2
 SHORTEST = 24
 LONG_WORD = 32
@@ -44,22 +44,24 @@ BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 15
 FILTER_BITS = 20
 SCHEMA = "doc_id long, item_id long, edits int, item_chars int"
-_PRIME = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
 def _moves(seed: int, steps: int) -> np.ndarray:
     """Random bit per step and character."""
     codes = np.arange(steps * 256, dtype=np.uint64)
-    return (mix(codes, 1000 + seed) >> np.uint64(63)).astype(np.int64).reshape(steps, 256)
+    return (mix(codes, 1000 + seed) >> np.uint64(63)).astype(np.int32).reshape(steps, 256)
 
 
-def _samples() -> np.ndarray:
-    """Coordinates of each table, increasing."""
-    picked = [np.argsort(mix(np.arange(DEPTH, dtype=np.uint64), 2000 + t))[:SAMPLE] for t in range(TABLES)]
-    return np.sort(np.array(picked), axis=1)
+def _masks() -> np.ndarray:
+    """Bytes of the coordinates that each table samples, as words."""
+    out = np.zeros((TABLES, DEPTH), dtype=np.uint8)
+    for t in range(TABLES):
+        out[t, np.argsort(mix(np.arange(DEPTH, dtype=np.uint64), 2000 + t))[:SAMPLE]] = 255
+    return out.view(np.uint64)
 
 
-_KEY_MOVES, _SAMPLES = _moves(0, DEPTH), _samples()
+_KEY_MOVES, _MASKS = _moves(0, DEPTH), _masks()
 _REST_MOVES = [_moves(1 + w, REST) for w in range(WALKS)]
 
 
@@ -85,31 +87,39 @@ def normalised(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def window_keys(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[table, window] hash of the sampled coordinates of the embedding."""
-    keys = np.zeros((TABLES, len(starts)), dtype=np.uint64)
-    at = starts.copy()
+    codes = np.empty((len(starts), DEPTH), dtype=np.uint8)
+    at = starts.astype(np.int32)
     for step in range(DEPTH):
-        char = text[at]
-        for t in range(TABLES):
-            if step in _SAMPLES[t]:
-                keys[t] = keys[t] * _PRIME + char
-        at += _KEY_MOVES[step][char]
-    return mix(keys)
+        char = np.take(text, at)
+        codes[:, step] = char
+        at += np.take(_KEY_MOVES[step], char)
+    # Eight coordinates are one word; a table's sample is a mask of bytes.
+    words = codes.view(np.uint64)
+    keys = np.empty((TABLES, len(starts)), dtype=np.uint64)
+    for t in range(TABLES):
+        keys[t] = 0
+        for k in range(words.shape[1]):
+            keys[t] = (keys[t] + (words[:, k] & _MASKS[t, k])) * _SPREAD
+            keys[t] ^= keys[t] >> np.uint64(29)
+        keys[t] *= _SPREAD
+    return keys
 
 
 def _rest_agrees(text: np.ndarray, at: np.ndarray, items: np.ndarray, item_at: np.ndarray, item_end: np.ndarray) -> np.ndarray:
     """Whether some embedding of both rests agrees in enough coordinates of the item's."""
     fine = np.zeros(len(at), dtype=bool)
     for moves in _REST_MOVES:
-        x, y = at.copy(), item_at.copy()
-        same, steps = np.zeros(len(at), dtype=np.int32), np.zeros(len(at), dtype=np.int32)
+        todo = np.flatnonzero(~fine)
+        x, y, end = at[todo].astype(np.int32), item_at[todo].astype(np.int32), item_end[todo].astype(np.int32)
+        same, steps = np.zeros(len(todo), dtype=np.int16), np.zeros(len(todo), dtype=np.int16)
         for step in range(REST):
-            live = y < item_end
-            a, b = text[x], items[np.minimum(y, len(items) - 1)]
+            a, b = np.take(text, x), np.take(items, y)
+            live = y < end
             same += (a == b) & live
             steps += live
-            x += moves[step][a]
-            y += moves[step][b]
-        fine |= same >= AGREE * steps
+            x += np.take(moves[step], a)
+            y += np.take(moves[step], b)
+        fine[todo] = same >= AGREE * steps
     return fine
 
 
