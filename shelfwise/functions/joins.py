@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def attach(fact: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -25,6 +26,10 @@ def attach_daily(fact: DataFrame, daily: DataFrame, date: str = "date") -> DataF
     """Left join with a table the caller has grouped by ``date``.
 
     A century of days is 36,525 rows, so the broadcast side stays under a few
-    megabytes for any size of the fact.
+    megabytes for any size of the fact. That holds for days only, so the key must be
+    a date.
     """
+    kind = daily.schema[date].dataType
+    if not isinstance(kind, T.DateType):
+        raise TypeError(f"{date} must be a date, not {kind.simpleString()}")
     return fact.join(F.broadcast(daily), [date], "left")

@@ -58,7 +58,7 @@ def oil_daily(oil: DataFrame, sales_dates: DataFrame) -> DataFrame:
             .alias("_price"),
         )
     )
-    looked_up = sales_dates.join(F.broadcast(known), ["date"], "left")
+    looked_up = attach_daily(sales_dates, known)
     return looked_up.select(
         "date",
         fill_both_ways(F.col("_price"), "date").alias("oil_price"),

@@ -55,12 +55,25 @@ def missing_dates(
     The fact is reduced to distinct (segment, day) before it is ordered, so a
     segment has at most one row per calendar day in its window.
     """
+    gaps = _gaps(fact, segment, date)
+    between = F.sequence(F.date_add(date, 1), F.date_sub("_next", 1))
+    return gaps.select(*segment, F.explode(between).alias(date))
+
+
+def missing_date_counts(
+    fact: DataFrame, segment: Sequence[str] = ID_COLUMNS, date: str = "date"
+) -> DataFrame:
+    """Number of such days per segment that has any, without listing them."""
+    missing = F.datediff("_next", date).cast("long") - 1
+    return _gaps(fact, segment, date).groupBy(*segment).agg(F.sum(missing).alias("n_missing"))
+
+
+def _gaps(fact: DataFrame, segment: Sequence[str], date: str) -> DataFrame:
+    """Days that are followed by a gap, with the day after the gap as ``_next``."""
     require_columns(fact, [*segment, date], "fact")
     days = fact.select(*segment, F.col(date).cast("date").alias(date)).dropna().distinct()
     following = F.lead(date).over(Window.partitionBy(*segment).orderBy(date))
-    gaps = days.withColumn("_next", following).filter(F.datediff("_next", date) > 1)
-    between = F.sequence(F.date_add(date, 1), F.date_sub("_next", 1))
-    return gaps.select(*segment, F.explode(between).alias(date))
+    return days.withColumn("_next", following).filter(F.datediff("_next", date) > 1)
 
 
 def validation_summary(

@@ -75,8 +75,9 @@ def base_daily_sales(spark, folder):
 def write_training_table(spark, folder):
     target = fresh_path(spark, "training")
     sinks.write_training_table(fact(spark, folder), target)
+    # The month is the folder's name as it was written; inferred, it would not be text.
     written = raw.read_fact(spark, target)
-    return written.withColumn("year_month", F.date_format("date", "yyyy-MM"))
+    return written.withColumn("year_month", F.col("year_month").cast("string"))
 
 
 @query(
@@ -208,15 +209,10 @@ FROM pairs WHERE gap > 0 GROUP BY store_id""",
     ),
 )
 def missing_pair_dates(spark, folder):
-    """Missing days of every store-product pair, counted per store.
-
-    All of them are listed by the operator; at scale factor 0.01 that is already
-    millions of rows, so the query sums them up.
-    """
-    listed = quality.missing_dates(star.dirty_sales(star.Star(spark, folder)))
-    per_pair = listed.groupBy("store_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    """Missing days of every store-product pair, counted per store."""
+    per_pair = quality.missing_date_counts(star.dirty_sales(star.Star(spark, folder)))
     return per_pair.groupBy("store_id").agg(
-        F.sum("n").alias("n_missing"), F.count(F.lit(1)).alias("n_products")
+        F.sum("n_missing").alias("n_missing"), F.count(F.lit(1)).alias("n_products")
     )
 
 
