@@ -1,17 +1,22 @@
 """Near-duplicate components by a multi-index Hamming join of b-bit MinHash signatures.
 
 Method. A document's set holds its distinct shingles of ``SHINGLE`` words. Its signature has
-``CHUNKS`` chunks of four 16-bit minima, so one chunk is one long. Two signatures whose distance
+``CHUNKS`` chunks of five 12-bit minima, so one chunk is one long. Two signatures whose distance
 (number of differing minima) is at most ``RADIUS`` = 2 * CHUNKS - 1 agree, by the pigeonhole
-principle, in at least three minima of some chunk. So each chunk is indexed under its four keys
+principle, in at least four minima of some chunk. So each chunk is indexed under its five keys
 that leave one minimum out, and every pair within the radius shares a key. At a similarity of 0.8
-a minimum differs with probability 0.2, and a distance above 23 of 48 has a probability of about
-1e-5; more similar pairs are safer still. Pairs within the radius are confirmed on full sets.
-
-Scale. Documents with equal sets are one class with one signature. Key groups are never paired
-out: each key links its members to one pivot, found by a partial aggregate. Only members of a key
-that end in different components are compared with each other afterwards, under the distance
-condition, so that no link is lost; a large group of copies is one component by then.
+a minimum differs with probability 0.2, and a distance above 31 of 80 has a probability below 1e-4;
+more similar pairs are safer still. Pairs within the radius are confirmed on full sets.
+
+Scale. Documents with equal sets are one class with one signature. The pairs of a key are never
+listed. First each key links its members to one pivot: a task links the members it holds to its own
+pivot and passes on only that, so a hot key sends one entry a task. Members of a key that the
+confirmed links leave in different components are then compared across components: they meet
+only if their rarest fifth of shingles, which any two sets of similarity 0.8 must share a shingle
+of, have one in common at positions that still allow the overlap, and if two bits of each minimum
+allow the distance. A copy in a large group that has too
+many shingles of its own thus meets nobody, and no link is lost. Texts are never shuffled: a bit map
+of constant size selects the documents whose sets are built again.
 
 Rules for odd rows. Null or word-less texts have an empty set, link with nothing and are their own
 component. Rows that share a doc_id are one document. A row without doc_id takes no part: its
@@ -29,20 +34,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.lineage import pin
+from shelfwise.llm.bitmap import bit_map, marked, place
 from shelfwise.llm.components import components
 from shelfwise.llm.words import mix, slices, span_hashes
 
 SHINGLE = 2
 SIMILARITY_PERCENT = 80
-CHUNKS = 12
-LANES = 4
+CHUNKS = 16
+LANES = 5
 RADIUS = 2 * CHUNKS - 1
+COUNT_BITS = 18
+PIVOT_ORDERS = 4
 CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
+#: Lowest and second lowest bits of the first 64 minima: a short lower bound of the distance.
+PLANES = ["low_bits", "next_bits"]
 _LANE_BITS = 64 // LANES
+_LANE = (1 << _LANE_BITS) - 1
 _MULTIPLIERS = mix(np.arange(1, CHUNKS * LANES + 1, dtype=np.uint64), 11) | np.uint64(1)
 SIGNATURE_SCHEMA = (
     "doc_id long, n_shingles long, set_low long, set_high long, "
-    + ", ".join(f"{c} long" for c in CHUNK_COLUMNS)
+    + ", ".join(f"{c} long" for c in [*CHUNK_COLUMNS, *PLANES])
 )
 SET_SCHEMA = "doc_id long, shingles binary"
 
@@ -73,16 +84,19 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """``CHUNKS`` longs of four 16-bit minima each."""
+    """``CHUNKS`` longs of five 12-bit minima each, then the bit planes."""
     mixed = mix(shingles, 3)
     minima = np.full(len(_MULTIPLIERS), 2**64 - 1, dtype=np.uint64)
     for low in range(0, len(mixed), 4096):
         part = np.multiply.outer(mixed[low : low + 4096], _MULTIPLIERS)
         np.minimum(minima, part.min(axis=0), out=minima)
     # The minimum itself is small; its low bits are even only after mixing.
-    lanes = (mix(minima, 5) & np.uint64(0xFFFF)).reshape(CHUNKS, LANES)
+    lanes = mix(minima, 5) & np.uint64(_LANE)
     shifts = (np.arange(LANES) * _LANE_BITS).astype(np.uint64)
-    return (lanes << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+    chunks = (lanes.reshape(CHUNKS, LANES) << shifts).sum(axis=1, dtype=np.uint64)
+    places = np.arange(64, dtype=np.uint64)
+    planes = [((lanes[:64] >> np.uint64(bit) & np.uint64(1)) << places).sum(dtype=np.uint64) for bit in (0, 1)]
+    return np.concatenate([chunks, np.array(planes, dtype=np.uint64)]).view(np.int64)
 
 
 def _signatures(width: int):
@@ -91,7 +105,7 @@ def _signatures(width: int):
             n = batch.num_rows
             sizes = np.zeros(n, dtype=np.int64)
             prints = np.zeros((n, 2), dtype=np.uint64)
-            chunks = np.zeros((n, CHUNKS), dtype=np.int64)
+            chunks = np.zeros((n, CHUNKS + len(PLANES)), dtype=np.int64)
             for row, found in shingle_sets(batch.column("text"), width):
                 sizes[row] = len(found)
                 if len(found):
@@ -99,16 +113,18 @@ def _signatures(width: int):
                     chunks[row] = signature(found)
             columns = [batch.column("doc_id"), pa.array(sizes)]
             columns += [pa.array(prints[:, i].view(np.int64)) for i in (0, 1)]
-            columns += [pa.array(chunks[:, i].copy()) for i in range(CHUNKS)]
-            names = ["doc_id", "n_shingles", "set_low", "set_high", *CHUNK_COLUMNS]
+            columns += [pa.array(chunks[:, i].copy()) for i in range(chunks.shape[1])]
+            names = ["doc_id", "n_shingles", "set_low", "set_high", *CHUNK_COLUMNS, *PLANES]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
         for batch in batches:
+            batch = batch.filter(pa.array(marked(known, batch.column("place").to_numpy())))
             ids = batch.column("doc_id").to_pylist()
             held: list[tuple[int, bytes]] = []
             size = 0
@@ -153,23 +169,102 @@ def _far_lanes(left: str, right: str) -> Column:
     terms = []
     for name in CHUNK_COLUMNS:
         x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
-        # The lowest bit of a lane gathers all its bits.
-        for shift in (8, 4, 2, 1):
+        # The lowest bit of a lane gathers its twelve bits.
+        for shift in (6, 3, 1, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        terms.append(F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
+        terms.append(F.bit_count(x.bitwiseAND(F.lit(sum(1 << (i * _LANE_BITS) for i in range(LANES))))))
     return reduce(Column.__add__, terms)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """One row per class and key: each chunk with one minimum left out."""
-    lane = (1 << _LANE_BITS) - 1
+def _key_columns() -> list[Column]:
+    """The keys of a signature: each chunk with one minimum left out."""
     keys = []
     for i, name in enumerate(CHUNK_COLUMNS):
         for j in range(LANES):
-            mask = ~(lane << (j * _LANE_BITS)) & (2**64 - 1)
+            mask = ~(_LANE << (j * _LANE_BITS)) & (2**64 - 1)
             mask = mask - 2**64 if mask >= 2**63 else mask
             keys.append(F.xxhash64(F.col(name).bitwiseAND(F.lit(mask)), F.lit(i * LANES + j)))
-    return classes.select("class_id", F.explode(F.array(*keys)).alias("key"))
+    return keys
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of all (value, keys) rows, sorted by key, then by a hash of both."""
+    lists = batch.column("keys")
+    keys = lists.flatten().to_numpy()
+    values = np.repeat(batch.column("value").to_numpy(), len(keys) // max(1, batch.num_rows))
+    return _by_key(keys, values)
+
+
+def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first value of a key is the least in one of ``PIVOT_ORDERS`` orders that the key picks.
+
+    So all keys of a large group have few pivots between them, and its members few pairs, but one
+    odd pivot does not decide alone.
+    """
+    orders = keys.view(np.uint64) % np.uint64(PIVOT_ORDERS)
+    rank = mix(values.view(np.uint64) + orders * np.uint64(0x9E3779B97F4A7C15), 51)
+    order = np.lexsort((values, rank, keys))
+    return keys[order], values[order]
+
+
+def _packed(buckets: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    bucket = (mix(keys.view(np.uint64), 52) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
+            pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+            pa.array([values[p].tobytes() for p in parts], pa.binary()),
+        ],
+        ["bucket", "keys", "values"],
+    )
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    join = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64)
+    return _by_key(join("keys"), join("values"))
+
+
+def _stars(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Links of each key's members to its first one."""
+    opens = np.ones(len(keys), dtype=bool)
+    opens[1:] = keys[1:] != keys[:-1]
+    pivots = values[np.flatnonzero(opens)[np.cumsum(opens) - 1]] if len(keys) else values
+    pairs = np.stack([np.minimum(values, pivots), np.maximum(values, pivots)], axis=1)
+    pairs = np.unique(pairs[values != pivots], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _own_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _stars(*_entries(batch))
+
+
+def _pass_on(buckets: int, distinct: bool):
+    """Packed (key, value): the first value of each key, or all different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = _entries(batch)
+            keep = np.ones(len(keys), dtype=bool)
+            keep[1:] = keys[1:] != keys[:-1]
+            if distinct:
+                keep[1:] |= values[1:] != values[:-1]
+            yield _packed(buckets, keys[keep], values[keep])
+
+    return run
+
+
+def _bucket_stars(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_stars(*_unpacked(table))])
+
+
+def _apart(table: pa.Table) -> pa.Table:
+    """Keys with different values."""
+    keys, values = _unpacked(table)
+    split = (keys[1:] == keys[:-1]) & (values[1:] != values[:-1])
+    return pa.table({"key": pa.array(np.unique(keys[1:][split]))})
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -186,77 +281,179 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that the full sets confirm. The texts are read again for documents in pairs only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), SET_SCHEMA)
+def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles of the documents in ``wanted`` (doc_id).
+
+    Texts are selected by a bit map whose size does not grow; where it lets others pass, the join of
+    the sets with ``wanted`` removes them.
+    """
+    shared = bit_map(wanted, "doc_id")
+    placed = docs.where("doc_id IS NOT NULL").withColumn("place", place(F.col("doc_id")))
+    return placed.mapInArrow(_sets(width, shared), SET_SCHEMA).join(wanted, "doc_id", "left_semi")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the full sets confirm."""
     both = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
     return both.mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    for batch in batches:
+        for value in batch.column("shingles"):
+            np.add.at(counts, _slot(np.frombuffer(value.as_buffer(), dtype=np.uint64)), 1)
+    parts = counts.reshape(16, -1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"]
+    )
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), dtype=np.int64) for v in table.column("counts"))
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(counts, percent: int):
+    """The rarest shingles of each set, enough that sets of the similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = counts.value
+        for batch in batches:
+            lists, sizes = [], []
+            for value in batch.column("shingles"):
+                found = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                n = len(found)
+                order = np.lexsort((found, rarity[_slot(found)]))
+                lists.append(found[order[: n - -(-n * percent // 100) + 1]])
+                sizes.append(n)
+            if not lists:
+                continue
+            long = np.array([len(x) for x in lists])
+            every = lambda x: pa.array(np.repeat(x, long))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(lists).view(np.int64)),
+                    every(batch.column("doc_id").to_numpy()),
+                    every(batch.column("place").to_numpy()),
+                    every(np.array(sizes, dtype=np.int32)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in long])),
+                    *(every(batch.column(c).to_numpy()) for c in PLANES),
+                ],
+                ["shingle", "doc_id", "place", "n", "at", *PLANES],
+            )
+
+    return run
+
+
+def _across(open_sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different places whose rarest shingles allow the similarity."""
+    parts = (
+        open_sets.select("shingles").mapInArrow(_count, "part int, counts binary")
+        .groupBy("part").applyInArrow(_add_counts, "part int, counts binary").toArrow().sort_by("part")
+    )
+    counts = np.frombuffer(b"".join(parts.column("counts").to_pylist()), dtype=np.int64)
+    if not len(counts):
+        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    shared = open_sets.sparkSession.sparkContext.broadcast(counts)
+    prefixes = pin(
+        open_sets.mapInArrow(
+            _prefixes(shared, percent),
+            "shingle long, doc_id long, place long, n int, at int, low_bits long, next_bits long",
+        ),
+        "prefixes",
+    )
+    met = (
+        prefixes.groupBy("shingle")
+        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
+        .where("low < high")
+        .select("shingle")
+    )
+    met = prefixes.join(met, "shingle", "left_semi")
+    x, y = met.alias("x"), met.alias("y")
+    # At the first common shingle all that can be common stands there or behind it.
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    differ = [F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")) for p in PLANES]
+    apart = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.doc_id") < F.col("y.doc_id"))
+        & (F.col("x.place") != F.col("y.place"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
+        & (F.bit_count(differ[0].bitwiseOR(differ[1])) <= RADIUS)
+    )
+    return x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = SHINGLE, percent: int = SIMILARITY_PERCENT
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, class_id."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = pin(docs.mapInArrow(_signatures(width), SIGNATURE_SCHEMA), "signatures")
     by_set = ["set_low", "set_high", "n_shingles"]
     classes = (
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy(*by_set)
-        .agg(F.min("doc_id").alias("class_id"), *(F.min(c).alias(c) for c in CHUNK_COLUMNS))
+        .agg(F.min("doc_id").alias("class_id"), *(F.min(c).alias(c) for c in [*CHUNK_COLUMNS, *PLANES]))
     )
     classes = pin(classes, "classes")
-    keys = _keys(classes)
-    # The pivot of a key is the member with the least hash, so different keys of one large group
-    # have different pivots.
-    order = F.struct(F.xxhash64("class_id", "key").alias("rank"), F.col("class_id"))
-    pivots = keys.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members"))
-    pivots = pivots.where("members > 1").select("key", F.col("first.class_id").alias("pivot"))
+
+    # Each key's members and its pivot: links of one task's members, then of the tasks' pivots.
+    keyed = classes.select(F.col("class_id").alias("value"), F.array(*_key_columns()).alias("keys"))
+    packed = "bucket int, keys binary, values binary"
+    pivots = keyed.mapInArrow(_pass_on(buckets, False), packed)
     stars = (
-        keys.join(pivots, "key")
-        .where("class_id <> pivot")
-        .select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b"))
+        keyed.mapInArrow(_own_stars, "a long, b long")
+        .unionByName(pivots.groupBy("bucket").applyInArrow(_bucket_stars, "a long, b long"))
         .distinct()
     )
     near = pin(_near(stars, classes, percent), "near")
-    links = pin(_links(near, docs, width, percent), "links")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    links = pin(_links(near, pin(_set_table(docs, wanted, width), "sets"), percent), "links")
     first = components(links)
 
     # Members of a key that are still apart.
-    placed = keys.join(first, keys.class_id == first.node, "left").select(
-        "key", "class_id", F.coalesce("component", "class_id").alias("place")
+    placed = classes.join(first, classes.class_id == first.node, "left").select(
+        "class_id", F.coalesce("component", "class_id").alias("value"), *CHUNK_COLUMNS, *PLANES
     )
+    placed = pin(placed, "placed").select("class_id", "value", F.array(*_key_columns()).alias("keys"), *PLANES)
     apart = (
-        placed.groupBy("key")
-        .agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("members"))
-        .where("low < high AND members > 2")
-        .select("key")
+        placed.select("value", "keys").mapInArrow(_pass_on(buckets, True), packed)
+        .groupBy("bucket").applyInArrow(_apart, "key long")
     )
-    open_keys = pin(placed.join(apart, "key", "left_semi"), "apart")
-    ends = open_keys.join(classes, "class_id")
-    x, y = ends.alias("x"), ends.alias("y")
-    sizes = (F.col("x.n_shingles"), F.col("y.n_shingles"))
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.class_id") < F.col("y.class_id"))
-            & (F.col("x.place") != F.col("y.place"))
-            & (100 * F.least(*sizes) >= percent * F.greatest(*sizes))
-            & (_far_lanes("x", "y") <= RADIUS),
-        )
-        .select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-        .distinct()
-        .join(near, ["a", "b"], "left_anti")
+    open_classes = (
+        placed.select(F.col("class_id").alias("doc_id"), F.col("value").alias("place"), *PLANES, F.explode("keys").alias("key"))
+        .join(apart, "key", "left_semi")
+        .groupBy("doc_id")
+        .agg(*(F.min(c).alias(c) for c in ("place", *PLANES)))
+    )
+    open_classes = pin(open_classes, "open")
+    open_sets = _set_table(docs, open_classes.select("doc_id"), width).join(open_classes, "doc_id")
+    open_sets = pin(open_sets, "open_sets")
+    across = _across(open_sets, percent).join(near, ["a", "b"], "left_anti")
+    across = pin(_near(across, classes, percent), "across")
+    more = _links(across, open_sets.select("doc_id", "shingles"), percent)
+    # A doc_id with different sets links their classes.
+    changed = (
+        rows.where("n_shingles > 0").groupBy("doc_id")
+        .agg(F.min("set_low").alias("low"), F.max("set_low").alias("high"))
+        .where("low < high")
+        .select("doc_id")
     )
-    more = _links(pin(rest, "rest"), docs, width, percent)
-    final = components(pin(links.unionByName(more), "links"))
+    several = rows.join(changed, "doc_id", "left_semi").join(classes, by_set).select(rows["doc_id"], "class_id")
+    least = several.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    same = several.join(least, "doc_id").select("a", F.col("class_id").alias("b")).where("a <> b")
+    final = components(pin(links.unionByName(more).unionByName(same), "links"))
     placed_classes = classes.join(final, classes.class_id == final.node, "left").select(
         *by_set, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
     placed_rows = rows.select("doc_id", *by_set).join(placed_classes, by_set, "left")
-    # Rows of one doc_id with different sets are one document, so the least component holds.
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(
         F.coalesce("component_id", "doc_id")
     )
