@@ -183,14 +183,16 @@ def _busy(lines: DataFrame, least_docs: int) -> DataFrame:
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines listed in the last column, and the numbers of lines and dropped ones."""
     for batch in batches:
-        texts, totals, drops = [], [], []
-        gone, given = batch.column(GONE), batch.column("text")
-        for part in slices(given):
+        names = [n for n in batch.schema.names if n != GONE]
+        for part in slices(batch.column("text")):
+            rows = batch.slice(part.first, part.rows)
+            gone, given = rows.column(GONE), rows.column("text")
             found = Lines(part)
             bounds = np.searchsorted(found.row, np.arange(part.rows + 1))
             breaks = np.concatenate([[0], np.cumsum(part.data == _NEWLINE)])
+            texts, drops = [], []
             for row in range(part.rows):
-                lost, here = gone[part.first + row], slice(bounds[row], bounds[row + 1])
+                lost, here = gone[row], slice(bounds[row], bounds[row + 1])
                 start, stop = part.offsets[row], part.offsets[row + 1]
                 text = part.data[start:stop].tobytes().decode()
                 out: set[int] = set()
@@ -200,14 +202,11 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out = set((found.number[here][cut] - row - breaks[start]).tolist())
                 if out:
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
-                texts.append(text if given[part.first + row].is_valid else None)
-                totals.append(int(bounds[row + 1] - bounds[row]))
+                texts.append(text if given[row].is_valid else None)
                 drops.append(len(out))
-        names = [n for n in batch.schema.names if n != GONE]
-        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_dropped"]
-        )
+            columns = [pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names]
+            counts = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(drops, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, "n_lines", "n_dropped"])
 
 
 def _select(bits, wanted: bool):
@@ -240,6 +239,8 @@ def drop_repeated_lines(
         .where(F.col("n_docs") >= least_docs)
         .select("template", "kept_in")
     )
+    # Written, so that its join with a hot template's lines can be broadcast or split.
+    recurring = pin(recurring, "recurring")
     gone = inside.join(recurring, "template").where("doc_id <> kept_in")
     gone = pin(gone.groupBy(F.col("doc_id").alias("loser")).agg(F.collect_set("line").alias(GONE)), "gone")
     bits = bit_map(gone, "loser")
