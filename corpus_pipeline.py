@@ -16,7 +16,7 @@ from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.registry import label_weights
-from shelfwise.llm.tables import table
+from shelfwise.llm.tables import small_batches, table
 from shelfwise.llm.toxicity import score_toxicity
 
 ORACLE_SQL = None
@@ -30,12 +30,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; documents stay."""
+    small_batches(spark)
     short = drop_repeated_lines(docs)
     return short.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: words-of-five shingles, 0.8 or more."""
+    small_batches(spark)
     found = near_duplicates(docs, width=5)
     gone = found.where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

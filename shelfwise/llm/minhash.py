@@ -43,7 +43,7 @@ SIMILARITY_PERCENT = 80
 CHUNKS = 16
 LANES = 5
 RADIUS = 2 * CHUNKS - 1
-COUNT_BITS = 18
+COUNT_BITS, KEY_MAP_BITS = 18, 24
 PIVOT_ORDERS = 4
 CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
 #: Lowest and second lowest bits of the first 64 minima: a short lower bound of the distance.
@@ -281,6 +281,23 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _open_keys(bits):
+    """One row per class and key whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy()
+            hit = np.flatnonzero(marked(known, keys % (1 << KEY_MAP_BITS)))
+            owner = pa.array(hit // max(1, len(keys) // max(1, batch.num_rows)))
+            columns = [batch.column(c).take(owner) for c in ("class_id", "value", *PLANES)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(keys[hit])], ["doc_id", "place", *PLANES, "key"]
+            )
+
+    return run
+
+
 def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """doc_id, shingles of the documents in ``wanted`` (doc_id).
 
@@ -427,9 +444,14 @@ def near_duplicates(
         placed.select("value", "keys").mapInArrow(_pass_on(buckets, True), packed)
         .groupBy("bucket").applyInArrow(_apart, "key long")
     )
+    # Of all keys a task passes on those that a bit map of the open ones lets through.
+    apart = pin(apart, "apart")
+    hits = placed.mapInArrow(
+        _open_keys(bit_map(apart, "key", KEY_MAP_BITS, hashed=True)),
+        "doc_id long, place long, low_bits long, next_bits long, key long",
+    )
     open_classes = (
-        placed.select(F.col("class_id").alias("doc_id"), F.col("value").alias("place"), *PLANES, F.explode("keys").alias("key"))
-        .join(apart, "key", "left_semi")
+        hits.join(apart, "key", "left_semi")
         .groupBy("doc_id")
         .agg(*(F.min(c).alias(c) for c in ("place", *PLANES)))
     )

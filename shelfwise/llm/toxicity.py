@@ -34,7 +34,7 @@ from shelfwise.llm.words import ALPHANUMERIC, mix, slices, span_hashes
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 PREFIXES = (3, 4, 5, 6)
-SAMPLE = 10_000
+SAMPLE = 8_000
 FOLDS = 3
 ROUNDS, PENALTY = 600, 1e-5
 LEAST_DOCS, LEAST_STATISTIC, KEPT = 3, 12, 2000
@@ -77,25 +77,37 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """Sparse rows of present slots and dense extra columns."""
+    """Present slots of each row, kept as they came, and dense extra columns."""
 
     def __init__(self, slots: Sequence[bytes], extra: np.ndarray):
-        lists = [np.frombuffer(s, dtype=np.int32) for s in slots]
-        self.sizes = np.array([len(x) for x in lists])
-        self.flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)
-        self.owner = np.repeat(np.arange(len(lists)), self.sizes)
+        self.slots = [np.frombuffer(s, dtype=np.int32) for s in slots]
         self.extra = extra
 
+    def __len__(self) -> int:
+        return len(self.slots)
+
     def take(self, keep: np.ndarray) -> "Rows":
-        out = Rows.__new__(Rows)
-        number = np.cumsum(keep) - 1
-        inside = keep[self.owner]
-        out.flat, out.owner = self.flat[inside], number[self.owner[inside]]
-        out.sizes, out.extra = self.sizes[keep], self.extra[keep]
+        out = Rows((), self.extra[keep])
+        out.slots = [s for s, k in zip(self.slots, keep) if k]
         return out
 
+    def counts(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with each slot, and those of them that are wanted."""
+        every, hits = np.zeros(SLOTS), np.zeros(SLOTS)
+        for slots, hit in zip(self.slots, wanted):
+            every[slots] += 1  # slots are distinct within a row
+            if hit:
+                hits[slots] += 1
+        return every, hits
+
+    def entries(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of all slots that have a place."""
+        found = [place[slots] for slots in self.slots]
+        found = [f[f >= 0] for f in found]
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+
     def odds(self, model: dict) -> np.ndarray:
-        sums = np.bincount(self.owner, weights=model["weights"][self.flat], minlength=len(self.sizes))
+        sums = np.array([model["weights"][slots].sum() for slots in self.slots])
         return sums + self.extra @ model["extra"] + model["bias"]
 
 
@@ -110,17 +122,15 @@ def fit(rows: Rows, wanted: np.ndarray) -> dict:
     model = {"weights": np.zeros(SLOTS), "extra": np.zeros(rows.extra.shape[1]), "bias": base}
     if not 0 < hits < n:
         return model
-    docs = np.bincount(rows.flat, minlength=SLOTS).astype(float)
-    with_hit = np.bincount(rows.flat, weights=wanted[rows.owner], minlength=SLOTS)
+    docs, with_hit = rows.counts(wanted)
     expected = docs * hits / n
     spread = np.maximum(expected * (1 - hits / n) * (1 - docs / n), 1e-9)
     statistic = np.where(docs >= LEAST_DOCS, (with_hit - expected) ** 2 / spread, 0)
     used = np.flatnonzero(statistic >= LEAST_STATISTIC)
     used = np.sort(used[np.argsort(-statistic[used], kind="stable")[:KEPT]])
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    index = place[rows.flat]
-    owner, index = rows.owner[index >= 0], index[index >= 0]
+    owner, index = rows.entries(place)
     m, width = len(used), rows.extra.shape[1]
 
     def forward(theta: np.ndarray) -> np.ndarray:
