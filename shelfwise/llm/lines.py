@@ -4,13 +4,19 @@ Method. A line is a sequence of tokens; tokens with a digit are variable from th
 has a fixed depth: the number of tokens, then the first ``LEADING`` tokens. In each leaf the line
 that most documents have leads a template; lines of the leaf that agree with it in ``ALIKE`` of the
 positions belong to it, and the other positions are variable fields. What is left elects the next
-leader, ``LEADERS`` times; a line without a leader is its own template. A template that occurs in
-``LEAST_DOCS`` documents is dropped everywhere but in the document with the smallest doc_id.
+leader until no line is left. A template that occurs in ``LEAST_DOCS`` documents is dropped everywhere
+but in the document with the smallest doc_id.
+
+Leaves of more than ``SMALL`` lines are split by token values: the tokens after the leading ones are
+cut into one block more than two alike lines may differ in, so that alike lines share a block. In each
+round, each of ``SLOTS`` slots of a block names its line of most documents; named in all its blocks and
+unlike all better named ones of them, a line leads. Leaders of a round are mutually unlike, at least one
+line of each leaf is among them, and rounds go on until every line has a leader.
 
 Scale. Texts are read in tasks that reduce lines to hashes; leaves and lines are partial aggregates,
 so a leaf or line that a third of all documents share is one row a task. Tokens are built only for
 lines of leaves that enough documents reach, selected by a bit map of constant size. Texts move only
-for documents that lose lines, selected likewise. No group of lines is ever collected.
+for documents that lose lines, selected likewise. No more than ``SMALL`` lines are ever collected.
 
 Rules for odd rows. Null texts stay null, empty ones empty. Lines with fewer than ``LEAST_TOKENS``
 tokens, blank ones too, always stay. Rows without doc_id are passed on unchanged and do not count.
@@ -20,6 +26,8 @@ lines; it stays with an empty text. Other columns are passed on.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +40,8 @@ from shelfwise.functions.lineage import pin
 from shelfwise.llm.bitmap import bit_map, marked, place
 from shelfwise.llm.words import Slice, mix, slices, span_hashes
 
-LEADING, ALIKE, LEADERS = 3, 0.7, 3
+LEADING, ALIKE = 3, 0.7
+SMALL, SLOTS = 256, 32
 LEAST_DOCS, LEAST_TOKENS = 3, 4
 VARIABLE = np.uint64(0x5EED)
 _NEWLINE = 10
@@ -128,48 +137,119 @@ def _leaf_map(leaves: DataFrame):
     return leaves.sparkSession.sparkContext.broadcast(known)
 
 
+def _agree(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    return len(x) == len(y) and bool((x == y).sum() >= share * len(x))
+
+
+def _words(tokens: bytes) -> np.ndarray:
+    return np.frombuffer(tokens, dtype=np.uint32)
+
+
+def _leaf_templates(share: float):
+    """line, template of all lines of a small leaf."""
+
+    def run(leaf: pa.Table) -> pa.Table:
+        line, docs = leaf.column("line").to_numpy(), leaf.column("n_docs").to_numpy()
+        words = [_words(x) for x in leaf.column("tokens").to_pylist()]
+        sizes, template = np.array([len(x) for x in words]), line.copy()
+        best = np.lexsort((line, docs))[::-1]
+        for size in np.unique(sizes):
+            left = best[sizes[best] == size]
+            rows = np.stack([words[i] for i in left])
+            while len(left):
+                joined = (rows == rows[0]).sum(axis=1) >= share * size
+                template[left[joined]] = line[left[0]]
+                left, rows = left[~joined], rows[~joined]
+        return pa.table({"line": line, "template": template})
+
+    return run
+
+
+def _block_keys(share: float):
+    """Lines with hashes of blocks of their tokens; alike lines of a leaf have one in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for leaf, tokens in zip(batch.column("leaf").to_pylist(), batch.column("tokens").to_pylist()):
+                words = _words(tokens)
+                blocks = len(words) - math.ceil(share * len(words)) + 1
+                # With fewer tokens than blocks, all lines of the leaf may be alike.
+                parts = np.array_split(words[LEADING:], blocks) if blocks <= len(words) - LEADING else [words[:0]]
+                hashed = [hashlib.blake2b(x.tobytes(), digest_size=8, salt=b"%d" % i, key=b"%d" % leaf) for i, x in enumerate(parts)]
+                keys.append([int.from_bytes(x.digest(), "little", signed=True) for x in hashed])
+            columns = [batch.column(c) for c in ("line", "n_docs", "tokens")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(keys, pa.list_(pa.int64()))], ["line", "n_docs", "tokens", "keys"]
+            )
+
+    return run
+
+
+def _unlike_better(share: float):
+    """Of the lines that a block names, those unlike all better ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            free = []
+            for named in batch.column("named"):
+                named = sorted(named.as_py(), key=lambda x: (x["n_docs"], x["line"]), reverse=True)
+                words = [_words(x["tokens"]) for x in named]
+                free += [
+                    x["line"] for i, x in enumerate(named) if not any(_agree(words[i], words[j], share) for j in range(i))
+                ]
+            yield pa.RecordBatch.from_arrays([pa.array(free, pa.int64())], ["line"])
+
+    return run
+
+
 def _alike(share: float):
+    """line, template where a line agrees with the leader."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = np.zeros(batch.num_rows, dtype=bool)
             for i, (a, b) in enumerate(zip(batch.column("tokens"), batch.column("leading"))):
-                x = np.frombuffer(a.as_buffer(), dtype=np.uint32)
-                y = np.frombuffer(b.as_buffer(), dtype=np.uint32)
-                joined[i] = len(x) == len(y) and (x == y).sum() >= share * len(x)
-            columns = [batch.column(c) for c in ("leaf", "line", "n_docs", "tokens", "template")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(joined)], ["leaf", "line", "n_docs", "tokens", "template", "joined"]
-            )
+                joined[i] = _agree(_words(a.as_buffer()), _words(b.as_buffer()), share)
+            yield batch.select(["line", "template"]).filter(pa.array(joined))
 
     return run
 
 
-def line_templates(
-    docs: DataFrame, held: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE, leaders: int = LEADERS
-) -> DataFrame:
+def _elect_by_blocks(left: DataFrame, alike: float) -> list[DataFrame]:
+    """line, template of the lines of large leaves; a frame per round."""
+    left = pin(left.mapInArrow(_block_keys(alike), "line long, n_docs long, tokens binary, keys array<long>"), "left")
+    found = []
+    while not left.isEmpty():
+        keyed = left.select(F.explode("keys").alias("key"), "line", "n_docs", "tokens")
+        slot = F.pmod("line", F.lit(SLOTS)).alias("slot")
+        named = keyed.groupBy("key", slot).agg(F.max(F.struct("n_docs", "line", "tokens")).alias("named"))
+        named = named.groupBy("key").agg(F.collect_list("named").alias("named")).select("named")
+        free = named.mapInArrow(_unlike_better(alike), "line long").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+        leading = left.join(free, "line").where(F.col("n") == F.size("keys"))
+        leading = leading.select(
+            F.explode("keys").alias("key"), F.col("line").alias("template"), F.col("tokens").alias("leading")
+        )
+        compared = keyed.join(pin(leading, "leading"), "key").select("line", "tokens", "template", "leading")
+        joined = compared.mapInArrow(_alike(alike), "line long, template long")
+        found.append(pin(joined.groupBy("line").agg(F.min("template").alias("template")), "joined"))
+        left = pin(left.join(found[-1], "line", "left_anti"), "left")
+    return found
+
+
+def line_templates(docs: DataFrame, held: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
     """line, template of lines that may recur. ``held`` has the distinct (doc_id, leaf, line)."""
     lines = held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     lines = pin(lines.join(_busy(lines, least_docs), "leaf", "left_semi"), "lines")
     wanted = _leaf_map(lines.select("leaf"))
     tokens = docs.mapInArrow(_line_tokens(wanted), TOKENS).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     # A line alone in its leaf leads itself; its tokens are not needed.
-    several = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    left = pin(lines.join(several, "leaf", "left_semi").join(tokens, ["leaf", "line"]), "left")
-    found = []
-    for _ in range(leaders):
-        leading = left.groupBy("leaf").agg(F.max(F.struct("n_docs", "line", "tokens")).alias("leader"))
-        leading = leading.select("leaf", F.col("leader.line").alias("template"), F.col("leader.tokens").alias("leading"))
-        compared = left.join(leading, "leaf").select("leaf", "line", "n_docs", "tokens", "template", "leading")
-        compared = pin(
-            compared.mapInArrow(
-                _alike(alike), "leaf long, line long, n_docs long, tokens binary, template long, joined boolean"
-            ),
-            "compared",
-        )
-        found.append(compared.where("joined").select("line", "template"))
-        left = compared.where("NOT joined").select("leaf", "line", "n_docs", "tokens")
-    members = found[0]
-    for more in found[1:]:
+    several = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = pin(lines.join(several, "leaf").join(tokens, ["leaf", "line"]), "left")
+    small = left.where(F.col("n") <= SMALL).select("leaf", "line", "n_docs", "tokens")
+    members = small.groupBy("leaf").applyInArrow(_leaf_templates(alike), "line long, template long")
+    members = pin(members, "members")
+    for more in _elect_by_blocks(left.where(F.col("n") > SMALL), alike):
         members = members.unionByName(more)
     own = lines.select("line").join(members.select("line"), "line", "left_anti")
     return members.unionByName(own.select("line", F.col("line").alias("template")))
@@ -222,15 +302,13 @@ def _select(bits, wanted: bool):
     return run
 
 
-def drop_repeated_lines(
-    docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE, leaders: int = LEADERS
-) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
     """``docs`` with shorter texts, n_lines (non-blank) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped", GONE, PLACE)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
     held = pin(plain.mapInArrow(_line_hashes, LINES).distinct(), "lines_held")
-    templates = pin(line_templates(plain, held, least_docs, alike, leaders), "templates")
+    templates = pin(line_templates(plain, held, least_docs, alike), "templates")
     inside = held.join(templates, "line").select("doc_id", "line", "template")
     recurring = (
         inside.select("doc_id", "template").distinct()

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from shelfwise.llm import minhash
+from shelfwise.llm import lines, minhash
 from shelfwise.llm.components import components
 from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
@@ -126,6 +126,23 @@ def test_templates_with_variable_fields(spark):
         assert (out[i].n_lines, out[i].n_dropped) == (4, 3)
 
 
+@pytest.mark.parametrize("small", [256, 5])
+def test_every_template_of_a_leaf_counts(spark, monkeypatch, small):
+    """Ten templates of one leaf, each with a variable field; whole leaf or split by blocks."""
+    monkeypatch.setattr(lines, "SMALL", small)
+    monkeypatch.setattr(lines, "SLOTS", 4)
+    random.seed(4)
+    fixed = [[f"t{chr(97 + k)}{chr(97 + j)}" for j in range(7)] for k in range(10)]
+    rows = []
+    for k, words in enumerate(fixed):
+        for copy in range(4):
+            field = "".join(random.choice("abcdefgh") for _ in range(8))
+            rows.append((10 * copy + k, " ".join(["2024-05-01", f"12:00:{copy:02}", "INFO", *words[:3], field, *words[3:]])))
+    rows += [(100, " ".join(["2024-05-01", "12:00", "INFO", *"zyxwvuts"]))]
+    out = {r.doc_id: r.text for r in drop_repeated_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert out == {d: t if d < 10 or d == 100 else "" for d, t in rows}
+
+
 def test_unlike_lines_of_one_leaf_stay(spark):
     random.seed(1)
     lines = [" ".join(["same", "start", "here", *(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(7))]) for i in range(20)]
