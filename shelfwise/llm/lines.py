@@ -4,8 +4,9 @@ Method. A line is a sequence of tokens; tokens with a digit are variable from th
 has a fixed depth: the number of tokens, then the first ``LEADING`` tokens. In each leaf the line
 that most documents have leads a template; lines of the leaf that agree with it in ``ALIKE`` of the
 positions belong to it, and the other positions are variable fields. What is left elects the next
-leader until no line is left. A template that occurs in ``LEAST_DOCS`` documents is dropped everywhere
-but in the document with the smallest doc_id.
+leader until no line is left. A template that occurs in ``LEAST_DOCS`` documents, or with lines of
+``MANY_TOKENS`` tokens in ``LEAST_DOCS_MANY``, is dropped everywhere but in the document with the smallest
+doc_id.
 
 Leaves of more than ``SMALL`` lines are split by token values: the tokens after the leading ones are
 cut into one block more than two alike lines may differ in, so that alike lines share a block. In each
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,11 +44,12 @@ from shelfwise.llm.words import Slice, mix, slices, span_hashes
 LEADING, ALIKE = 3, 0.7
 SMALL, SLOTS = 256, 32
 LEAST_DOCS, LEAST_TOKENS = 3, 4
+LEAST_DOCS_MANY, MANY_TOKENS = 2, 20
 VARIABLE = np.uint64(0x5EED)
 _NEWLINE = 10
 GONE, PLACE = "__lines_gone", "__doc_place"
 LEAF_BITS = 23
-LINES = "doc_id long, leaf long, line long"
+LINES = "doc_id long, leaf long, line long, many boolean"
 TOKENS = "leaf long, line long, tokens binary"
 
 
@@ -77,6 +79,7 @@ class Lines:
             leaf = mix(leaf, 63 + k) + np.where(k < count, words[at] if len(words) else 0, np.uint64(0))
         self.leaf = mix(leaf)
         self.long = count >= LEAST_TOKENS
+        self.many = count >= MANY_TOKENS
 
     def tokens(self, i: int) -> bytes:
         return self.words[self.first[i] : self.first[i] + self.count[i]].astype(np.uint32).tobytes()
@@ -98,8 +101,9 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(ids[part.first + rows[keep]]),
                     pa.array(leaves[keep].view(np.int64)),
                     pa.array(lines[keep].view(np.int64)),
+                    pa.array(found.many[found.long][keep]),
                 ],
-                ["doc_id", "leaf", "line"],
+                ["doc_id", "leaf", "line", "many"],
             )
 
 
@@ -237,10 +241,16 @@ def _elect_by_blocks(left: DataFrame, alike: float) -> list[DataFrame]:
     return found
 
 
-def line_templates(docs: DataFrame, held: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
-    """line, template of lines that may recur. ``held`` has the distinct (doc_id, leaf, line)."""
-    lines = held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    lines = pin(lines.join(_busy(lines, least_docs), "leaf", "left_semi"), "lines")
+def line_templates(
+    docs: DataFrame,
+    held: DataFrame,
+    least_docs: int = LEAST_DOCS,
+    alike: float = ALIKE,
+    least_docs_many: int = LEAST_DOCS_MANY,
+) -> DataFrame:
+    """line, template of lines that may recur. ``held`` has the distinct (doc_id, leaf, line, many)."""
+    lines = held.groupBy("leaf", "line", "many").agg(F.count(F.lit(1)).alias("n_docs"))
+    lines = pin(lines.join(_busy(lines, _least(least_docs, least_docs_many)), "leaf", "left_semi").drop("many"), "lines")
     wanted = _leaf_map(lines.select("leaf"))
     tokens = docs.mapInArrow(_line_tokens(wanted), TOKENS).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     # A line alone in its leaf leads itself; its tokens are not needed.
@@ -255,9 +265,14 @@ def line_templates(docs: DataFrame, held: DataFrame, least_docs: int = LEAST_DOC
     return members.unionByName(own.select("line", F.col("line").alias("template")))
 
 
-def _busy(lines: DataFrame, least_docs: int) -> DataFrame:
-    """Leaves that enough lines of documents reach."""
-    return lines.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least_docs).select("leaf")
+def _least(least_docs: int, least_docs_many: int) -> Column:
+    """Documents from which on a template recurs."""
+    return F.when(F.col("many"), least_docs_many).otherwise(least_docs)
+
+
+def _busy(lines: DataFrame, least: Column) -> DataFrame:
+    """Leaves that enough lines of documents reach; all lines of a leaf have as many tokens."""
+    return lines.groupBy("leaf", "many").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= least).select("leaf")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,19 +317,21 @@ def _select(bits, wanted: bool):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE, least_docs_many: int = LEAST_DOCS_MANY
+) -> DataFrame:
     """``docs`` with shorter texts, n_lines (non-blank) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped", GONE, PLACE)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
     held = pin(plain.mapInArrow(_line_hashes, LINES).distinct(), "lines_held")
-    templates = pin(line_templates(plain, held, least_docs, alike), "templates")
-    inside = held.join(templates, "line").select("doc_id", "line", "template")
+    templates = pin(line_templates(plain, held, least_docs, alike, least_docs_many), "templates")
+    inside = held.join(templates, "line").select("doc_id", "line", "template", "many")
     recurring = (
-        inside.select("doc_id", "template").distinct()
-        .groupBy("template")
+        inside.select("doc_id", "template", "many").distinct()
+        .groupBy("template", "many")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("kept_in"))
-        .where(F.col("n_docs") >= least_docs)
+        .where(F.col("n_docs") >= _least(least_docs, least_docs_many))
         .select("template", "kept_in")
     )
     # Written, so that its join with a hot template's lines can be broadcast or split.

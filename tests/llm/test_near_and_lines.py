@@ -159,6 +159,14 @@ def test_too_few_documents_keep_their_lines(spark):
     assert out == dict(rows)
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    passage, edge, below = " ".join(words), " ".join(words[:20]), " ".join(words[1:20])
+    rows = [(1, f"{passage}\n{edge}\n{below}"), (2, f"own\n{passage}\n{below}"), (3, edge)]
+    out = {r.doc_id: r.text for r in drop_repeated_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert out == {1: rows[0][1], 2: f"own\n{below}", 3: ""}
+
+
 def test_line_odd_rows(spark):
     docs = odd_documents(spark)
     more = docs.where("doc_id = 6").selectExpr("9 AS doc_id", *docs.columns[1:])
