@@ -12,6 +12,11 @@ Candidates pass if one of ``WALKS`` independent embeddings of the aligned rest a
 to any part of the text around the window, by bit-parallel dynamic programming over characters, must
 be at most ``MOST_EDITS`` of the item's length. ``tests/llm`` measures the recall on edited copies.
 
+Items of up to ``FEW`` characters have too few word starts for that. They are found by the count of
+their grams of 3 bytes, or 4 above ``GRAM_CHARS`` characters: an edit changes a bounded number of grams and
+shifts the others by a bounded distance, so a copy has a known number of grams within a narrow band of
+shifts. All places with as many are verified, so none of these items is missed.
+
 Texts and items are compared in lower case (A-Z) with runs of white space as one space.
 
 Scale. Documents are read once per block of items and never shuffled. A block holds at most
@@ -39,6 +44,7 @@ DEPTH, SAMPLE, TABLES = 24, 16, 4
 REST, WALKS, AGREE = 96, 3, 0.55
 MOST_EDITS = 0.2
 SHORTEST = 24
+FEW, GRAM_CHARS, GRAM_BITS = 80, 40, 20
 LONG_WORD = 32
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 15
@@ -123,12 +129,67 @@ def _rest_agrees(text: np.ndarray, at: np.ndarray, items: np.ndarray, item_at: n
     return fine
 
 
+class GramIndex:
+    """Grams of short items with their offsets."""
+
+    def __init__(self, gram: int):
+        self.gram, self.codes, self.offsets, self.owners = gram, [], [], []
+        self.items, self.least, self.band = [], [], []
+
+    def add(self, body: np.ndarray, word: str, number: int, most: int) -> None:
+        widest = sorted((len(c.encode()) for c in word), reverse=True)[:most]
+        codes = self._hashed(body)
+        self.codes.append(codes)
+        self.offsets.append(np.arange(len(codes)))
+        self.owners.append(np.full(len(codes), len(self.items)))
+        self.items.append(number)
+        # Grams that no edit touches; an edit shifts what follows by a character's bytes.
+        self.least.append(max(1, len(codes) - sum(w + self.gram - 1 for w in widest)))
+        self.band.append(4 * most)
+
+    def close(self) -> None:
+        if self.items:
+            codes = np.concatenate(self.codes)
+            order = np.argsort(codes, kind="stable")
+            self.offsets, self.owners = np.concatenate(self.offsets)[order], np.concatenate(self.owners)[order]
+            self.first = np.searchsorted(codes[order], np.arange((1 << GRAM_BITS) + 1)).astype(np.int32)
+            self.least, self.band = np.array(self.least), np.array(self.band)
+        self.codes = None
+
+    def _hashed(self, text: np.ndarray) -> np.ndarray:
+        n = max(0, len(text) - self.gram + 1)
+        whole = text.astype(np.uint32)
+        gram = whole[:n]
+        for k in range(1, self.gram):
+            gram = gram << np.uint32(8) | whole[k : n + k]
+        return (gram * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
+
+    def places(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and where they would begin, for bands of shifts with enough grams."""
+        codes = self._hashed(text)
+        left = self.first[codes]
+        count = self.first[codes + 1] - left
+        hit = np.flatnonzero(count)
+        count = count[hit]
+        entry = np.arange(count.sum()) + np.repeat(left[hit] - np.cumsum(count) + count, count)
+        item, begin = self.owners[entry], np.repeat(hit, count) - self.offsets[entry]
+        size = len(text) + FEW * 8
+        key = np.sort(item * size + begin + FEW * 4)
+        item, begin = key // size, key % size - FEW * 4
+        last = np.arange(len(key)) + self.least[item] - 1
+        fits = np.flatnonzero(last < len(key))
+        found = fits[key[last[fits]] - key[fits] <= self.band[item[fits]]]
+        found = found[item[last[found]] == item[found]]
+        return item[found], begin[found]
+
+
 class ItemIndex:
     """Sampled embeddings of the items of a block at each of their word starts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], most_edits: float = MOST_EDITS):
         texts = pa.array([t for _, t in items], pa.large_string())
         self.ids, self.chars, bodies, starts, ends, owners = [], [], [], [], [], []
+        self.few = [GramIndex(3), GramIndex(4)]
         size = 0
         for part in slices(texts, lower=True):
             text, offsets, opens = normalised(part)
@@ -143,11 +204,16 @@ class ItemIndex:
                 number = len(self.ids)
                 self.ids.append(items[part.first + row][0])
                 self.chars.append(word)
+                if len(word) <= FEW:
+                    self.few[len(word) > GRAM_CHARS].add(body, word, number, int(most_edits * len(word)))
+                    continue
                 bodies += [body, np.zeros(REST + DEPTH, dtype=np.uint8)]
                 starts.append(own + size)
                 ends.append(np.full(len(own), size + len(body)))
                 owners.append(np.full(len(own), number))
                 size += len(body) + REST + DEPTH
+        for grams in self.few:
+            grams.close()
         join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
         self.data = np.concatenate(bodies) if bodies else np.zeros(1, dtype=np.uint8)
         self.starts, self.ends, self.owners = join(starts), join(ends), join(owners)
@@ -162,6 +228,26 @@ class ItemIndex:
         for t in range(TABLES):
             self.filter[t, (self.keys[t] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def short(self, text: np.ndarray, offsets: np.ndarray, most_edits: float) -> set[tuple[int, int, int]]:
+        """Row, item and proposed begin of places that may hold a short item."""
+        out = set()
+        for grams in self.few:
+            if not grams.items:
+                continue
+            item, begin = grams.places(text)
+            slacks = np.array([_slack(int(most_edits * len(self.chars[n]))) for n in grams.items])[item]
+            step = np.unique(item * (1 << 40) + begin // slacks + (1 << 20))
+            for key in step.tolist():
+                k, at = key >> 40, (key & (1 << 40) - 1) - (1 << 20)
+                number = grams.items[k]
+                slack = _slack(int(most_edits * len(self.chars[number])))
+                # The copy begins within a slack of a place in [at, at + 1) slacks; its rows are those there.
+                low, high = (at - 1) * slack, (at + 2) * slack + 4 * FEW
+                first, stop = np.searchsorted(offsets, [max(0, low), max(0, high)], "right") - 1
+                for row in range(int(first), min(int(stop), len(offsets) - 2) + 1):
+                    out.update((row, number, (at + j) * slack) for j in (-1, 0, 1))
+        return out
+
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts and index entries that share a sample and agree further on."""
         where, entries = [], []
@@ -216,7 +302,7 @@ def _matches(index, most_edits: float):
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             for part in slices(batch.column("text"), lower=True):
-                if not len(items.starts):
+                if not items.ids:
                     continue
                 text, offsets, starts = normalised(part)
                 at, entry = items.candidates(text, starts)
@@ -226,6 +312,8 @@ def _matches(index, most_edits: float):
                     rows.tolist(), items.owners[entry].tolist(), (at - items.before[entry]).tolist()
                 ):
                     groups.setdefault((row, item), set()).add(begin)
+                for row, item, begin in items.short(text, offsets, most_edits):
+                    groups.setdefault((row, item), set()).add(begin)
                 for (row, item), begins in groups.items():
                     edits = _verify(text, int(offsets[row]), int(offsets[row + 1]), items.chars[item], begins, most_edits)
                     if edits is not None:
@@ -239,11 +327,16 @@ def _matches(index, most_edits: float):
     return run
 
 
+def _slack(most: int) -> int:
+    """Bytes: a shift of ``most`` characters."""
+    return 4 * most + 4
+
+
 def _verify(text: np.ndarray, low: int, high: int, item: str, begins: set[int], most_edits: float) -> int | None:
     """Least edits over the regions around the proposed starts of the item; regions are merged."""
     most = int(most_edits * len(item))
     size = len(item.encode())
-    slack = 4 * most + 4  # bytes: a shift of ``most`` characters
+    slack = _slack(most)
     least, done = most + 1, low
     for begin in sorted(begins):
         start, stop = max(low, begin - slack, done), min(high, begin + size + slack)
@@ -270,7 +363,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST
     found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text")
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()]))
+        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()], most_edits))
         part = docs.mapInArrow(_matches(index, most_edits), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(

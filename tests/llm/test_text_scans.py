@@ -201,6 +201,26 @@ def test_recall_and_precision_of_edited_passages(spark, monkeypatch, block):
         assert r.edits == naive_edits(norm(body[r.item_id]), norm(docs[r.doc_id]))
 
 
+@pytest.mark.parametrize("low,high", [(24, 26), (27, 40), (41, 60), (61, 80)])
+def test_short_items_within_the_edits_are_all_found(low, high):
+    random.seed(low)
+    word = lambda: "".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(40)[: random.randint(low, high)].rstrip() + "x") for i in range(20)]
+    items = [(i, t[:high].ljust(low, "x")) for i, t in items]
+    class Index:
+        value = decontaminate.ItemIndex(items)
+    docs = [f"{text(20)} {edited(items[n % 20][1], int((0.15, 0.2)[n % 2] * len(items[n % 20][1])))} {text(20)}" for n in range(60)]
+    most = {i: int(0.2 * len(t)) for i, t in items}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(docs)], ["doc_id", "text"])
+    found = [r for b in decontaminate._matches(Index, 0.2)(iter([batch])) for r in b.to_pylist()]
+    want = {
+        (n, n % 20) for n, t in enumerate(docs)
+        if least_edits(items[n % 20][1], " ".join(t.lower().split()), most[n % 20]) <= most[n % 20]
+    }
+    assert len(want) >= 55 and want <= {(r["doc_id"], r["item_id"]) for r in found}
+
+
 def test_passages_odd_rows(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame(
