@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.decontaminate import contaminated
+from shelfwise.llm.infill import fill_in_middle
 from shelfwise.llm.licenses import scan_licenses
 from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
@@ -76,6 +77,10 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle(table(spark, folder, "documents")).drop("output")
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
     "op2_quote_links": op2_quote_links,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_templates": op10_line_templates,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 SQL: dict[str, str] = {
     "op1_top_k": """
@@ -107,4 +113,38 @@ SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20
     """,
+    "op11_fill_in_middle": """
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex
+            FROM documents
+        ),
+        drawn AS (
+            SELECT *, len(units)::BIGINT AS n,
+                   list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(hex, i, 8))::BIGINT) AS h
+            FROM cut
+        ),
+        formed AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ),
+        parts AS (
+            SELECT *, array_to_string(units[1:low], '') AS prefix,
+                   array_to_string(units[low + 1:high], '') AS middle,
+                   array_to_string(units[high + 1:], '') AS suffix
+            FROM formed
+        )
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                      WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+        FROM parts
+    """,
 }
