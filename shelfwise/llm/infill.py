@@ -6,10 +6,10 @@ A first pass emits pieces of at most ``UNITS`` units and ``PIECE_BYTES`` bytes,
 keyed by document and position in the output. ``repartition`` and ``sortWithinPartitions`` (the
 DataFrame form of repartitionAndSortWithinPartitions) bring the pieces of a document to one task in
 output order, where they stream into an incremental digest. That task knows the sections only by
-the markers it reads; it gives every piece its position in the restored text, and a second such
-sort streams the restored text into its digest.
+the markers it reads; it gives every piece its position in the restored text, and a second sort, of
+the rows that the task holds, streams the restored text into its digest.
 
-Scale. Two exchanges of the text, no join. A task holds one batch of pieces and one open digest,
+Scale. One exchange of the text, no join. A task holds one batch of pieces and one open digest,
 however long a text is; documents are dealt by a 128-bit digest of their text, so copies under
 different ids, rows of one source and rows without id spread. Spark's sort spills.
 
@@ -158,8 +158,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for piece in (marker, *(every[s:e] for s, e in _cut(start, stop, edges))):
                         out.add((*key, place, piece, form, n, *chars), len(piece) + 64)
                         place += 1
-                if out.full:
-                    yield out.take()
+                        if out.full:
+                            yield out.take()
     yield out.take()
 
 
@@ -243,17 +243,15 @@ def output_pieces(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(_pieces, PIECES)
 
 
-def _sorted_by_place(pieces: DataFrame) -> DataFrame:
-    return pieces.repartition(*KEY).sortWithinPartitions(*KEY, "place")
-
-
 def fill_in_middle(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n, form, section lengths, digests and the output.
 
     ``output`` is null unless ``keep_text``; then a document's output is built as one value.
     """
-    assembled = _sorted_by_place(output_pieces(docs)).mapInArrow(_assembled(keep_text), ASSEMBLED)
-    return _sorted_by_place(assembled).mapInArrow(_restored, RESULT)
+    by_output = output_pieces(docs).repartition(*KEY).sortWithinPartitions(*KEY, "place")
+    # The pieces of a document stay in their task, so restoration needs no second exchange.
+    by_source = by_output.mapInArrow(_assembled(keep_text), ASSEMBLED).sortWithinPartitions(*KEY, "place")
+    return by_source.mapInArrow(_restored, RESULT)
 
 
 def restored_text(form: Column, output: Column) -> Column:
