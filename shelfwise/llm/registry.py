@@ -13,12 +13,14 @@ from shelfwise.llm.licenses import scan_licenses
 from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
+from shelfwise.llm.neighbours import nearest_neighbours
 from shelfwise.llm.quotes import reply_order
 from shelfwise.llm.secrets import scan_secrets
 from shelfwise.llm.suffixes import remove_repeats
 from shelfwise.llm.tables import table
 from shelfwise.llm.topk import top_k
 from shelfwise.llm.toxicity import score_toxicity
+from shelfwise.llm.variants import spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +83,14 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle(table(spark, folder, "documents")).drop("output")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
     "op2_quote_links": op2_quote_links,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_line_templates": op10_line_templates,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 SQL: dict[str, str] = {
     "op1_top_k": """
