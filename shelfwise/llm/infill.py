@@ -75,17 +75,17 @@ def _unit_starts(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, points, np.searchsorted(starts, part.offsets)
 
 
-def _cut(low: int, high: int, edges: np.ndarray) -> list[tuple[int, int]]:
+def _cut(low: int, high: int, edges: np.ndarray, units: int, size: int) -> list[tuple[int, int]]:
     """Bytes low to high in pieces that end at one of ``edges`` where a unit is not too long for that."""
-    if high - low <= PIECE_BYTES and len(edges) <= UNITS:
+    if high - low <= size and len(edges) <= units:
         return [(low, high)] if high > low else []
     out = []
     while low < high:
         at = np.searchsorted(edges, low, "right")
-        stop = int(edges[at + UNITS - 1]) if at + UNITS - 1 < len(edges) else high
-        if stop - low > PIECE_BYTES:
-            fit = int(np.searchsorted(edges, low + PIECE_BYTES, "right")) - 1
-            stop = int(edges[fit]) if fit >= at else low + PIECE_BYTES
+        stop = int(edges[at + units - 1]) if at + units - 1 < len(edges) else high
+        if stop - low > size:
+            fit = int(np.searchsorted(edges, low + size, "right")) - 1
+            stop = int(edges[fit]) if fit >= at else low + size
         out.append((low, min(stop, high)))
         low = out[-1][1]
     return out
@@ -122,45 +122,49 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in schema.split(", ")])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(units: int, size: int):
     """Pieces and markers of every row."""
-    out = _Rows(_arrow(PIECES))
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for part in slices(batch.column("text")):
-            starts, points, bounds = _unit_starts(part)
-            every = part.data.tobytes()
-            for row in range(part.rows):
-                low, high = int(part.offsets[row]), int(part.offsets[row + 1])
-                first, n = int(bounds[row]), int(bounds[row + 1] - bounds[row])
-                text, doc_id = every[low:high], ids[part.first + row]
-                h1, h2, h3, h4 = _seeds(doc_id)
-                marked = PREFIX in text or SUFFIX in text or MIDDLE in text
-                edges = np.append(starts[first : first + n], high)
-                if not text or marked or h3 % 100 >= 100 - PLAIN_PERCENT:
-                    form, chars, order = 0, (None, None), [(b"", low, high)]
-                else:
-                    one, two = sorted((h1 % (n + 1), h2 % (n + 1)))
-                    a, b = int(edges[one]), int(edges[two])
-                    chars = int(points[a] - points[low]), int(points[b] - points[a])
-                    form = 2 if h4 % 100 < SPM_PERCENT else 1
-                    prefix, suffix = (PREFIX, low, a), (SUFFIX, b, high)
-                    order = [*((suffix, prefix) if form == 2 else (prefix, suffix)), (MIDDLE, a, b)]
-                digest = hashlib.blake2b(text, digest_size=16).digest()
-                key = (
-                    doc_id,
-                    int.from_bytes(digest[:8], "big", signed=True),
-                    int.from_bytes(digest[8:], "big", signed=True),
-                )
-                place = 0
-                for marker, start, stop in order:
-                    # Every section opens with its marker; a plain text with an empty piece.
-                    for piece in (marker, *(every[s:e] for s, e in _cut(start, stop, edges))):
-                        out.add((*key, place, piece, form, n, *chars), len(piece) + 64)
-                        place += 1
-                        if out.full:
-                            yield out.take()
-    yield out.take()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(_arrow(PIECES))
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for part in slices(batch.column("text")):
+                starts, points, bounds = _unit_starts(part)
+                every = part.data.tobytes()
+                for row in range(part.rows):
+                    low, high = int(part.offsets[row]), int(part.offsets[row + 1])
+                    first, n = int(bounds[row]), int(bounds[row + 1] - bounds[row])
+                    text, doc_id = every[low:high], ids[part.first + row]
+                    h1, h2, h3, h4 = _seeds(doc_id)
+                    marked = PREFIX in text or SUFFIX in text or MIDDLE in text
+                    edges = np.append(starts[first : first + n], high)
+                    if not text or marked or h3 % 100 >= 100 - PLAIN_PERCENT:
+                        form, chars, order = 0, (None, None), [(b"", low, high)]
+                    else:
+                        one, two = sorted((h1 % (n + 1), h2 % (n + 1)))
+                        a, b = int(edges[one]), int(edges[two])
+                        chars = int(points[a] - points[low]), int(points[b] - points[a])
+                        form = 2 if h4 % 100 < SPM_PERCENT else 1
+                        prefix, suffix = (PREFIX, low, a), (SUFFIX, b, high)
+                        order = [*((suffix, prefix) if form == 2 else (prefix, suffix)), (MIDDLE, a, b)]
+                    digest = hashlib.blake2b(text, digest_size=16).digest()
+                    key = (
+                        doc_id,
+                        int.from_bytes(digest[:8], "big", signed=True),
+                        int.from_bytes(digest[8:], "big", signed=True),
+                    )
+                    place = 0
+                    for marker, start, stop in order:
+                        # Every section opens with its marker; a plain text with an empty piece.
+                        for piece in (marker, *(every[s:e] for s, e in _cut(start, stop, edges, units, size))):
+                            out.add((*key, place, piece, form, n, *chars), len(piece) + 64)
+                            place += 1
+                            if out.full:
+                                yield out.take()
+        yield out.take()
+
+    return run
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -237,18 +241,23 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.take()
 
 
-def output_pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of the outputs of (doc_id, text): in the order of ``place`` they are the output."""
+def output_pieces(docs: DataFrame, units: int = UNITS, size: int = PIECE_BYTES) -> DataFrame:
+    """Pieces of the outputs of (doc_id, text): in the order of ``place`` they are the output.
+
+    A piece has at most ``units`` units and ``size`` bytes.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_pieces, PIECES)
+    return plain.mapInArrow(_pieces(units, size), PIECES)
 
 
-def fill_in_middle(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def fill_in_middle(
+    docs: DataFrame, keep_text: bool = False, units: int = UNITS, size: int = PIECE_BYTES
+) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n, form, section lengths, digests and the output.
 
     ``output`` is null unless ``keep_text``; then a document's output is built as one value.
     """
-    by_output = output_pieces(docs).repartition(*KEY).sortWithinPartitions(*KEY, "place")
+    by_output = output_pieces(docs, units, size).repartition(*KEY).sortWithinPartitions(*KEY, "place")
     # The pieces of a document stay in their task, so restoration needs no second exchange.
     by_source = by_output.mapInArrow(_assembled(keep_text), ASSEMBLED).sortWithinPartitions(*KEY, "place")
     return by_source.mapInArrow(_restored, RESULT)

@@ -30,10 +30,7 @@ def answers(df):
     return sorted((tuple(r)[:7] for r in df.collect()), key=str)
 
 
-def test_against_the_contract(spark, monkeypatch):
-    # Small pieces, so that texts and even single units are cut.
-    monkeypatch.setattr(infill, "UNITS", 5)
-    monkeypatch.setattr(infill, "PIECE_BYTES", 16)
+def test_against_the_contract(spark):
     random.seed(3)
     parts = ["abc", "Z", " ", "\n", "é", "漢", "😀", "<", "P", ">", "<S>", "<S", "\t", "x" * 40, "\x00", "0", "ÿ"]
     rows = []
@@ -42,8 +39,9 @@ def test_against_the_contract(spark, monkeypatch):
         rows.append((i, "".join(random.choice(chosen) for _ in range(random.choice([0, 1, 2, 7, 60])))))
     rows += [(-7, "negative id"), (2**62, "large id"), (400, "<P"), (401, "<P>"), (402, "<M"), (403, ">S>")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, place string")
-    got = answers(fill_in_middle(docs.repartition(5)))
-    assert got == sorted((plain_fill(*r) for r in rows), key=str)
+    # Small pieces, so that texts and even single units are cut, and the usual ones.
+    got = answers(fill_in_middle(docs.repartition(5), units=5, size=16))
+    assert got == answers(fill_in_middle(docs.repartition(3))) == sorted((plain_fill(*r) for r in rows), key=str)
     assert {g[2] for g in got} == {"plain", "psm", "spm"}
 
 
