@@ -2,12 +2,11 @@
 
 A window that orders a whole column, or a column inside a group that may hold a
 third of all rows, runs in one task. The functions here first count equal values
-(partial aggregation does that on the map side) and then split the distinct values
-into buckets whose order follows the value: first by the logarithm, which needs no
-statistics, then ``LEVELS`` times by the value range of each bucket, into as many
-parts as its number of values asks for. So values far from zero with a small spread
-are spread as well. The running work is done inside (group, bucket), and only bucket
-totals are ordered together.
+(partial aggregation does that on the map side) and write that table once. Then one
+exchange by range of (keys, value) deals the distinct values to ordered ranges of
+about equal size, whatever their distribution; the running work is done inside
+(key, range), and the totals of the ranges before, a prefix sum over one row per key
+and range, are added. Tables of few rows stay one range.
 
 Not-a-number comes after all other values and infinities at the ends, as Spark orders
 them.
@@ -21,78 +20,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS_PER_OCTAVE = 8
-LEVELS = 2
-VALUES_PER_BUCKET = 4096
-_LOWEST_EXPONENT = 1075  # doubles reach down to 2**-1074
-_END = 1 << 40
+from shelfwise.functions.lineage import pin
+
+RANGE = "_range"
+ROWS_IN_ONE_RANGE = 1 << 16
 HASH_BUCKETS = 4096
 
 
-def order_bucket(value: Column) -> Column:
-    """Bucket number that never falls when the value rises, from the value alone.
+def with_ranges(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``rows``, written once, with the number of the range of (keys, value) each lies in.
 
-    It needs no minimum, maximum or sample, so two runs of the same plan agree.
+    Range numbers rise with (keys, value) and equal values share a range. A table that
+    has its ranges already keeps them.
     """
-    x = value.cast("double")
-    step = F.floor((F.log2(F.abs(x)) + _LOWEST_EXPONENT) * BUCKETS_PER_OCTAVE) + 1
-    return (
-        F.when(F.isnan(x), F.lit(_END + 1))
-        .when(x == float("inf"), F.lit(_END))
-        .when(x == float("-inf"), F.lit(-_END))
-        .when(x == 0, F.lit(0))
-        .when(x > 0, step)
-        .otherwise(-step)
-        .cast("long")
-    )
-
-
-def with_buckets(histogram: DataFrame, keys: Sequence[str], value: str, out: str = "_bucket") -> DataFrame:
-    """Add ``out``, an array of bucket numbers that sorts like the value."""
-    x = F.col(value).cast("double")
-    df = histogram.withColumn(out, F.array(order_bucket(F.col(value))))
-    for _ in range(LEVELS):
-        ranges = df.groupBy(*keys, out).agg(
-            F.min(x).alias("_low"), F.max(x).alias("_high"), F.count(F.lit(1)).alias("_values")
-        )
-        # A bucket that is small enough stays as it is, so most joins see few rows.
-        ranges = ranges.filter((F.col("_values") > VALUES_PER_BUCKET) & (F.col("_high") > F.col("_low")))
-        ranges = ranges.select(
-            *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(out).alias("_of"), "_low", "_high", "_values"
-        )
-        same = F.col(out) == F.col("_of")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-        parts = F.ceil(F.col("_values") / VALUES_PER_BUCKET)
-        place = F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts)
-        inner = F.coalesce(F.least(place, parts - 1), F.lit(0)).cast("long")
-        names = [c for c in df.columns if c != out]
-        df = df.join(ranges, same, "left").select(*names, F.concat(out, F.array(inner)).alias(out))
-    return df
+    if RANGE in rows.columns:
+        return rows
+    stored = pin(rows, "ordered")
+    if stored.count() <= ROWS_IN_ONE_RANGE:
+        return stored.withColumn(RANGE, F.lit(0))
+    # The number is written with the row, so a second draw of the range bounds cannot disagree.
+    return pin(stored.repartitionByRange(*keys, value).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def running_counts(
-    histogram: DataFrame, keys: Sequence[str], value: str, weight: str
+    histogram: DataFrame, keys: Sequence[str], value: str, weight: str, keep_ranges: bool = False
 ) -> DataFrame:
-    """Add ``n_below``, ``n_through`` and ``n_total`` to one row per (keys, value)."""
-    bucketed = with_buckets(histogram, keys, value)
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_in_bucket"))
+    """Add ``n_below``, ``n_through`` and ``n_total`` to one row per (keys, value).
+
+    ``keep_ranges`` leaves the ranges in, for more work in the same order.
+    """
+    ranged = with_ranges(histogram, keys, value)
+    totals = ranged.groupBy(*keys, RANGE).agg(F.sum(weight).alias("_in_range"))
     per_key = Window.partitionBy(*keys)
-    through = F.sum("_in_bucket").over(per_key.orderBy("_bucket"))
+    through = F.sum("_in_range").over(per_key.orderBy(RANGE))
     offsets = totals.select(
         *keys,
-        "_bucket",
-        (through - F.col("_in_bucket")).alias("_before"),
-        F.sum("_in_bucket").over(per_key).alias("n_total"),
+        RANGE,
+        (through - F.col("_in_range")).alias("_before"),
+        F.sum("_in_range").over(per_key).alias("n_total"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    return (
-        bucketed.withColumn("_running", F.sum(weight).over(inside))
-        .join(offsets, [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys, RANGE).orderBy(value)
+    counted = (
+        ranged.withColumn("_running", F.sum(weight).over(inside))
+        .join(offsets, [*keys, RANGE])
         .withColumn("n_through", F.col("_before") + F.col("_running"))
         .withColumn("n_below", F.col("n_through") - F.col(weight))
-        .drop("_bucket", "_before", "_running")
+        .drop("_before", "_running")
     )
+    return counted if keep_ranges else counted.drop(RANGE)
 
 
 def value_histogram(
@@ -153,26 +128,24 @@ def suffix_minimum(
     Rows with equal ``order`` see each other. The windows run from the highest value
     down, so every frame grows by one row at a time.
     """
-    bucketed = with_buckets(df, keys, order)
-    lows = bucketed.groupBy(*keys, "_bucket").agg(F.min(measure).alias("_low"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket"))
+    ranged = with_ranges(df, keys, order)
+    lows = ranged.groupBy(*keys, RANGE).agg(F.min(measure).alias("_low"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(RANGE))
     beyond = lows.select(
         *keys,
-        "_bucket",
-        F.min("_low")
-        .over(later.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_later"),
+        RANGE,
+        F.min("_low").over(later.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
     )
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*keys, RANGE)
         .orderBy(F.desc(order))
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        bucketed.withColumn("_here", F.min(measure).over(inside))
-        .join(beyond, [*keys, "_bucket"])
+        ranged.withColumn("_here", F.min(measure).over(inside))
+        .join(beyond, [*keys, RANGE])
         .withColumn(out, F.least("_here", "_later"))
-        .drop("_bucket", "_here", "_later")
+        .drop(RANGE, "_here", "_later")
     )
 
 

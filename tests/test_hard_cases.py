@@ -9,8 +9,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.functions import lineage
-from shelfwise.functions.ordered import exact_quantiles, number_rows, running_counts, with_buckets
+from shelfwise.functions import lineage, ordered
+from shelfwise.functions.ordered import (
+    RANGE,
+    exact_quantiles,
+    number_rows,
+    running_counts,
+    suffix_minimum,
+    with_ranges,
+)
 from shelfwise.models import seasonal
 from shelfwise.operators import features, residuals
 from shelfwise.operators.counts import count_diagnostics
@@ -27,16 +34,42 @@ def test_variance_of_large_values(spark):
     assert total.mean_units == pytest.approx(np.mean([u for _, u in rows]), rel=1e-12)
 
 
-def test_buckets_are_even_far_from_zero(spark):
+@pytest.fixture
+def small_ranges(spark, monkeypatch):
+    """Ranges even for tables of few rows, as many as shuffle partitions."""
+    monkeypatch.setattr(ordered, "ROWS_IN_ONE_RANGE", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_are_even_far_from_zero(spark, small_ranges):
     n = 200_000
     values = spark.range(n).select((F.lit(1.7e9) + F.col("id")).alias("v"), F.lit(1).cast("long").alias("n"))
-    sizes = with_buckets(values, [], "v").groupBy("_bucket").count().agg(F.max("count"), F.count("*")).first()
-    assert sizes[0] <= 3 * 4096 and sizes[1] >= 40
+    sizes = with_ranges(values, [], "v").groupBy(RANGE).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 2 * n / 8 and sizes[1] == 8
     ranks = running_counts(values, [], "v", "n")
     assert ranks.filter(F.col("n_below") != F.col("v") - 1.7e9).isEmpty()
     close = spark.range(50_000).select((F.lit(1.0) + F.col("id") * 1e-9).alias("v"), F.lit(1).cast("long").alias("n"))
     far = close.unionByName(spark.createDataFrame([(1e300, 1), (-1e300, 1)], "v double, n long"))
-    assert with_buckets(far, [], "v").groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 3 * 4096
+    assert with_ranges(far, [], "v").groupBy(RANGE).count().agg(F.max("count")).first()[0] <= 2 * 50_000 / 8
+
+
+def test_many_ranges_give_the_ranks_and_minima_of_one(spark, request):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v), float(m)) for g, v, m in zip(rng.zipf(1.5, 4000) % 5, rng.normal(size=4000), rng.normal(size=4000))]
+    rows += [(9, math.inf, 1.0), (9, -math.inf, 2.0), (9, math.nan, 0.5)]
+    df = spark.createDataFrame(rows, "g int, v double, m double").withColumn("n", F.lit(2).cast("long"))
+
+    def answers():
+        ranks = running_counts(df, ["g"], "v", "n").select("g", "v", "n_below", "n_through", "n_total")
+        lows = suffix_minimum(df, ["g"], "v", "m", "low").select("g", "v", "low")
+        return sorted(map(str, ranks.collect())), sorted(map(str, lows.collect()))
+
+    one = answers()
+    request.getfixturevalue("small_ranges")
+    assert with_ranges(df, ["g"], "v").select(RANGE).distinct().count() > 1
+    assert answers() == one
 
 
 def test_infinite_and_missing_numbers_have_places(spark):

@@ -332,3 +332,60 @@ def test_categorical_trees_take_more_segments_than_bins(spark):
     data = split(frame, str(START + timedelta(14)))
     scored = trees.holdout(data, TreeProfile(trees=2, depth=3), categorical=True)
     assert scored.metrics.count() == 2 and scored.predictions.count() == 500
+
+
+def _draws_by_sql(df, replicates, seed, name):
+    """Interval ends of each key from one row per draw, with Spark's own hashes."""
+    arms = df.groupBy("k", "arm").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select("k", "arm", F.col("place").alias("draw")).join(arms, ["k", "arm"])
+    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    label = F.concat_ws("/", "k", F.col("arm").cast("string"))
+    text = F.concat_ws("|", F.lit(str(seed)), label, F.col("r").cast("string"), F.col("draw").cast("string"))
+    hashed = {
+        "md5": F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"),
+        "xxhash64": F.xxhash64(F.lit(seed), label, "r", F.col("draw").cast("int")),
+    }[name]
+    drawn = rows.withColumn("place", F.pmod(hashed, F.col("n"))).join(df, ["k", "arm", "place"])
+    mean = lambda on: F.avg(F.when(F.col("arm") == on, F.col("v")))
+    diffs = drawn.groupBy("k", "r").agg((mean(True) - mean(False)).alias("d"))
+    ends = diffs.groupBy("k").agg(F.percentile("d", F.lit(0.025)).alias("a"), F.percentile("d", F.lit(0.975)).alias("b"))
+    return {r.k: (r.a, r.b) for r in ends.collect()}
+
+
+@pytest.mark.parametrize("name", ["md5", "xxhash64"])
+def test_bootstrap_draws_are_those_of_sql(spark, monkeypatch, name):
+    """Arms of many chunks, draws in several lots, missing values, long labels, a missing arm."""
+    from shelfwise.operators import bootstrap
+
+    rng = np.random.default_rng(11)
+    rows = [("a", True, i, float(rng.normal())) for i in range(1203)]
+    rows += [("a", False, i, None if i % 7 == 0 else float(rng.normal(2))) for i in range(95)]
+    rows += [("long" * 20, arm, i, float(rng.normal())) for arm in (True, False) for i in range(11)]
+    rows += [("one", True, 0, 4.0), ("one", False, 0, 1.0), ("half", True, 0, 1.0), ("half", True, 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, arm boolean, place long, v double").repartition(5)
+    wanted = _draws_by_sql(df, 130, 3, name)
+    for chunk, lot in ((1 << 18, 1 << 18), (100, 900)):
+        monkeypatch.setattr(bootstrap, "CHUNK", chunk)
+        monkeypatch.setattr(bootstrap, "DRAWS_AT_ONCE", lot)
+        got = mean_difference_interval(df, ["k"], "arm", "place", "v", 130, 3, 0.05, name).collect()
+        assert {r.k for r in got} == set(wanted) and len(got) == 4
+        for r in got:
+            assert (r.ci_low, r.ci_high) == (pytest.approx(wanted[r.k], rel=1e-9) if wanted[r.k][0] is not None else (None, None))
+    assert wanted["one"] == (3.0, 3.0)
+
+
+def test_bootstrap_makes_no_row_per_draw(spark):
+    df = spark.createDataFrame([("a", True, 0, 1.0), ("a", False, 0, 2.0)], "k string, arm boolean, place int, v double")
+    plan = mean_difference_interval(df, ["k"], "arm", "place", "v", 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 2  # blocks of replicates, and replicates
+
+
+def test_md5_draws_against_hashlib():
+    from hashlib import md5
+
+    from shelfwise.functions.draws import md5_draws
+
+    prefixes = [b"42|a/true|%d|" % r for r in range(0, 1200, 97)] + ["é漢|".encode(), b"", b"x" * 54, b"y" * 200]
+    for low, high in ((0, 1), (0, 1103), (8, 12), (99_995, 100_006)):
+        got = md5_draws(prefixes, low, high)
+        assert got.tolist() == [[int(md5(p + b"%d" % i).hexdigest()[:8], 16) for i in range(low, high)] for p in prefixes]
