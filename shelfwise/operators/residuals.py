@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,140 +12,87 @@ from shelfwise.functions.columns import require_columns
 from shelfwise.functions.lineage import pin
 from shelfwise.functions.ordered import running_counts
 from shelfwise.functions.tails import chi_square_upper, f_upper
+from shelfwise.operators.least_squares import fit_groups, predicted, standardised
 
 COVARIATES = ("promo_rate", "holiday_rate", "avg_store_transactions", "oil_price")
 DUMMIES = ("day_of_week", "month")
 LJUNG_BOX_LAGS = (7, 14)
 MIN_ROWS = 30
 OVERALL = "overall_cluster_day"
-FIT_COLUMNS = (
-    "fitted double, residual double, r_squared double, n_params int, "
-    "bp_lm double, bp_f double, bp_df_model int, bp_df_resid int"
-)
+#: A response whose variance is below this, in units of its mean square, is constant.
+VARIES = 1e-12
 
 
-def _design(group: pd.DataFrame) -> np.ndarray:
-    """Constant, covariates, and one column per weekday and month but the lowest present."""
-    columns = [np.ones(len(group))]
-    columns += [group[name].to_numpy(float) for name in COVARIATES]
-    for name in DUMMIES:
-        values = group[name].to_numpy()
-        columns += [(values == level).astype(float) for level in np.unique(values)[1:]]
-    return np.column_stack(columns)
+def _fitted(series: DataFrame, key: str, least: int) -> DataFrame:
+    """The written ``series`` with fitted values, residuals and Breusch-Pagan statistics per ``key``.
 
-
-def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
-    coefficients, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
-    fitted = x @ coefficients
-    spread = float(((y - y.mean()) ** 2).sum())
-    r2 = 1.0 - float(((y - fitted) ** 2).sum()) / spread if spread > 0 else float("nan")
-    return fitted, r2, int(rank)
+    Three passes: group means and spreads, moments of the model, moments of the squared residuals.
+    """
+    size = len(COVARIATES)
+    rows = standardised(series, key, COVARIATES, "units", least)
+    model = fit_groups(rows, key, size, DUMMIES, F.col("_y"))
+    # The model of the squared residuals takes them as shares of their mean, less one.
+    mean_square = F.col("unexplained") / F.col("n_rows")
+    model = pin(model.withColumn("_ms", F.when(mean_square > 0, mean_square).otherwise(F.lit(1.0))), "model")
+    scored = rows.join(model, key).withColumn("_e", F.col("_y") - predicted(size, DUMMIES))
+    share = F.col("_e") * F.col("_e") / F.col("_ms") - 1
+    squares = fit_groups(scored, key, size, DUMMIES, share)
+    constant = F.col("spread") <= VARIES * F.col("n_rows")
+    squares = squares.select(
+        key, F.when(~constant, 1 - F.col("unexplained") / F.col("spread")).alias("_aux_r2")
+    )
+    statistics = pin(
+        model.join(squares, key).select(
+            key,
+            (1 - F.try_divide("unexplained", "spread")).alias("_r2"),
+            "n_params",
+            F.when(F.col("n_rank") > 1, F.col("n_rows") * F.col("_aux_r2")).alias("bp_lm"),
+            _f_value(F.col("_aux_r2"), F.col("n_rank") - 1, F.col("n_rows") - F.col("n_rank")).alias("bp_f"),
+            (F.col("n_rank") - 1).alias("bp_df_model"),
+            (F.col("n_rows") - F.col("n_rank")).cast("int").alias("bp_df_resid"),
+        ),
+        "statistics",
+    )
+    return scored.drop("n_params").join(statistics, key).select(
+        *series.columns,
+        (F.col("units") - F.col("_e")).alias("fitted"),
+        F.col("_e").alias("residual"),
+        F.when(F.col("_varies"), F.col("_r2")).alias("r_squared"),
+        "n_params",
+        F.when(F.col("_varies"), F.col("bp_lm")).alias("bp_lm"),
+        F.when(F.col("_varies"), F.col("bp_f")).alias("bp_f"),
+        "bp_df_model",
+        "bp_df_resid",
+    )
 
 
-def _f_value(r2: float, model_df: int, resid_df: int) -> float:
-    """F statistic of a regression; not a number where it has no meaning.
+def _f_value(r2: Column, model_df: Column, resid_df: Column) -> Column:
+    """F statistic of a regression; null where it has no meaning.
 
     That is so without regressors, without residual degrees of freedom, for a constant
     response and for a perfect fit.
     """
-    if model_df <= 0 or resid_df <= 0 or not r2 < 1.0:
-        return float("nan")
-    return (r2 / model_df) / ((1.0 - r2) / resid_df)
+    return F.when((model_df > 0) & (resid_df > 0) & (r2 < 1), (r2 / model_df) / ((1 - r2) / resid_df))
 
 
 def ols_segment(series: DataFrame, roles: Roles = Roles(), min_rows: int = MIN_ROWS) -> DataFrame:
     """Fitted values, residuals and Breusch-Pagan statistics for each segment's own model.
 
     Statistics that a constant segment or one without varying regressors lacks are null.
-    A segment has one row per calendar day, so a group fits a task. Every row of a
-    segment repeats the segment's statistics.
+    Every row of a segment repeats the segment's statistics. The series is written once
+    because all passes read it; rows with a null regressor, dummy or response are left out.
     """
     require_columns(series, [roles.segment, roles.date, "units", *COVARIATES, *DUMMIES], "series")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        out = group[[roles.segment, roles.date, "units"]].copy()
-        x, y = _design(group), group["units"].to_numpy(float)
-        fitted, r2, _ = _least_squares(x, y)
-        residual = y - fitted
-        _, aux_r2, rank = _least_squares(x, residual**2)
-        n = len(y)
-        model_df, resid_df = rank - 1, n - rank
-        f_value = _f_value(aux_r2, model_df, resid_df)
-        return out.assign(
-            fitted=fitted,
-            residual=residual,
-            r_squared=r2,
-            n_params=x.shape[1],
-            bp_lm=n * aux_r2 if model_df > 0 else np.nan,
-            bp_f=f_value,
-            bp_df_model=model_df,
-            bp_df_resid=resid_df,
-        )
-
-    kind = series.schema[roles.segment].dataType.simpleString()
-    schema = f"{roles.segment} {kind}, {roles.date} date, units double, {FIT_COLUMNS}"
-    size = F.count(F.lit(1)).over(Window.partitionBy(roles.segment))
-    wanted = series.select(
-        roles.segment, roles.date, "units", *COVARIATES, *DUMMIES, size.alias("_n")
-    )
-    enough = wanted.filter(F.col("_n") >= min_rows).drop("_n")
-    fitted = enough.groupBy(roles.segment).applyInPandas(fit, schema)
-    return fitted.withColumns({name: _null_if_nan(name) for name in ("r_squared", "bp_lm", "bp_f")})
-
-
-def _null_if_nan(name: str) -> Column:
-    return F.when(~F.isnan(name), F.col(name))
+    names = [roles.segment, roles.date, "units", *COVARIATES, *DUMMIES]
+    written = pin(series.select(names).dropna(), "series")
+    return _fitted(written, roles.segment, min_rows).drop(*COVARIATES, *DUMMIES)
 
 
 def ols_overall(series: DataFrame) -> DataFrame:
-    """The same columns for one model over all segments.
-
-    The fit sums the normal equations over the partitions, so the rows are never
-    brought together. The levels of the dummies, at most 7 and 12, are read first. The
-    series is written once because both fits and the result read it.
-    """
+    """The series with the same columns for one model over all segments."""
     require_columns(series, ["units", *COVARIATES, *DUMMIES], "series")
-    names = list(COVARIATES)
-    wide = series = pin(series, "series")
-    found = series.agg(*[F.collect_set(dummy).alias(dummy) for dummy in DUMMIES]).first()
-    for dummy in DUMMIES:
-        for level in sorted(found[dummy])[1:]:
-            wide = wide.withColumn(f"{dummy}_{level}", (F.col(dummy) == level).cast("double"))
-            names.append(f"{dummy}_{level}")
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(wide)
-    solver = LinearRegression(featuresCol="_x", labelCol="units", predictionCol="fitted", solver="normal")
-    model = solver.fit(rows)
-    scored = model.transform(rows).withColumn("residual", F.col("units") - F.col("fitted"))
-    squared = scored.withColumn("_sq", F.col("residual") * F.col("residual"))
-    aux = solver.copy({solver.labelCol: "_sq", solver.predictionCol: "_aux"}).fit(squared)
-    n = model.summary.numInstances
-    # Columns that never vary, and dummies that others determine, do not count.
-    rank = _rank(rows)
-    r2, aux_r2 = float(model.summary.r2), float(aux.summary.r2)
-    lm = n * aux_r2 if rank > 1 else float("nan")
-    f_value = _f_value(aux_r2, rank - 1, n - rank)
-    known = lambda x: F.lit(x if x == x else None).cast("double")
-    return scored.select(
-        *series.columns,
-        "fitted",
-        "residual",
-        known(r2).alias("r_squared"),
-        F.lit(len(names) + 1).alias("n_params"),
-        known(lm).alias("bp_lm"),
-        known(f_value).alias("bp_f"),
-        F.lit(rank - 1).alias("bp_df_model"),
-        F.lit(n - rank).alias("bp_df_resid"),
-    )
-
-
-def _rank(rows: DataFrame) -> int:
-    """Rank of the design with its constant: from the correlations, at most 21 by 21."""
-    deviation = rows.select(Summarizer.std(F.col("_x")).alias("s")).first()["s"].toArray()
-    varying = np.flatnonzero(deviation > 0)
-    if not len(varying):
-        return 1
-    matrix = Correlation.corr(rows, "_x").first()[0].toArray()[np.ix_(varying, varying)]
-    return 1 + int(np.linalg.matrix_rank(matrix, hermitian=True, tol=1e-9 * len(varying)))
+    whole = series.dropna(subset=["units", *COVARIATES, *DUMMIES]).withColumn("_all", F.lit(0))
+    return _fitted(pin(whole, "series"), "_all", 1).drop("_all")
 
 
 def breusch_pagan_columns() -> dict[str, Column]:
@@ -287,10 +229,7 @@ _STATISTICS = ("r_squared", "n_params", "bp_lm", "bp_f", "bp_df_model", "bp_df_r
 def residual_diagnostics(
     series: DataFrame, roles: Roles = Roles(), level: float = 0.05, min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """R squared, Breusch-Pagan and Ljung-Box tests and flags per segment.
-
-    The fit, the lags and the sums share one partitioning by segment.
-    """
+    """R squared, Breusch-Pagan and Ljung-Box tests and flags per segment."""
     rows = ols_segment(series, roles, min_rows)
     report = ljung_box(rows, roles.segment, roles.date, carried=_STATISTICS)
     return _with_flags(report, [roles.segment], level)

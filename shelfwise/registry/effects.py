@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import CampaignPlan, TestPlan
 from shelfwise.operators import campaign, evaluate, fdr, residuals, scenario
 from shelfwise.operators.bootstrap import mean_difference_interval
+from shelfwise.operators.residuals import OVERALL
 from shelfwise.operators.two_sample import (
     arm_moments,
     average_ranks,
@@ -470,12 +471,12 @@ _BOX_TERMS = {
 _BOX_SUMS = ", ".join(f"sum(c * c{k}) AS p{k}" for k in range(1, 15))
 
 
-def _box(partition: str, order: str, keys: str) -> str:
+def _box(partition: str, order: str, keys: str, source: str = "base", value: str = "units") -> str:
     lags = ", ".join(f"lag(c, {k}) OVER w AS c{k}" for k in range(1, 15))
     group = f" GROUP BY {keys}" if keys else ""
     head = f"{keys}, " if keys else ""
     return f"""
-centred AS (SELECT cluster, date, units - avg(units) OVER ({partition}) AS c FROM base),
+centred AS (SELECT cluster, date, {value} - avg({value}) OVER ({partition}) AS c FROM {source}),
 lagged AS (SELECT *, {lags} FROM centred WINDOW w AS ({partition} ORDER BY {order})),
 sums AS (SELECT {head}count(*) AS n, sum(c * c) AS p0, stddev_samp(c) AS residual_std, {_BOX_SUMS} FROM lagged{group})"""
 
@@ -502,27 +503,170 @@ def ljung_box_overall(spark, folder):
     )
 
 
-@query("ols_segment")
+# Least squares in SQL: moments of all columns, then a sweep that passes over columns others determine.
+_N_COLUMNS = 24
+
+
+def _solve(name: str, source: str, y: str) -> str:
+    """CTEs ``{name}_fit``: (cluster, beta, rank) of the regression of ``y`` on the list ``x``."""
+    p, q = _N_COLUMNS, _N_COLUMNS + 1
+    return f"""
+{name}_moments AS (
+  SELECT cluster, i, list(v ORDER BY j) AS line FROM (
+    SELECT cluster, i, j, sum(x[i] * xy[j]) AS v
+    FROM (SELECT cluster, x, list_append(x, {y}) AS xy FROM {source}),
+         (SELECT unnest(range(1, {p + 1})) AS i), (SELECT unnest(range(1, {q + 1})) AS j)
+    GROUP BY cluster, i, j)
+  GROUP BY cluster, i),
+{name}_sweep AS (
+  SELECT cluster, 0::BIGINT AS k, 0::BIGINT AS rank, list(line ORDER BY i) AS m FROM {name}_moments GROUP BY cluster
+  UNION ALL
+  SELECT cluster, k + 1, rank + (m[k + 1][k + 1] > 1e-9 * n)::INT,
+         CASE WHEN m[k + 1][k + 1] > 1e-9 * n THEN
+           list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {q + 1}), lambda j:
+             CASE WHEN i = k + 1 THEN m[i][j] / m[i][i]
+                  ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END))
+         ELSE m END
+  FROM {name}_sweep JOIN sizes USING (cluster) WHERE k < {p}),
+{name}_fit AS (
+  SELECT cluster, rank,
+         list_transform(range(1, {p + 1}), lambda i: CASE WHEN abs(m[i][i] - 1) < 1e-6 THEN m[i][{q}] ELSE 0 END) AS beta
+  FROM {name}_sweep WHERE k = {p})"""
+
+
+def _ols(group: str) -> str:
+    """CTEs ``ols`` (rows) and ``ols_stats``; ``group`` is the segment of the model."""
+    names = ("promo_rate", "holiday_rate", "avg_store_transactions", "oil_price")
+    means = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN max({c}) > min({c}) THEN stddev_pop({c}) END AS s_{c}" for c in names)
+    scaled = ", ".join(f"coalesce(({c} - m_{c}) / s_{c}, 0)" for c in names)
+    days = ", ".join(f"(dow = {d})::INT::DOUBLE" for d in range(7))
+    months = ", ".join(f"(month = {m})::INT::DOUBLE" for m in range(1, 13))
+    return f"""
+cov AS (
+  SELECT {group} AS cluster, cluster AS segment, date, units, promo_rate, holiday_rate,
+    coalesce(last_value(avg_store_transactions IGNORE NULLS) OVER back,
+             first_value(avg_store_transactions IGNORE NULLS) OVER ahead) AS avg_store_transactions,
+    coalesce(last_value(oil_price IGNORE NULLS) OVER back, first_value(oil_price IGNORE NULLS) OVER ahead) AS oil_price,
+    isodow(date) - 1 AS dow, month(date) AS month
+  FROM base
+  WINDOW back AS (PARTITION BY cluster ORDER BY date ROWS UNBOUNDED PRECEDING),
+         ahead AS (PARTITION BY cluster ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+sizes AS (
+  SELECT cluster, count(*) AS n, avg(units) AS mean, {means},
+         5 + count(DISTINCT dow) - 1 + count(DISTINCT month) - 1 AS n_params
+  FROM cov GROUP BY cluster),
+design AS (
+  SELECT c.cluster, segment, date, units, units - mean AS y, [1::DOUBLE, {scaled}, {days}, {months}] AS x
+  FROM cov c JOIN sizes s ON c.cluster = s.cluster),
+{_solve("line", "design", "y")},
+scored AS (
+  SELECT d.*, y - list_dot_product(x, beta) AS e,
+         pow(y - list_dot_product(x, beta), 2) / avg(pow(y - list_dot_product(x, beta), 2)) OVER (PARTITION BY d.cluster) - 1 AS u
+  FROM design d JOIN line_fit f ON d.cluster = f.cluster),
+{_solve("squares", "scored", "u")},
+ols_stats AS (
+  SELECT *, n * aux_r2 AS bp_lm, CAST(rank - 1 AS INTEGER) AS bp_df_model, CAST(n - rank AS INTEGER) AS bp_df_resid,
+         (aux_r2 / (rank - 1)) / ((1 - aux_r2) / (n - rank)) AS bp_f
+  FROM (SELECT s.cluster, any_value(z.n) AS n, CAST(any_value(z.n_params) AS INTEGER) AS n_params, any_value(f.rank) AS rank,
+               1 - sum(e * e) / sum(y * y) AS r_squared,
+               1 - sum(pow(u - list_dot_product(x, f.beta), 2)) / (sum(u * u) - sum(u) * sum(u) / count(*)) AS aux_r2
+        FROM scored s JOIN squares_fit f ON s.cluster = f.cluster JOIN sizes z ON s.cluster = z.cluster
+        GROUP BY s.cluster)),
+ols AS (
+  SELECT s.cluster, segment, date, units, units - e AS fitted, e AS residual, r_squared, n_params, bp_lm, bp_f, bp_df_model, bp_df_resid
+  FROM scored s JOIN ols_stats t ON s.cluster = t.cluster)"""
+
+
+def _chi_square_tail(x: str, df: str) -> str:
+    """Upper tail for whole degrees of freedom, by its finite sums."""
+    half = f"({x} / 2)"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda j: exp(-{half} + j * ln({half}) - lgamma(j + 1))))"
+    odd = (
+        f"(CASE WHEN {df} > 1 THEN list_sum(list_transform(range(0, ({df} - 1) // 2), "
+        f"lambda j: exp(-{half} + (j + 0.5::DOUBLE) * ln({half}) - lgamma(j + 1.5::DOUBLE)))) ELSE 0 END)"
+    )
+    return f"(CASE WHEN {df} % 2 = 0 THEN {even} ELSE {_Z_TAIL.format(z=f'sqrt({x})')} + {odd} END)"
+
+
+def _f_tail(f: str, d1: str, d2: str) -> str:
+    """Upper tail: Simpson's rule over the beta density up to d2 / (d2 + d1 f)."""
+    end = f"({d2} / ({d2} + {d1} * {f}))"
+    return f"""(list_sum(list_transform(range(1, 20001), lambda i:
+      (CASE WHEN i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+      * exp(({d2} / 2 - 1) * ln({end} * i / 20000) + ({d1} / 2 - 1) * ln(1 - {end} * i / 20000)
+            + lgamma(({d1} + {d2}) / 2) - lgamma({d1} / 2) - lgamma({d2} / 2))))
+      * {end} / 20000 / 3)"""
+
+
+_BP_TAILS = f"""round({_chi_square_tail("bp_lm", "(n_params - 1)")}, 6) AS breusch_pagan_lm_pvalue,
+  round({_f_tail("bp_f", "bp_df_model::DOUBLE", "bp_df_resid::DOUBLE")}, 6) AS breusch_pagan_f_pvalue"""
+
+
+def _report(group: str, name: str) -> tuple[str, str]:
+    """CTEs and select of the report of residuals, one row per model."""
+    partition, order, keys = ("PARTITION BY cluster", "date", "cluster") if name == "cluster" else ("", "cluster, date", "")
+    rows = "rows_of AS (SELECT segment AS cluster, date, residual FROM ols)," if not keys else "rows_of AS (SELECT * FROM ols),"
+    box = _box(partition, order, keys, "rows_of", "residual")
+    joined = "sums JOIN (SELECT * EXCLUDE (n) FROM ols_stats) USING (cluster)"
+    if not keys:
+        joined = "sums, (SELECT * EXCLUDE (n, cluster) FROM ols_stats)"
+    columns = f"cluster AS {name}" if keys else f"'{OVERALL}' AS scope"
+    tails = ", ".join(
+        f"round({_chi_square_tail(f'ljung_box_q{lag}', str(lag))}, 6) AS ljung_box_pvalue_lag{lag}" for lag in (7, 14)
+    )
+    return (
+        _ols(group) + "," + rows + box,
+        f"""
+SELECT *, breusch_pagan_lm_pvalue < 0.05::DOUBLE AS heteroskedasticity_flag,
+       ljung_box_pvalue_lag7 < 0.05::DOUBLE AS autocorrelation_flag_lag7,
+       ljung_box_pvalue_lag14 < 0.05::DOUBLE AS autocorrelation_flag_lag14
+FROM (SELECT {columns}, n_obs, round(r_squared, 6) AS r_squared, {_BP_TAILS}, {tails}, residual_std
+      FROM (SELECT * EXCLUDE (n, residual_std), {_BOX_COLUMNS} FROM {joined}))""",
+    )
+
+
+def _with_recursive(ctes: str, select: str) -> str:
+    return with_more(ctes, select).replace("WITH sales", "WITH RECURSIVE sales", 1)
+
+
+def _residual_rows(spark, folder):
+    return residuals.ols_segment(diagnostics.covariates(star.raw_tables(spark, folder)))
+
+
+@query(
+    "ols_segment",
+    _with_recursive(
+        _ols("cluster"),
+        """ SELECT cluster, date, units, round(fitted, 4) AS fitted, round(residual, 4) + 0.0::DOUBLE AS residual,
+                   round(r_squared, 6) AS r_squared, n_params, round(bp_lm, 6) AS bp_lm, round(bp_f, 6) AS bp_f,
+                   bp_df_model, bp_df_resid FROM ols""",
+    ),
+)
 def ols_segment(spark, folder):
-    return round_all(residuals.ols_segment(diagnostics.covariates(star.raw_tables(spark, folder))))
+    rows = round_all(rounded(_residual_rows(spark, folder), "fitted", "residual", digits=4))
+    return rows.withColumn("residual", F.col("residual") + F.lit(0.0))
 
 
-@query("breusch_pagan")
+@query(
+    "breusch_pagan",
+    _with_recursive(
+        _ols("cluster"),
+        f""" SELECT cluster, round(bp_lm, 6) AS bp_lm, round(bp_f, 6) AS bp_f, n_params, bp_df_model, bp_df_resid,
+                    {_BP_TAILS} FROM ols_stats""",
+    ),
+)
 def breusch_pagan(spark, folder):
-    rows = residuals.ols_segment(diagnostics.covariates(star.raw_tables(spark, folder)))
-    stats = rows.groupBy("cluster").agg(
+    stats = _residual_rows(spark, folder).groupBy("cluster").agg(
         *[F.first(c).alias(c) for c in ("bp_lm", "bp_f", "n_params", "bp_df_model", "bp_df_resid")]
     )
     return round_all(stats.withColumns(residuals.breusch_pagan_columns()))
 
 
-@query("residual_diagnostics")
+@query("residual_diagnostics", _with_recursive(*_report("cluster", "cluster")))
 def residual_diagnostics(spark, folder):
     return round_all(diagnostics.by_segment(star.raw_tables(spark, folder)))
 
 
-@query("residual_diagnostics_overall")
+@query("residual_diagnostics_overall", _with_recursive(*_report("0", "scope")))
 def residual_diagnostics_overall(spark, folder):
     return round_all(diagnostics.overall(star.raw_tables(spark, folder)))
-
-
