@@ -68,7 +68,8 @@ def oil_daily(oil: DataFrame, sales_dates: DataFrame) -> DataFrame:
 
 def daily_signals(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per sales date: holiday flag, oil price and its missing flag."""
-    dates = tables["sales"].select("date").filter(F.col("date").isNotNull()).distinct()
+    days = tables["store_days"] if "store_days" in tables else tables["sales"]
+    dates = days.select("date").filter(F.col("date").isNotNull()).distinct()
     signals = oil_daily(tables["oil"], dates)
     joined = attach_daily(signals, holiday_daily(tables["holidays"]))
     return joined.withColumn("is_holiday_event", flag(F.col("is_holiday_event")))

@@ -25,17 +25,27 @@ from shelfwise.operators.enrich import (
 )
 
 
+def store_day_sums(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Units and numbers of sales per store, day and promotion flag.
+
+    A table ``store_days`` of these rows, as ``shelfwise.streaming`` keeps it, takes the place of the sales.
+    """
+    if "store_days" in tables:
+        return tables["store_days"].select("store_id", "date", "on_promotion", "units", "n_sales")
+    sales = canonical_sales(tables["sales"]).filter(F.col("date").isNotNull())
+    return sales.groupBy("store_id", "date", "on_promotion").agg(
+        F.sum("units").alias("units"), F.count("units").alias("n_sales")
+    )
+
+
 def store_day_promo(tables: Mapping[str, DataFrame], counted_only: bool = True) -> DataFrame:
     """Units and number of sales per store, day and promotion flag, with the cluster.
 
     Sales without units count for nothing but, unless ``counted_only``, for the day's flags.
     """
-    sales = canonical_sales(tables["sales"]).filter(F.col("date").isNotNull())
+    sums = store_day_sums(tables)
     if counted_only:
-        sales = sales.filter(F.col("units").isNotNull())
-    sums = sales.groupBy("store_id", "date", "on_promotion").agg(
-        F.sum("units").alias("units"), F.count("units").alias("n_sales")
-    )
+        sums = sums.filter(F.col("n_sales") > 0)
     joined = attach(sums, store_clusters(tables["stores"]), ["store_id"])
     return joined.filter(F.col("cluster").isNotNull())
 

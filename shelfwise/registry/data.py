@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
-from shelfwise.functions.lineage import fresh_path
-from shelfwise.operators import enrich, features, profile, quality
+from shelfwise.functions.lineage import fresh_path, pin
+from shelfwise.operators import enrich, features, profile, quality, sketches
 from shelfwise.operators.evaluate import split_column
 from shelfwise.plans import segment_day
 from shelfwise.registry import query
-from shelfwise.registry.inputs import CUTOFF, fact, rounded, total
+from shelfwise.registry.inputs import CUTOFF, fact, light_fact, rounded, total
 from shelfwise.registry.views import with_base, with_more
 from shelfwise.sources import raw, sinks, star
+from shelfwise.streaming import store_days
 
 
 @query(
@@ -375,3 +376,95 @@ def cluster_day_covariates(spark, folder):
     return rounded(series, "avg_store_transactions", "oil_price")
 
 
+
+
+@query(
+    "replaced_month",
+    with_base("""
+SELECT store_id, product_id, date, units * CASE WHEN strftime(date, '%Y-%m') = '1997-05' THEN 2 ELSE 1 END AS units,
+       strftime(date, '%Y-%m') AS year_month
+FROM fact WHERE date >= DATE '1997-01-01' AND date < DATE '1998-01-01'"""),
+)
+def replaced_month(spark, folder):
+    """A year of the fact, of which one month is delivered again with other units."""
+    year = light_fact(spark, folder).filter("date >= DATE'1997-01-01' AND date < DATE'1998-01-01'")
+    target = fresh_path(spark, "delivered")
+    sinks.write_training_table(year, target)
+    month = F.date_format("date", "yyyy-MM")
+    again = year.withColumn("year_month", month).filter(F.col("year_month") == "1997-05")
+    sinks.replace_months(again.withColumn("units", F.col("units") * 2), target)
+    written = raw.read_fact(spark, target)
+    return written.select(
+        "store_id", "product_id", "date", "units", F.col("year_month").cast("string").alias("year_month")
+    )
+
+
+@query(
+    "distinct_rollup",
+    with_base("""
+SELECT cluster, count(*) AS n_rows, count(DISTINCT product_id) AS unique_products,
+       count(DISTINCT store_id) AS unique_stores, true AS products_close, true AS stores_close
+FROM fact GROUP BY cluster"""),
+)
+def distinct_rollup(spark, folder):
+    """Distinct counts per cluster from sketches per store and day, next to the exact ones.
+
+    Close is within four standard errors.
+    """
+    sales = light_fact(spark, folder).select("cluster", "store_id", "date", "product_id")
+    stored = pin(sketches.sketch_table(sales, ["cluster", "store_id", "date"], ["product_id", "store_id"]), "sketches")
+    found = sketches.estimates(sketches.rolled_up(stored.drop("store_id"), ["cluster"]))
+    exact = sales.groupBy("cluster").agg(
+        F.countDistinct("product_id").alias("unique_products"), F.countDistinct("store_id").alias("unique_stores")
+    )
+    error = 4 * 1.04 / 2 ** (sketches.DISTINCT_BITS / 2)
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= error * F.col(b)
+    return found.join(exact, found["cluster"].eqNullSafe(exact["cluster"])).select(
+        found["cluster"],
+        "n_rows",
+        "unique_products",
+        "unique_stores",
+        close("product_id", "unique_products").alias("products_close"),
+        close("store_id", "unique_stores").alias("stores_close"),
+    )
+
+
+@query(
+    "quantile_rollup",
+    with_base("""
+SELECT cluster, count(*) AS n_rows, true AS median_close, true AS p95_close
+FROM fact WHERE cluster IS NOT NULL GROUP BY cluster"""),
+)
+def quantile_rollup(spark, folder):
+    """Median and 95th percentile per cluster from sketches per cluster and day; ranks off by 2 percent at most."""
+    sales = light_fact(spark, folder).filter("cluster IS NOT NULL").select("cluster", "date", "units")
+    stored = pin(sketches.sketch_table(sales, ["cluster", "date"], quantiles=["units"]), "sketches")
+    found = pin(sketches.estimates(sketches.rolled_up(stored, ["cluster"]), {"median": 0.5, "p95": 0.95}), "found")
+    out = found.select("cluster", "n_rows")
+    for label, p in (("median", 0.5), ("p95", 0.95)):
+        errors = sketches.rank_errors(sales, found, ["cluster"], "units", f"units_{label}", p)
+        out = out.join(errors.select("cluster", (F.col("rank_error") <= 0.02).alias(f"{label}_close")), "cluster")
+    return out
+
+
+def _streamed(spark, folder):
+    """Raw tables whose sales went through the stream in four shuffled files."""
+    tables = star.raw_tables(spark, folder)
+    path, checkpoint, target = (fresh_path(spark, name) for name in ("sales", "stream", "store-days"))
+    sales = tables["sales"]
+    sales.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = store_days.start(stream, target, checkpoint, delay="20000 days")
+    query.awaitTermination()
+    return store_days.tables_of(spark, target, {name: tables[name] for name in tables})
+
+
+@query("segment_daily_base_stream", with_base("SELECT * FROM base"))
+def segment_daily_base_stream(spark, folder):
+    """The segment-day base table from a stream of sales in any order."""
+    return rounded(segment_day.segment_daily_base(_streamed(spark, folder)), "oil_price")
+
+
+@query("segment_daily_total_stream", with_base("SELECT cluster, date, units FROM base"))
+def segment_daily_total_stream(spark, folder):
+    return segment_day.segment_daily_total(_streamed(spark, folder))

@@ -621,7 +621,9 @@ SELECT *, breusch_pagan_lm_pvalue < 0.05::DOUBLE AS heteroskedasticity_flag,
        ljung_box_pvalue_lag7 < 0.05::DOUBLE AS autocorrelation_flag_lag7,
        ljung_box_pvalue_lag14 < 0.05::DOUBLE AS autocorrelation_flag_lag14
 FROM (SELECT {columns}, n_obs, round(r_squared, 6) AS r_squared, {_BP_TAILS}, {tails}, residual_std
-      FROM (SELECT * EXCLUDE (n, residual_std), {_BOX_COLUMNS} FROM {joined}))""",
+      FROM (SELECT * EXCLUDE (n, residual_std), n AS n_obs, round(residual_std, 6) AS residual_std,
+                   n * (n + 2) * ({_BOX_TERMS[7]}) AS ljung_box_q7, n * (n + 2) * ({_BOX_TERMS[14]}) AS ljung_box_q14
+            FROM {joined}))""",
     )
 
 

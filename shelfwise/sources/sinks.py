@@ -29,6 +29,23 @@ def write_training_table(fact: DataFrame, path: str) -> None:
     )
 
 
+def replace_months(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` (with ``year_month``) over the same months of a table; other months stay as they are.
+
+    For a month that is delivered again. The new files of all months are made beside the table first
+    and take the place of the old ones when the job ends well, so a failed run leaves the old months.
+    ``rows`` must not be read from ``path`` itself.
+    """
+    require_columns(rows, ["year_month"], "months")
+    (
+        rows.hint("rebalance", "year_month")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year_month")
+        .parquet(path)
+    )
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Write a small report table as one CSV file.
 
