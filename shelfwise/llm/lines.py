@@ -8,16 +8,20 @@ leader until no line is left. A template that occurs in ``LEAST_DOCS`` documents
 ``MANY_TOKENS`` tokens in ``LEAST_DOCS_MANY``, is dropped everywhere but in the document with the smallest
 doc_id.
 
-Leaves of more than ``SMALL`` lines are split by token values: the tokens after the leading ones are
-cut into one block more than two alike lines may differ in, so that alike lines share a block. In each
-round, each of ``SLOTS`` slots of a block names its line of most documents; named in all its blocks and
-unlike all better named ones of them, a line leads. Leaders of a round are mutually unlike, at least one
-line of each leaf is among them, and rounds go on until every line has a leader.
+Leaves of more than ``SMALL`` lines or ``SMALL_BYTES`` of tokens are split by token values: the tokens
+after the leading ones are cut into one block more than two alike lines may differ in, so that alike
+lines share a block. In each round, each slot of a block names its line of most documents; named in all
+its blocks and unlike all better named ones of them, a line leads, and every line alike a leader joins
+the one of most documents. Leaders of a round are mutually unlike, at least one line of each leaf is
+among them, and rounds go on until every line has a leader. The number of slots doubles with each
+round up to ``MOST_SLOTS``, so a leaf of 10,000 lines that are all unlike takes nine rounds. A line
+alike two leaders may join another one here than it would in a small leaf.
 
 Scale. Texts are read in tasks that reduce lines to hashes; leaves and lines are partial aggregates,
 so a leaf or line that a third of all documents share is one row a task. Tokens are built only for
 lines of leaves that enough documents reach, selected by a bit map of constant size. Texts move only
-for documents that lose lines, selected likewise. No more than ``SMALL`` lines are ever collected.
+for documents that lose lines, selected likewise; of the others only the lines are counted. No more
+than ``SMALL`` lines of a leaf or ``MOST_SLOTS`` of a block are ever collected.
 
 Rules for odd rows. Null texts stay null, empty ones empty. Lines with fewer than ``LEAST_TOKENS``
 tokens, blank ones too, always stay. Rows without doc_id are passed on unchanged and do not count.
@@ -37,36 +41,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.lineage import pin
+from shelfwise.functions.lineage import discard, pin
 from shelfwise.llm.bitmap import bit_map, marked, place
 from shelfwise.llm.words import Slice, mix, slices, span_hashes
 
 LEADING, ALIKE = 3, 0.7
-SMALL, SLOTS = 256, 32
+SMALL, SMALL_BYTES = 4096, 8 << 20
+SLOTS, MOST_SLOTS = 32, 8192
 LEAST_DOCS, LEAST_TOKENS = 3, 4
 LEAST_DOCS_MANY, MANY_TOKENS = 2, 20
 VARIABLE = np.uint64(0x5EED)
 _NEWLINE = 10
+#: Tokens compared at once.
+COMPARED = 1 << 22
 GONE, PLACE = "__lines_gone", "__doc_place"
 LEAF_BITS = 23
 LINES = "doc_id long, leaf long, line long, many boolean"
 TOKENS = "leaf long, line long, tokens binary"
 
 
+def _running(marks: np.ndarray) -> np.ndarray:
+    """Number of marks before each byte."""
+    out = np.zeros(len(marks) + 1, dtype=np.int32)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
+def _lines(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows and line numbers of all words, and the first word of each line that has any.
+
+    Lines are numbered through the slice; a new row opens a new line.
+    """
+    starts, ends, rows = part.word_spans()
+    number = _running(part.data == _NEWLINE)[starts] + rows
+    opens = np.ones(len(number), dtype=bool)
+    opens[1:] = number[1:] != number[:-1]
+    return starts, ends, rows, number, np.flatnonzero(opens)
+
+
 class Lines:
     """Lines with enough tokens in a slice: number within the slice, row, hashes and tokens."""
 
     def __init__(self, part: Slice):
-        starts, ends, rows = part.word_spans()
-        digits = np.concatenate([[0], np.cumsum((part.data >= 48) & (part.data <= 57))])
+        starts, ends, rows, number, first = _lines(part)
+        digits = _running(part.data - np.uint8(48) < 10)
         words = span_hashes(part.prefix_hashes(), starts, ends)
         words[digits[ends] > digits[starts]] = VARIABLE
-        breaks = np.concatenate([[0], np.cumsum(part.data == _NEWLINE)])
-        # Lines are numbered through the slice; a new row opens a new line.
-        number = breaks[starts] + rows
-        opens = np.ones(len(number), dtype=bool)
-        opens[1:] = number[1:] != number[:-1]
-        first = np.flatnonzero(opens)
         count = np.diff(np.append(first, len(number)))
         self.words, self.first, self.count = words, first, count
         self.number, self.row = number[first], rows[first]
@@ -197,11 +217,15 @@ def _unlike_better(share: float):
         for batch in batches:
             free = []
             for named in batch.column("named"):
+                # A block's lines are of one leaf and have as many tokens.
                 named = sorted(named.as_py(), key=lambda x: (x["n_docs"], x["line"]), reverse=True)
-                words = [_words(x["tokens"]) for x in named]
-                free += [
-                    x["line"] for i, x in enumerate(named) if not any(_agree(words[i], words[j], share) for j in range(i))
-                ]
+                words = np.stack([_words(x["tokens"]) for x in named])
+                step = max(1, COMPARED // words.size)
+                for low in range(0, len(named), step):
+                    rows = words[low : low + step]
+                    agree = (rows[:, None, :] == words[None, : low + len(rows), :]).sum(axis=2) >= share * words.shape[1]
+                    better = np.arange(low + len(rows))[None, :] < (low + np.arange(len(rows)))[:, None]
+                    free += [named[low + i]["line"] for i in np.flatnonzero(~(agree & better).any(axis=1)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(free, pa.int64())], ["line"])
 
     return run
@@ -215,7 +239,7 @@ def _alike(share: float):
             joined = np.zeros(batch.num_rows, dtype=bool)
             for i, (a, b) in enumerate(zip(batch.column("tokens"), batch.column("leading"))):
                 joined[i] = _agree(_words(a.as_buffer()), _words(b.as_buffer()), share)
-            yield batch.select(["line", "template"]).filter(pa.array(joined))
+            yield batch.select(["line", "template", "leader_docs"]).filter(pa.array(joined))
 
     return run
 
@@ -223,21 +247,27 @@ def _alike(share: float):
 def _elect_by_blocks(left: DataFrame, alike: float) -> list[DataFrame]:
     """line, template of the lines of large leaves; a frame per round."""
     left = pin(left.mapInArrow(_block_keys(alike), "line long, n_docs long, tokens binary, keys array<long>"), "left")
-    found = []
+    found, slots = [], SLOTS
     while not left.isEmpty():
         keyed = left.select(F.explode("keys").alias("key"), "line", "n_docs", "tokens")
-        slot = F.pmod("line", F.lit(SLOTS)).alias("slot")
+        slot = F.pmod("line", F.lit(slots)).alias("slot")
         named = keyed.groupBy("key", slot).agg(F.max(F.struct("n_docs", "line", "tokens")).alias("named"))
         named = named.groupBy("key").agg(F.collect_list("named").alias("named")).select("named")
         free = named.mapInArrow(_unlike_better(alike), "line long").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
         leading = left.join(free, "line").where(F.col("n") == F.size("keys"))
         leading = leading.select(
-            F.explode("keys").alias("key"), F.col("line").alias("template"), F.col("tokens").alias("leading")
+            F.explode("keys").alias("key"),
+            F.col("line").alias("template"),
+            F.col("n_docs").alias("leader_docs"),
+            F.col("tokens").alias("leading"),
         )
-        compared = keyed.join(pin(leading, "leading"), "key").select("line", "tokens", "template", "leading")
-        joined = compared.mapInArrow(_alike(alike), "line long, template long")
-        found.append(pin(joined.groupBy("line").agg(F.min("template").alias("template")), "joined"))
-        left = pin(left.join(found[-1], "line", "left_anti"), "left")
+        compared = keyed.join(pin(leading, "leading"), "key").select("line", "tokens", "template", "leader_docs", "leading")
+        joined = compared.mapInArrow(_alike(alike), "line long, template long, leader_docs long")
+        best = F.max(F.struct("leader_docs", "template"))
+        found.append(pin(joined.groupBy("line").agg(best["template"].alias("template")), "joined"))
+        rest = pin(left.join(found[-1], "line", "left_anti"), "left")
+        discard(left)
+        left, slots = rest, min(2 * slots, MOST_SLOTS)
     return found
 
 
@@ -256,10 +286,12 @@ def line_templates(
     # A line alone in its leaf leads itself; its tokens are not needed.
     several = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     left = pin(lines.join(several, "leaf").join(tokens, ["leaf", "line"]), "left")
-    small = left.where(F.col("n") <= SMALL).select("leaf", "line", "n_docs", "tokens")
+    # All lines of a leaf have as many tokens, so they are all small or none is.
+    is_small = (F.col("n") <= SMALL) & (F.col("n") * F.octet_length("tokens") <= SMALL_BYTES)
+    small = left.where(is_small).select("leaf", "line", "n_docs", "tokens")
     members = small.groupBy("leaf").applyInArrow(_leaf_templates(alike), "line long, template long")
     members = pin(members, "members")
-    for more in _elect_by_blocks(left.where(F.col("n") > SMALL), alike):
+    for more in _elect_by_blocks(left.where(~is_small), alike):
         members = members.unionByName(more)
     own = lines.select("line").join(members.select("line"), "line", "left_anti")
     return members.unionByName(own.select("line", F.col("line").alias("template")))
@@ -284,7 +316,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone, given = rows.column(GONE), rows.column("text")
             found = Lines(part)
             bounds = np.searchsorted(found.row, np.arange(part.rows + 1))
-            breaks = np.concatenate([[0], np.cumsum(part.data == _NEWLINE)])
+            breaks = _running(part.data == _NEWLINE)
             texts, drops = [], []
             for row in range(part.rows):
                 lost, here = gone[row], slice(bounds[row], bounds[row + 1])
@@ -304,19 +336,35 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, "n_lines", "n_dropped"])
 
 
-def _select(bits, wanted: bool):
-    """Rows of documents that lose lines, or the others."""
+def _losers(bits):
+    """Rows of documents that lose lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         for batch in batches:
-            hit = marked(known, batch.column(PLACE).to_numpy())
-            keep = batch.filter(pa.array(hit == wanted))
+            keep = batch.filter(pa.array(marked(bits.value, batch.column(PLACE).to_numpy())))
             yield keep.select([n for n in keep.schema.names if n != PLACE])
 
     return run
 
 
+def _others(bits):
+    """The other rows with their numbers of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.filter(pa.array(~marked(bits.value, batch.column(PLACE).to_numpy())))
+            names = [n for n in keep.schema.names if n != PLACE]
+            counts = np.zeros(keep.num_rows, dtype=np.int64)
+            for part in slices(keep.column("text")):
+                _, _, rows, _, first = _lines(part)
+                counts[part.first : part.first + part.rows] = np.bincount(rows[first], minlength=part.rows)
+            columns = [keep.column(n) for n in names]
+            added = [pa.array(counts), pa.array(np.zeros(keep.num_rows, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, *added], [*names, "n_lines", "n_dropped"])
+
+    return run
+
+
 def drop_repeated_lines(
     docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE, least_docs_many: int = LEAST_DOCS_MANY
 ) -> DataFrame:
@@ -340,9 +388,7 @@ def drop_repeated_lines(
     gone = pin(gone.groupBy(F.col("doc_id").alias("loser")).agg(F.collect_set("line").alias(GONE)), "gone")
     bits = bit_map(gone, "loser")
     placed = docs.withColumn(PLACE, place(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
-    losing = placed.mapInArrow(_select(bits, True), docs.schema)
-    losing = losing.join(gone, losing["doc_id"].cast("long") == gone["loser"], "left").drop("loser")
-    other = placed.mapInArrow(_select(bits, False), docs.schema)
-    other = other.withColumn(GONE, F.lit(None).cast("array<long>"))
     counted = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return losing.mapInArrow(_rebuild, counted).unionByName(other.mapInArrow(_rebuild, counted))
+    losing = placed.mapInArrow(_losers(bits), docs.schema)
+    losing = losing.join(gone, losing["doc_id"].cast("long") == gone["loser"], "left").drop("loser")
+    return losing.mapInArrow(_rebuild, counted).unionByName(placed.mapInArrow(_others(bits), counted))

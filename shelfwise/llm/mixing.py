@@ -8,13 +8,14 @@ the order of their keys until their prefix sum of sizes is as near to the budget
 Scale. No source is ever sorted as a whole. Keys map monotonically to COARSE * FINE buckets; bucket
 sums are partial aggregates, the windows run over at most COARSE and FINE of them per source, and
 only documents of the one bucket where the budget ends are ordered, about one in a million of a
-source. Everything else is decided by its bucket. Sizes and keys are written once, so each text is
-read once; the written limits have a known size, so that Spark joins a hot source without moving
+source, and of those that repeat a row only one with its number. Everything else is decided by its
+bucket. Sizes, keys and row numbers are written once, so each text is read once and a row keeps its number; the written limits have a known size, so that Spark joins a hot source without moving
 its documents as long as that size is below its broadcast threshold. The tables of sources have one row per source;
 the windows that rank sources and share the excess see those rows only.
 
 Rules for odd rows. A null text has size 0. Null sources are one source, the last. Rows without
-doc_id draw from their text. Repeated rows have the same key and are taken or left together.
+doc_id draw from their text. Rows that repeat a doc_id have the same key, the shorter ones first;
+where the budget ends among equal ones, the first by row number are taken.
 Negative, null or non-finite document weights count as the default weight. A source without
 words has target 0. Extra columns of the input are ignored.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.lineage import pin
+from shelfwise.functions.ordered import number_rows
 
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -115,26 +117,12 @@ def mix_sources(
     )
     inside = pin(
         inside.select(
-            F.col("s.source").alias("of"), F.col("s.place").alias("bucket"), "s.size", "s.doc_id", "s.key"
+            F.col("s.source").alias("of"), F.col("s.place").alias("bucket"), "s.size", "s.doc_id", "s.key", "s.row"
         ),
         "inside",
     )
     fine = pin(_ends(inside, coarse.select("source", F.col("left").alias("budget"))), "fine")
-    last = inside.alias("i").join(
-        fine.alias("f"), F.col("i.of").eqNullSafe(F.col("f.source")) & (F.col("i.bucket") == F.col("f.bucket"))
-    )
-    running = F.sum("i.size").over(
-        Window.partitionBy("i.of")
-        .orderBy("i.key", "i.doc_id", "i.size")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # A document over the end is taken if that comes nearer to the budget than stopping before it.
-    chosen = last.select(
-        F.col("i.of").alias("of"),
-        F.col("i.key").alias("key"),
-        (running - F.col("i.size") / 2.0 <= F.col("f.left")).alias("chosen"),
-    ).where("chosen")
-    ends = chosen.groupBy("of").agg(F.max("key").alias("last_key"))
+    ends = pin(_last_rows(inside, fine), "ends")
     limits = pin(
         targets.alias("t")
         .join(fine.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left")
@@ -146,15 +134,19 @@ def mix_sources(
             "t.epochs",
             "t.budget",
             F.col("f.bucket").alias("end_place"),
-            "e.last_key",
+            "e.last",
+            "e.last_row",
         ),
         "limits",
     )
+    here = F.struct("key", "doc_id", "size")
     picked = (
         F.when(F.col("budget") <= 0, F.lit(0))
         .when(F.col("end_place").isNull(), F.lit(1))
         .when(F.col("place") < F.col("end_place"), F.lit(1))
-        .when((F.col("place") == F.col("end_place")) & (F.col("key") <= F.col("last_key")), F.lit(1))
+        .when(F.col("place") > F.col("end_place"), F.lit(0))
+        .when(here < F.col("last"), F.lit(1))
+        .when((here == F.col("last")) & (F.col("last_row").isNull() | (F.col("row") <= F.col("last_row"))), F.lit(1))
         .otherwise(F.lit(0))
     )
     return sized.join(limits, sized.source.eqNullSafe(limits.of)).select(
@@ -167,8 +159,43 @@ def mix_sources(
     )
 
 
+def _last_rows(inside: DataFrame, fine: DataFrame) -> DataFrame:
+    """of, last, last_row: the last (key, doc_id, size) that the budget takes, per source.
+
+    ``last_row`` is the number of the last row taken of those equal ones, null if all are.
+    """
+    edge = inside.alias("i").join(
+        fine.alias("f"), F.col("i.of").eqNullSafe(F.col("f.source")) & (F.col("i.bucket") == F.col("f.bucket"))
+    )
+    order = ["key", "doc_id", "size"]
+    groups = edge.groupBy("i.of", *(f"i.{c}" for c in order), "f.left").agg(F.count(F.lit(1)).alias("copies"))
+    words = F.col("size") * F.col("copies")
+    running = F.sum(words).over(
+        Window.partitionBy("of").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    # A document over the end is taken if that comes nearer to the budget than stopping before it.
+    fits = F.floor((F.col("left") - (F.col("running") - words)) / F.col("size") + 0.5)
+    taken = (
+        groups.withColumn("running", running)
+        .where("size > 0")
+        .withColumn("fits", F.least(fits, F.col("copies")))
+        .where("fits > 0")
+    )
+    ends = taken.groupBy("of").agg(F.max(F.struct(*order, "fits", "copies")).alias("end"))
+    ends = ends.select(F.col("of").alias("ends_of"), F.struct(*(F.col(f"end.{c}") for c in order)).alias("last"), "end.fits", "end.copies")
+    some = inside.join(
+        ends.where("fits < copies"),
+        F.col("of").eqNullSafe(F.col("ends_of")) & F.struct(*order).eqNullSafe(F.col("last")),
+    ).withColumn("of", F.coalesce(F.concat(F.lit("="), "of"), F.lit("")))
+    placed = number_rows(some.select("of", "ends_of", "fits", "row"), ["of"], "row", "position")
+    last = placed.where("position < fits").groupBy(F.col("ends_of").alias("some_of")).agg(F.max("row").alias("last_row"))
+    return ends.join(last, F.col("ends_of").eqNullSafe(F.col("some_of")), "left").select(
+        F.col("ends_of").alias("of"), "last", "last_row"
+    )
+
+
 def _sized(docs: DataFrame, document_weights: DataFrame | None, seed: int) -> DataFrame:
-    """doc_id, source, size, key and the key's buckets; texts are read once and never shuffled."""
+    """row, doc_id, source, size, key and the key's buckets; texts are read once and never shuffled."""
     drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(
         F.xxhash64(F.lit(seed), "doc_id")
     )
@@ -191,7 +218,9 @@ def _sized(docs: DataFrame, document_weights: DataFrame | None, seed: int) -> Da
     # 1 - exp(-key) is uniform for weight 1 and keeps the order of keys.
     place = F.least((1 - F.exp(-F.col("key"))) * float(COARSE * FINE), F.lit(float(COARSE * FINE - 1)))
     return (
-        sized.select("doc_id", "source", "size", (-F.log(uniform) / weight).alias("key"))
+        sized.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", (-F.log(uniform) / weight).alias("key")
+        )
         .withColumn("place", place.cast("long"))
         .withColumn("coarse", F.expr(f"place div {FINE}"))
     )

@@ -109,20 +109,21 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_top_k": """
         WITH kept AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            SELECT row_number() OVER () AS place, vec_id,
+                   list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.place, q.vec_id AS query_id, c.vec_id,
                    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-            FROM kept q JOIN kept c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            FROM kept q JOIN kept c ON q.place <> c.place AND len(q.v) = len(c.v)
             WHERE q.vec_id % 20 = 0
         )
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
         FROM scored
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        WINDOW w AS (PARTITION BY place ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20
     """,
     "op11_fill_in_middle": """

@@ -6,13 +6,15 @@ selection of its k best. The lists of a block are then merged in a tree, ``FAN_I
 time, until one list per query is left.
 
 Scale. The work is queries times candidates, as asked; a tile's memory is bounded by ``BLOCK`` and
-``SHARD``. The number of shards and blocks follows the table; blocks and shards are spread by a
-hash of the id, so equal vectors under different ids spread too. A tile task gets one block and one
+``SHARD``, and within a tile by ``QUERY_ROWS`` rows of scores. Both matrices of a tile travel to its
+task, so what is shuffled is about (1 / BLOCK + 1 / SHARD) vectors for each score. The number of shards and blocks follows the table; rows are spread by a hash of
+their number, so equal vectors and ids spread too. A tile task gets one block and one
 shard; a merge gets at most FAN_IN * BLOCK * k rows. Nothing passes the driver but row counts.
 
 Rules for odd rows. Vectors that are null, empty or hold null or non-finite components take no
-part, nor do rows without id. Only vectors of equal length are compared. Of repeated ids the least
-vector counts. Equal scores go to the smaller id; a query with fewer candidates than k gets all of
+part, nor do rows without id. Only vectors of equal length are compared. Every row is a candidate of
+all queries but itself, so rows that repeat an id are candidates of each other, and each query row
+has its own list. Equal scores go to the smaller id; a query with fewer candidates than k gets all of
 them. Products are exact: float64 where every partial sum stays below 2**53, int64 below 2**63,
 else Python integers, held to the range of a long. Extra columns are ignored.
 """
@@ -30,11 +32,12 @@ from shelfwise.functions.lineage import pin
 
 K = 20
 SHARD = 8192
-BLOCK = 512
+BLOCK = 4096
+QUERY_ROWS = 256
 FAN_IN = 8
 SCALE = 64
-PACKED = "length int, part int, ids binary, grid binary"
-SCORES = "length int, block int, node int, query_id long, vec_id long, score long"
+PACKED = "length int, part int, ids binary, rows binary, grid binary"
+SCORES = "length int, block int, node int, query_row long, query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -51,7 +54,7 @@ def _usable(vector: Column) -> Column:
 
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("vec_id")
+    group = group.sort_values(["vec_id", "row"])
     grid = np.stack(group["vector"].to_numpy()).astype(np.float64)
     first = group.iloc[0]
     return pd.DataFrame(
@@ -59,6 +62,7 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
             "length": [first["length"]],
             "part": [first["part"]],
             "ids": [group["vec_id"].to_numpy(np.int64).tobytes()],
+            "rows": [group["row"].to_numpy(np.int64).tobytes()],
             "grid": [_narrow(grid).tobytes()],
         }
     )
@@ -69,10 +73,11 @@ def _narrow(grid: np.ndarray) -> np.ndarray:
     return grid.astype(np.int16) if len(grid) and np.abs(grid).max() < 32768 else grid
 
 
-def _matrix(ids: bytes, grid: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(ids: bytes, rows: bytes, grid: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, dtype=np.int64)
     kind = np.int16 if len(grid) == 2 * len(keys) * length else np.float64
-    return keys, np.frombuffer(grid, dtype=kind).reshape(len(keys), length).astype(np.float64)
+    vectors = np.frombuffer(grid, dtype=kind).reshape(len(keys), length).astype(np.float64)
+    return keys, np.frombuffer(rows, dtype=np.int64), vectors
 
 
 def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -104,34 +109,36 @@ def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
 def _tile(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                query_ids, queries = _matrix(row.query_ids, row.query_grid, row.length)
-                ids, candidates = _matrix(row.ids, row.grid, row.length)
-                scores = scores_of(queries, candidates)
-                out = []
-                for i, query in enumerate(query_ids):
-                    at = best(scores[i], ids != query, k)
-                    out.append((np.full(len(at), query), ids[at], scores[i, at]))
-                q, v, s = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame(
-                    {
-                        "length": np.full(len(q), row.length, dtype=np.int32),
-                        "block": np.full(len(q), row.block, dtype=np.int32),
-                        "node": np.full(len(q), row.part // FAN_IN, dtype=np.int32),
-                        "query_id": q,
-                        "vec_id": v,
-                        "score": s,
-                    }
-                )
+            for tile in batch.itertuples():
+                query_ids, query_rows, queries = _matrix(tile.query_ids, tile.query_rows, tile.query_grid, tile.length)
+                ids, rows, candidates = _matrix(tile.ids, tile.rows, tile.grid, tile.length)
+                for low in range(0, len(queries), QUERY_ROWS):
+                    scores = scores_of(queries[low : low + QUERY_ROWS], candidates)
+                    out = []
+                    for line, query, row in zip(scores, query_ids[low:], query_rows[low:]):
+                        at = best(line, rows != row, k)
+                        out.append((np.full(len(at), row), np.full(len(at), query), ids[at], line[at]))
+                    r, q, v, s = (np.concatenate(x) for x in zip(*out))
+                    yield pd.DataFrame(
+                        {
+                            "length": np.full(len(q), tile.length, dtype=np.int32),
+                            "block": np.full(len(q), tile.block, dtype=np.int32),
+                            "node": np.full(len(q), tile.part // FAN_IN, dtype=np.int32),
+                            "query_row": r,
+                            "query_id": q,
+                            "vec_id": v,
+                            "score": s,
+                        }
+                    )
 
     return run
 
 
 def _merge(k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((group["vec_id"], ~group["score"].to_numpy(), group["query_id"]))
+        order = np.lexsort((group["vec_id"], ~group["score"].to_numpy(), group["query_row"]))
         group = group.iloc[order]
-        group = group[group.groupby("query_id").cumcount() < k]
+        group = group[group.groupby("query_row").cumcount() < k]
         return group.assign(node=group["node"] // FAN_IN)
 
     return run
@@ -140,7 +147,7 @@ def _merge(k: int):
 def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Matrices of about ``size`` rows, and their number."""
     parts = max(1, -(-rows.count() // size))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     packed = rows.withColumn("part", part).groupBy("length", "part").applyInPandas(_pack, PACKED)
     return packed, parts
 
@@ -148,10 +155,11 @@ def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other rows of (vec_id, embedding) per query."""
     whole = vectors.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col("vec_id").cast("long").alias("vec_id"),
         quantised(_usable(F.col("embedding").cast("array<double>")), scale).alias("vector"),
     ).where("vec_id IS NOT NULL AND vector IS NOT NULL")
-    whole = whole.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # Written once, so a row keeps its number.
     whole = pin(whole.withColumn("length", F.size("vector")), "vectors")
     candidates, parts = _packed(whole, SHARD)
     queries, blocks = _packed(whole.where(is_query), BLOCK)
@@ -159,6 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
         "length",
         F.col("part").alias("block"),
         F.col("ids").alias("query_ids"),
+        F.col("rows").alias("query_rows"),
         F.col("grid").alias("query_grid"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
     )
@@ -180,7 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
 
 
 def _ranked(group: pd.DataFrame) -> pd.DataFrame:
-    order = np.lexsort((group["vec_id"], ~group["score"].to_numpy(), group["query_id"]))
+    order = np.lexsort((group["vec_id"], ~group["score"].to_numpy(), group["query_row"]))
     group = group.iloc[order]
-    rank = (group.groupby("query_id").cumcount() + 1).astype("int32")
+    rank = (group.groupby("query_row").cumcount() + 1).astype("int32")
     return group.assign(rank=rank)[["query_id", "rank", "vec_id", "score"]]

@@ -2,12 +2,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfwise.llm import lines, minhash
-from shelfwise.llm.components import components
+from shelfwise.llm.components import components, spanning_forest
 from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
+from shelfwise.llm.words import slices
 from tests.llm.odd import LONG, empty_documents, odd_documents
 
 DOC = "doc_id long, text string"
@@ -182,3 +184,101 @@ def test_line_odd_rows(spark):
     assert texts[2] == [None] and texts[3] == [""] and texts[4] == [" \n\t "]
     assert {r.key for r in rows} == {r.key for r in docs.collect()}
     assert drop_repeated_lines(empty_documents(spark)).count() == 0
+
+
+def plain_lines(rows):
+    """doc_id -> text by the rules of the template tree, one leaf after the other."""
+    def words_of(line):
+        return tuple("*" if any(c.isdigit() for c in w) else w for w in line.split())
+
+    def code(line):
+        part = next(slices(pa.array([line])))
+        return int(lines.Lines(part).line[0].view(np.int64))
+
+    docs_of, codes = {}, {}
+    for doc, text in rows:
+        for line in text.split("\n"):
+            words = words_of(line)
+            if len(words) >= lines.LEAST_TOKENS:
+                docs_of.setdefault(words, set()).add(doc)
+                codes[words] = code(line)
+    leaves, leader = {}, {}
+    for words in docs_of:
+        leaves.setdefault((len(words), words[:3]), []).append(words)
+    for leaf in leaves.values():
+        left = sorted(leaf, key=lambda w: (len(docs_of[w]), codes[w]), reverse=True)
+        while left:
+            first = left[0]
+            near = [w for w in left if sum(a == b for a, b in zip(first, w)) >= lines.ALIKE * len(w)]
+            leader |= {w: first for w in near}
+            left = [w for w in left if w not in leader]
+    members = {}
+    for words, first in leader.items():
+        members.setdefault(first, set()).update(docs_of[words])
+    gone = {}
+    for first, docs in members.items():
+        least = lines.LEAST_DOCS_MANY if len(first) >= lines.MANY_TOKENS else lines.LEAST_DOCS
+        if len(docs) >= least:
+            gone[first] = min(docs)
+    out = {}
+    for doc, text in rows:
+        kept = [x for x in text.split("\n") if gone.get(leader.get(words_of(x)), doc) == doc]
+        out[doc] = "\n".join(kept)
+    return out
+
+
+def test_template_tree_against_brute_force(spark):
+    random.seed(12)
+    word = lambda: random.choice(["ab", "cd", "ef", "gh", "x1", "y22"])
+    long = [[random.choice("klmnop") + random.choice("qrs") for _ in range(24)] for _ in range(6)]
+    rows = []
+    for doc in range(120):
+        own = [" ".join(["in", "one", "leaf", *(word() for _ in range(random.choice([0, 1, 5, 7])))]) for _ in range(6)]
+        passage = list(random.choice(long))
+        for _ in range(random.choice([0, 3, 12])):
+            passage[random.randrange(24)] = "zz"
+        rows.append((doc, "\n".join([*own, "", " ".join(passage), "  ".join(word() for _ in range(5))])))
+    out = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(rows, DOC)).collect()}
+    expected = plain_lines(rows)
+    assert {d: r.text for d, r in out.items()} == expected
+    assert all(r.n_lines == sum(bool(x.strip()) for x in dict(rows)[d].split("\n")) for d, r in out.items())
+    assert 0 < sum(r.n_dropped for r in out.values()) < sum(r.n_lines for r in out.values())
+
+
+def test_rounds_grow_with_the_logarithm_of_a_leaf(spark):
+    """2,000 lines that share a block and are all unlike."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(1000, 1 << 31, (2000, 20)).astype(np.uint32)
+    words[:, : lines.LEADING + 3] = 7
+    rows = [(1, i, 1, words[i].tobytes()) for i in range(2000)]
+    left = spark.createDataFrame(rows, "leaf long, line long, n_docs long, tokens binary")
+    found = lines._elect_by_blocks(left, lines.ALIKE)
+    assert len(found) <= 9
+    members = [r for part in found for r in part.collect()]
+    assert sorted(r.line for r in members) == list(range(2000)) and all(r.line == r.template for r in members)
+
+
+def test_a_line_joins_the_better_of_two_leaders(spark):
+    a, b = ([*"xyz", *(f"{k}{i}" for i in "abcd")] for k in "ab")  # agree in six of ten places
+    both = a[:5] + b[5:]
+    words = lambda w: np.array([hash(x) & 0xFFFF for x in ["s", "t", "u", *w]], dtype=np.uint32).tobytes()
+    rows = [(1, 1, 9, words(a)), (1, 2, 5, words(b)), (1, 3, 1, words(both))]
+    found = lines._elect_by_blocks(spark.createDataFrame(rows, "leaf long, line long, n_docs long, tokens binary"), 0.7)
+    assert {r.line: r.template for part in found for r in part.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_spanning_forest_keeps_components_and_drops_links(spark):
+    random.seed(2)
+    links = [(random.randrange(40), random.randrange(40)) for _ in range(3000)] + [(100 + i, 100) for i in range(500)]
+    links += [(7, None), (None, None), (60, 60)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(9)
+    forest = spanning_forest(df).collect()
+    nodes = {x for r in forest for x in r}
+    assert all(r.a < r.b for r in forest) and len(forest) <= 2 * len(nodes)
+    parent = {n: n for n in nodes}
+    def root(n):
+        return n if parent[n] == n else root(parent[n])
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r.node: r.component for r in components(df).collect()} == {n: root(n) for n in nodes}

@@ -12,18 +12,17 @@ from tests.llm.odd import empty_documents, odd_documents
 
 
 def brute_top_k(rows, k):
-    least = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(64 * x) for x in v]
-        least[i] = min(least.get(i, q), q)
+    """Every row against every other; a query row's list is without that row only."""
+    fine = [
+        (i, [math.floor(64 * x) for x in v]) for i, v in rows
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = []
-    for i, v in least.items():
+    for at, (i, v) in enumerate(fine):
         if i % 20:
             continue
         scored = sorted(
-            (-sum(a * b for a, b in zip(v, w)), j) for j, w in least.items() if j != i and len(w) == len(v)
+            (-sum(a * b for a, b in zip(v, w)), j) for other, (j, w) in enumerate(fine) if other != at and len(w) == len(v)
         )
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
@@ -38,12 +37,26 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     rows += [(300 + i, [0.5] * 6) for i in range(60)]  # ties
     rows += [(400, None), (None, [1.0] * 6), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")] * 6)]
     rows += [(480, []), (500, [1.0, 2.0]), (520, [3.0, 4.0]), (0, [9.0] * 6), (20, [-9.0] * 6)]  # other length, repeated ids
+    rows += [(2, [0.5] * 6), (2, [0.9] * 6), (60, [2.25] * 6), (60, [2.25] * 6)]  # repeated rows
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
     got = top_k(df.repartition(7), F.col("vec_id") % 20 == 0, k=7)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(tuple(r) for r in got.collect()) == brute_top_k(rows, 7)
 
 
+def test_top_k_twin_agrees_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from shelfwise.llm.registry import QUERIES, SQL
+
+    rows = [(2, [0.5, 0.0]), (2, [0.9, 0.0]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [0.25, 1.0]), (3, [0.5, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op1_top_k"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(SQL["op1_top_k"]).fetchall()) == brute_top_k(rows, 20)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 20 == 0).count() == 0
@@ -103,6 +116,20 @@ def test_mix_targets_and_reruns(spark, monkeypatch):
     assert sorted(map(tuple, first), key=str) == sorted(map(tuple, again), key=str)
 
 
+def test_copies_at_the_end_of_the_budget_are_counted(spark):
+    """Hot copies of one id, of one text without id, and of an id with texts of two lengths."""
+    ten, six = "w " * 10, "w " * 6
+    for copies in ([(7, ten)] * 100, [(None, ten)] * 100, [(7, ten)] * 60 + [(7, six)] * 60):
+        rows = [(*c, s) for c in copies for s in ("a", None)] + [(100 + i, ten, "a") for i in range(50)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+        out = mix_sources(docs, weights=(1, 1)).collect()
+        check_mix(docs, out, weights=(1, 1))
+        again = mix_sources(docs.repartition(3), weights=(1, 1)).collect()
+        plain = lambda rows: sorted(map(str, rows))
+        assert plain(out) == plain(again)
+        assert len({r.taken for r in out if r.size == 10 and r.source == "a"}) <= 2
+
+
 def test_fractional_epoch_follows_the_keys(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 5)), s) for s in ("a", "b", "c") for i in range(400 * "abc".index(s), 400 * "abc".index(s) + 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
