@@ -448,11 +448,11 @@ def quantile_rollup(spark, folder):
 
 
 def _streamed(spark, folder):
-    """Raw tables whose sales went through the stream in four shuffled files."""
+    """Raw tables whose sales went through the stream in two shuffled files."""
     tables = star.raw_tables(spark, folder)
     path, checkpoint, target = (fresh_path(spark, name) for name in ("sales", "stream", "store-days"))
     sales = tables["sales"]
-    sales.repartition(4).write.parquet(path)
+    sales.repartition(2).write.parquet(path)
     stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = store_days.start(stream, target, checkpoint, delay="20000 days")
     query.awaitTermination()
