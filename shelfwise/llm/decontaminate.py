@@ -25,8 +25,9 @@ take several passes. Python works on arrays of windows; only survivors are handl
 result is one row per document and item.
 
 Rules for odd rows. Null and empty texts match nothing, nor do null items and those with fewer than
-``SHORTEST`` characters. Rows without doc_id or item_id are left out. Repeated documents match alike
-and give one row per doc_id and item_id, as repeated items do. Other columns are ignored.
+``SHORTEST`` characters. Rows without doc_id or item_id are left out of ``contaminated``; the filter
+``without_contaminated`` needs no doc_id. Repeated documents match alike and give one row per doc_id
+and item_id, as repeated items do. Other columns are ignored or, by the filter, passed on.
 """
 
 from __future__ import annotations
@@ -296,29 +297,34 @@ def least_edits(pattern: str, text: str, most: int) -> int:
     return least if least <= most else most + 1
 
 
+def _found(items: ItemIndex, texts: pa.Array, most_edits: float) -> Iterator[tuple[int, int, int]]:
+    """Row, number of the item and least edits of every item that a text holds."""
+    if not items.ids:
+        return
+    for part in slices(texts, lower=True):
+        text, offsets, starts = normalised(part)
+        at, entry = items.candidates(text, starts)
+        rows = np.searchsorted(offsets, at, "right") - 1
+        groups: dict[tuple[int, int], set[int]] = {}
+        for row, item, begin in zip(rows.tolist(), items.owners[entry].tolist(), (at - items.before[entry]).tolist()):
+            groups.setdefault((row, item), set()).add(begin)
+        for row, item, begin in items.short(text, offsets, most_edits):
+            groups.setdefault((row, item), set()).add(begin)
+        for (row, item), begins in groups.items():
+            edits = _verify(text, int(offsets[row]), int(offsets[row + 1]), items.chars[item], begins, most_edits)
+            if edits is not None:
+                yield part.first + row, item, edits
+
+
 def _matches(index, most_edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = index.value
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for part in slices(batch.column("text"), lower=True):
-                if not items.ids:
-                    continue
-                text, offsets, starts = normalised(part)
-                at, entry = items.candidates(text, starts)
-                rows = np.searchsorted(offsets, at, "right") - 1
-                groups: dict[tuple[int, int], set[int]] = {}
-                for row, item, begin in zip(
-                    rows.tolist(), items.owners[entry].tolist(), (at - items.before[entry]).tolist()
-                ):
-                    groups.setdefault((row, item), set()).add(begin)
-                for row, item, begin in items.short(text, offsets, most_edits):
-                    groups.setdefault((row, item), set()).add(begin)
-                for (row, item), begins in groups.items():
-                    edits = _verify(text, int(offsets[row]), int(offsets[row + 1]), items.chars[item], begins, most_edits)
-                    if edits is not None:
-                        doc = batch.column("doc_id")[part.first + row].as_py()
-                        out.append((doc, items.ids[item], edits, len(items.chars[item])))
+            docs = batch.column("doc_id")
+            out = [
+                (docs[row].as_py(), items.ids[item], edits, len(items.chars[item]))
+                for row, item, edits in _found(items, batch.column("text"), most_edits)
+            ]
             names = ["doc_id", "item_id", "edits", "item_chars"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
@@ -327,6 +333,19 @@ def _matches(index, most_edits: float):
     return run
 
 
+def _clean(index, most_edits: float, text: int):
+    """The rows whose text, in column ``text``, holds no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for row, _, _ in _found(index.value, batch.column(text), most_edits):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _slack(most: int) -> int:
     """Bytes: a shift of ``most`` characters."""
     return 4 * most + 4
@@ -350,22 +369,39 @@ def _verify(text: np.ndarray, low: int, high: int, item: str, begins: set[int],
     return least if least <= most else None
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
-    """doc_id, item_id, edits, item_chars of all documents (doc_id, text) that hold an item."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+def _indexes(benchmark: DataFrame, most_edits: float) -> Iterator:
+    """Broadcast indexes of blocks of the benchmark's items."""
+    spark = benchmark.sparkSession
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where(f"item_id IS NOT NULL AND length(text) >= {SHORTEST}").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text")
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()], most_edits))
+        yield spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in mine.collect()], most_edits))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
+    """doc_id, item_id, edits, item_chars of all documents (doc_id, text) that hold an item."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = None
+    for index in _indexes(benchmark, most_edits):
         part = docs.mapInArrow(_matches(index, most_edits), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(
         F.min("edits").alias("edits"), F.max("item_chars").alias("item_chars")
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text holds no item.
+
+    The decision is taken on the row, so rows without doc_id go as well. Rows pass one task per block
+    of items and are not shuffled.
+    """
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for index in _indexes(benchmark, most_edits):
+        docs = docs.mapInArrow(_clean(index, most_edits, docs.columns.index("text")), docs.schema)
+    return docs

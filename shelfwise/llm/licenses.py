@@ -1,8 +1,10 @@
 """License texts in documents: winnowed fingerprints pick candidates, banded alignment reports spans.
 
 Method. Templates are token sequences (letters and digits, lower case). Each template keeps the
-least hash of every window of ``WINDOW`` grams of ``GRAM`` tokens; short ones keep all grams. The
-fingerprints form an inverted index to (template, position). All grams of a document are looked up,
+least hash of every window of ``WINDOW`` grams of ``GRAM`` tokens; those of fewer than ``SHORT`` tokens
+keep all grams, and those of fewer than ``TINY`` grams of two tokens, so that some gram is left whatever
+tokens an edit within the coverage changes. The fingerprints form an inverted index to (template,
+position). All grams of a document are looked up,
 so a template's fingerprint is found wherever it stands. Hits of one template on nearby diagonals
 are one candidate; it is aligned with the template inside a band around those diagonals. Reported
 are candidates whose matched tokens cover ``COVERAGE`` of the template.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.words import ALPHANUMERIC, Slice, mix, slices, span_hashes
 
 GRAM, WINDOW, COVERAGE = 3, 4, 0.8
+SHORT, TINY, PAIR = 20, 7, 2
 BAND_SHARE, LEAST_BAND = 0.2, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 16
@@ -99,13 +102,13 @@ def tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return span_hashes(part.prefix_hashes(), starts, ends), starts, ends, rows
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` tokens that start at each position where so many are left."""
-    n = max(0, len(words) - GRAM + 1)
+def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of the ``size`` tokens that start at each position where so many are left."""
+    n = max(0, len(words) - size + 1)
     out = words[:n].copy()
-    for k in range(1, GRAM):
+    for k in range(1, size):
         out = mix(out, k) + words[k : k + n]
-    return mix(out)
+    return mix(out, size - GRAM)
 
 
 def winnow(hashes: np.ndarray) -> np.ndarray:
@@ -118,45 +121,45 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 
 
 class TemplateIndex:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted indexes of the templates' fingerprints, one for each size of grams."""
 
     def __init__(self, templates: Sequence[tuple[str, str]]):
         if sum(len(t.encode()) for _, t in templates) > MOST_TEMPLATE_BYTES:
             raise ValueError("the templates are too large to send to every task")
-        self.names, self.words = [], []
-        keys, owners, places = [], [], []
+        self.names, self.words, entries = [], [], {}
         for name, text in templates:
             (part,) = slices(pa.array([text], pa.large_string()), lower=True, limit=max(1, len(text.encode())))
             words = tokens(part)[0]
-            marks = grams(words)
-            at = winnow(marks)
-            keys.append(marks[at])
-            owners.append(np.full(len(at), len(self.names)))
-            places.append(at)
+            size = PAIR if len(words) < TINY else GRAM
+            marks = grams(words, size)
+            at = np.arange(len(marks)) if len(words) < SHORT else winnow(marks)
+            entries.setdefault(size, []).append((marks[at], np.full(len(at), len(self.names)), at))
             self.names.append(name)
             self.words.append(words)
-        keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.owner = np.concatenate(owners)[order] if owners else order
-        self.place = np.concatenate(places)[order] if places else order
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.sizes = {}
+        for size, found in entries.items():
+            keys, owner, place = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            known = np.zeros(1 << FILTER_BITS, dtype=bool)
+            known[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.sizes[size] = keys[order], owner[order], place[order], known
 
     def hits(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, template, diagonal) of every fingerprint in a slice; grams stay inside rows."""
-        marks = grams(words)
-        hit = np.flatnonzero(self.filter[(marks >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        hit = hit[rows[hit] == rows[hit + GRAM - 1]]
-        left = np.searchsorted(self.keys, marks[hit], "left")
-        count = np.searchsorted(self.keys, marks[hit], "right") - left
-        total = int(count.sum())
-        if not total:
-            return []
-        within = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        entry = np.repeat(left, count) + within
-        at = np.repeat(hit, count)
-        return sorted(set(zip(rows[at].tolist(), self.owner[entry].tolist(), (at - self.place[entry]).tolist())))
+        out = set()
+        for size, (keys, owner, place, known) in self.sizes.items():
+            marks = grams(words, size)
+            hit = np.flatnonzero(known[(marks >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            hit = hit[rows[hit] == rows[hit + size - 1]]
+            left = np.searchsorted(keys, marks[hit], "left")
+            count = np.searchsorted(keys, marks[hit], "right") - left
+            total = int(count.sum())
+            if total:
+                within = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+                entry = np.repeat(left, count) + within
+                at = np.repeat(hit, count)
+                out.update(zip(rows[at].tolist(), owner[entry].tolist(), (at - place[entry]).tolist()))
+        return sorted(out)
 
 
 def align(template: list[int], text: list[int], diagonal: int, band: int) -> tuple[int, int, int]:

@@ -15,9 +15,9 @@ extensions reach to their ends and the bytes before the anchors agree, which is
 
 Scale. Texts are never compared with each other and never meet in one task: a bucket of anchors
 holds packed hashes, about 14 bytes for every 13 bytes of text, and bytes only of fragments whose
-anchor has different contexts. Answers return to the documents by buckets of doc_id. The number of
-buckets follows ``spark.sql.shuffle.partitions``. A passage that very many documents share spreads
-over as many buckets as it has anchors; each holds a few bytes a document.
+anchor has different contexts. Answers return to the documents by buckets of doc_id. There is a bucket
+for each ``BUCKET_BYTES`` of text, so what a task holds does not grow. A passage that very many
+documents share spreads over as many buckets as it has anchors; each holds a few bytes a document.
 
 Rules for odd rows. Null texts are empty. A text shorter than LENGTH bytes keeps all its bytes.
 Rows without doc_id take no part and keep all. Rows that repeat a doc_id are the same document:
@@ -40,6 +40,7 @@ from shelfwise.llm.words import Slice, mix, powers, slices, span_hashes, _INVERS
 
 LENGTH = 50
 GRAM = 24
+BUCKET_BYTES = 32 << 20
 RESOLVED, PENDING = 0, 1
 FRAGMENT_SCHEMA = "bucket int, anchor binary, low binary, high binary, doc binary"
 ANSWER_SCHEMA = "bucket int, kind int, doc binary, low binary, high binary, mask binary"
@@ -454,33 +455,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of (doc_id, text)."""
     if not length // 3 <= gram <= length - 1 or length - gram + 1 > 32:
         raise ValueError("the gram must leave 1 to 31 offsets in a window")
-    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = docs.where("doc_id IS NOT NULL")
     # Answers take a row per pair of a bucket of anchors and one of documents at most.
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _bucket_count(known)
     anchors = 2 * buckets
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = docs.where("doc_id IS NOT NULL").mapInArrow(_fragment_hashes(anchors, length, gram), FRAGMENT_SCHEMA)
-    answers = pin(hashes.groupBy("bucket").applyInArrow(_repeats(buckets), ANSWER_SCHEMA), "repeats")
+    hashes = known.mapInArrow(_fragment_hashes(anchors, length, gram), FRAGMENT_SCHEMA)
+    answers = pin(_dealt(hashes, anchors).applyInArrow(_repeats(buckets), ANSWER_SCHEMA), "repeats")
 
-    placed = docs.mapInArrow(_placed(buckets), "bucket int, doc_id long, text string")
+    placed = known.mapInArrow(_placed(buckets), "bucket int, doc_id long, text string")
     pending = answers.where(F.col("kind") == PENDING)
-    fragments = placed.groupBy("bucket").cogroup(pending.groupBy("bucket")).applyInArrow(
+    fragments = _dealt(placed, buckets).cogroup(_dealt(pending, buckets)).applyInArrow(
         _fragment_bytes(anchors, length, gram), BYTES_SCHEMA
     )
-    sorted_answers = fragments.groupBy("bucket").applyInArrow(
-        _sort_bucket(buckets, length, gram), ANSWER_SCHEMA
-    )
+    sorted_answers = _dealt(fragments, anchors).applyInArrow(_sort_bucket(buckets, length, gram), ANSWER_SCHEMA)
     every = answers.where(F.col("kind") == RESOLVED).unionByName(sorted_answers)
-    return placed.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(
-        _cut(length, gram), RESULT_SCHEMA
-    )
+    cut = _dealt(placed, buckets).cogroup(_dealt(every, buckets)).applyInArrow(_cut(length, gram), RESULT_SCHEMA)
+    return cut.unionByName(docs.where("doc_id IS NULL").mapInArrow(_whole, RESULT_SCHEMA))
+
+
+def _bucket_count(docs: DataFrame) -> int:
+    """Buckets of about ``BUCKET_BYTES`` of text, as many as shuffle partitions at least."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
+def _dealt(rows: DataFrame, buckets: int):
+    """Groups of the buckets, spread over as many tasks as there are buckets."""
+    return rows.repartition(buckets, "bucket").groupBy("bucket")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers for rows without doc_id, which lose nothing."""
+    for batch in batches:
+        texts = [(t.as_py() or "").encode() for t in batch.column("text")]
+        zero = np.zeros(len(texts), dtype=np.int64)
+        columns = [batch.column("doc_id"), [len(t) for t in texts], zero, zero, [hashlib.sha256(t).hexdigest() for t in texts]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, _arrow(RESULT_SCHEMA))], schema=_arrow(RESULT_SCHEMA)
+        )
 
 
 def _placed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            bucket = pa.array(doc_bucket(ids, buckets).astype(np.int32))
+            bucket = pa.array(doc_bucket(batch.column("doc_id").to_numpy(), buckets).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [bucket, batch.column("doc_id"), batch.column("text")], ["bucket", "doc_id", "text"]
             )

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.lineage import pin
 from shelfwise.llm.words import ALPHANUMERIC, mix, slices, span_hashes
@@ -237,6 +238,8 @@ def fit_chain(sample: DataFrame, categories: Sequence[str]) -> list[dict]:
 
 
 def _score(chain):
+    """The rows with the probability and the decision of every category."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = chain.value
         for batch in batches:
@@ -244,11 +247,10 @@ def _score(chain):
             for row, slots in slots_of(batch.column("text")):
                 for i, model in enumerate(models):
                     odds[row, i] = model["bias"] + model["weights"][slots].sum() + steady(odds[row, :i]) @ model["extra"]
-            columns = [batch.column("doc_id")]
-            columns += [pa.array(_probability(odds[:, i])) for i in range(len(models))]
+            columns = [pa.array(_probability(odds[:, i])) for i in range(len(models))]
             columns += [pa.array(odds[:, i] >= m["threshold"]) for i, m in enumerate(models)]
-            names = ["doc_id", *(f"p{i}" for i in range(len(models))), *(f"is{i}" for i in range(len(models)))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            names = [*(f"p{i}" for i in range(len(models))), *(f"is{i}" for i in range(len(models)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return run
 
@@ -273,13 +275,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     )
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, p_<category> and is_<category> of every row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``rows`` (with text) and p_<category>, is_<category>, by the chain fitted on (doc_id, text) of ``docs``."""
     categories = [*CATEGORY_WORDS, FINAL]
     chain = fit_chain(labelled_sample(docs, labels, sample), categories)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     n = range(len(categories))
-    schema = ", ".join(["doc_id long", *(f"p{i} double" for i in n), *(f"is{i} boolean" for i in n)])
-    scored = docs.mapInArrow(_score(shared), schema)
-    return scored.toDF("doc_id", *(f"p_{c}" for c in categories), *(f"is_{c}" for c in categories))
+    schema = T.StructType(rows.schema.fields)
+    for name, kind in [(f"p{i}", T.DoubleType()) for i in n] + [(f"is{i}", T.BooleanType()) for i in n]:
+        schema = schema.add(name, kind)
+    scored = rows.mapInArrow(_score(shared), schema)
+    return scored.toDF(*rows.columns, *(f"p_{c}" for c in categories), *(f"is_{c}" for c in categories))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, p_<category> and is_<category> of every row of (doc_id, text)."""
+    return _scored(_plain(docs), _plain(docs), labels, sample).drop("text")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with their columns, that the last category does not flag.
+
+    The decision is taken on the row, so rows without doc_id go as well, and a row does not take
+    others of its id along.
+    """
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    text = docs.columns.index("text")
+    rows = docs.withColumn("text", F.col("text").cast("string")).toDF(*columns).withColumnRenamed(columns[text], "text")
+    kept = _scored(rows, _plain(docs), labels, sample).where(~F.col(f"is_{FINAL}"))
+    return kept.select(*(F.col(c).alias(n) for c, n in zip(rows.columns, docs.columns)))

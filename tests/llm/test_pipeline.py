@@ -86,3 +86,33 @@ def test_registered_near_duplicates(spark):
     out = registry.op7_near_duplicates(spark, FOLDER).collect()
     assert {r.doc_id: r.component_id for r in out} == brute_components(rows, 2)
     assert near_duplicates(spark.read.parquet(f"{FOLDER}/documents.parquet")).count() == len(rows)
+
+
+def test_stages_on_odd_rows(spark, stages):
+    """Null and repeated ids, empty and long texts, columns of the operators' own names, no rows at all."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = {r.doc_id for r in stages["toxicity"][1].collect()}
+    toxic = next(r for r in given.collect() if r.doc_id not in kept)
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    clean, long = "Words of a row that has no id at all, and nothing else to say.", "lorem ipsum dolor sit amet " * 8000
+    odd = [
+        (None, toxic.text), (None, f"so {item} it is"), (None, clean), (None, None), (7001, ""), (7002, None),
+        (7003, long), (7003, long), (7004, long), (7005, clean + " Once."), (7005, clean + " Twice and more often than that."),
+    ]
+    rows = spark.createDataFrame([(i, t, "en", None, 0) for i, t in odd], given.schema)
+    docs = given.unionByName(rows).selectExpr("*", "1 AS is_toxic", "'c' AS c0", "2 AS loser", "3 AS key", "4 AS n_lines_", "5 AS place")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.pin(stage(spark, docs, FOLDER), name)
+        assert left.dtypes == docs.dtypes
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        seen[name], docs = [(r.doc_id, r.text) for r in left.collect()], left
+    assert (None, toxic.text) not in seen["toxicity"] and (None, clean) in seen["toxicity"]
+    assert (None, f"so {item} it is") in seen["minhash_near_dedup"]
+    final = seen["benchmark_decontamination"]
+    assert (None, f"so {item} it is") not in final
+    assert {(None, clean), (None, None), (7001, ""), (7002, None)} <= set(final)
+    assert [i for i, _ in final].count(7003) == 2 and [i for i, _ in final].count(7005) == 2
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert mixed.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0

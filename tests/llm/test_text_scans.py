@@ -129,6 +129,26 @@ def test_license_spans(spark):
     assert not [r for r in out if r.doc_id in (3, 4)]
 
 
+def test_short_notices_with_changed_tokens_are_found():
+    """Any edit that leaves the coverage, in every short notice at every place."""
+    from shelfwise.llm import licenses
+
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(re.findall("[A-Za-z0-9]+", t)) < licenses.SHORT]
+    long = [(f"made {k}", " ".join(f"w{k}x{i}" for i in range(k))) for k in (5, 6, 9, 10, 15, 19)]
+    for name, text in [*short, *long]:
+        words = re.findall("[A-Za-z0-9]+", text)
+        index = licenses.TemplateIndex([(name, text)])
+        allowed = int((1 - licenses.COVERAGE) * len(words) + 1e-9)
+        for first in range(len(words)):
+            for edit in ("change", "insert", "drop"):
+                new = list(words)
+                for at in {(first + i * len(words) // max(1, allowed)) % len(words) for i in range(allowed)}:
+                    new[at] = {"change": "other", "insert": f"other {words[at]}", "drop": ""}[edit]
+                (part,) = slices(pa.array(["before the " + " ".join(new) + " and after"]), lower=True)
+                hashes, _, _, rows = licenses.tokens(part)
+                assert [f[1] for f in licenses._found(index, hashes, rows, licenses.COVERAGE)] == [0], (name, new)
+
+
 def test_license_odd_rows(spark):
     docs = odd_documents(spark)
     extra = spark.createDataFrame([(None, TEMPLATES[1][1]), (5, LONG + TEMPLATES[2][1])], DOC)
