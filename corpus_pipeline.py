@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.lineage import pin
-from shelfwise.llm.decontaminate import contaminated
+from shelfwise.llm.decontaminate import without_contaminated
 from shelfwise.llm.lines import drop_repeated_lines
 from shelfwise.llm.minhash import near_duplicates
 from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.registry import label_weights
 from shelfwise.llm.tables import small_batches, table
-from shelfwise.llm.toxicity import score_toxicity
+from shelfwise.llm.toxicity import without_toxic
 
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the last category of the chain flags go."""
-    flagged = score_toxicity(docs, table(spark, sf_dir, "labels")).where("is_toxic").select("doc_id").distinct()
-    return docs.join(flagged, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the last category of the chain flags go, with or without doc_id."""
+    small_batches(spark)
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a passage of the benchmark go, with or without doc_id."""
+    small_batches(spark)
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
