@@ -35,9 +35,9 @@ def with_ranges(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     if RANGE in rows.columns:
         return rows
-    stored = pin(rows, "ordered")
+    stored = pin(rows.withColumn(RANGE, F.lit(0)), "ordered")
     if stored.count() <= ROWS_IN_ONE_RANGE:
-        return stored.withColumn(RANGE, F.lit(0))
+        return stored
     # The number is written with the row, so a second draw of the range bounds cannot disagree.
     return pin(stored.repartitionByRange(*keys, value).withColumn(RANGE, F.spark_partition_id()), "ranges")
 

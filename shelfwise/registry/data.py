@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
@@ -9,10 +11,10 @@ from shelfwise.functions.lineage import fresh_path, pin
 from shelfwise.operators import enrich, features, profile, quality, sketches
 from shelfwise.operators.evaluate import split_column
 from shelfwise.plans import segment_day
-from shelfwise.registry import query
+from shelfwise.registry import SQL, query
 from shelfwise.registry.inputs import CUTOFF, fact, light_fact, rounded, total
 from shelfwise.registry.views import with_base, with_more
-from shelfwise.sources import raw, sinks, star
+from shelfwise.sources import buckets, raw, sinks, star
 from shelfwise.streaming import store_days
 
 
@@ -468,3 +470,16 @@ def segment_daily_base_stream(spark, folder):
 @query("segment_daily_total_stream", with_base("SELECT cluster, date, units FROM base"))
 def segment_daily_total_stream(spark, folder):
     return segment_day.segment_daily_total(_streamed(spark, folder))
+
+
+@query("merge_external_bucketed", SQL["merge_external"])
+def merge_external_bucketed(spark, folder):
+    """The same table from a fact and a weather table in buckets of (store_id, date)."""
+    source = star.Star(spark, folder)
+    tables = {"fact_by_key": fact(spark, folder), "weather_by_key": raw.explode_weather(star.weather_payloads(source))}
+    kept = [
+        buckets.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", fresh_path(spark, name))
+        for name, rows in tables.items()
+    ]
+    merged = enrich.merge_external(*kept, star.events(source))
+    return merged.withColumn("event_names", F.array_join("event_names", "|"))

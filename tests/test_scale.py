@@ -1,5 +1,6 @@
 """Properties that must hold on large data: plans, skew, partitioning."""
 
+import os
 from datetime import date, timedelta
 
 import pytest
@@ -157,3 +158,46 @@ def test_row_operators_run_on_a_stream(spark, tmp_path):
     query = bad.writeStream.format("memory").queryName("bad_rows").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("bad_rows").count() == 2
+
+
+def test_joins_of_bucketed_tables_leave_the_fact_where_it_is(spark, tmp_path):
+    """Fact, weather and events on (store_id, date): only the events, which are grouped first, are shuffled."""
+    from shelfwise.operators.enrich import merge_external
+    from shelfwise.sources.buckets import write_bucketed
+
+    first = date(2024, 1, 1)
+    rows = [(s, i % 5, first + timedelta(i % 20), float(i)) for s in (1, 1, 1, 2, 3) for i in range(200)]
+    fact = spark.createDataFrame(rows, "store_id int, product_id int, date date, units double")
+    days = fact.select("store_id", "date").distinct()
+    weather = days.select(
+        "store_id", "date", *(F.col("store_id").cast("double").alias(f"weather_{n}") for n in ("temp_mean", "precip_sum", "wind_max"))
+    )
+    events = days.filter("day(date) < 4").select("date", F.lit("fair").alias("event_name"), "store_id", F.lit(1.5).alias("event_intensity"))
+    names = [f"bucketed_{n}_{os.getpid()}" for n in ("fact", "weather")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [
+            write_bucketed(t, n, str(tmp_path / n)) for t, n in zip((fact, weather), names)
+        ]
+        merged = merge_external(*kept, events)
+        plan = plan_of(merged)
+        assert merged.count() == len(rows)
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffled and not any("units" in line or "weather" in line for line in shuffled)
+        # Below every exchange there is no scan of a bucketed table.
+        depth = None
+        for line in plan.splitlines():
+            indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if depth is not None and indent <= depth:
+                depth = None
+            if "Exchange hashpartitioning" in line:
+                depth = indent
+            assert depth is None or "Bucketed: true" not in line
+        assert plan.count("Bucketed: true") == 2
+        plain = merge_external(fact, weather, events)
+        assert sorted(map(str, merged.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
