@@ -54,7 +54,7 @@ VARIABLE = np.uint64(0x5EED)
 _NEWLINE = 10
 #: Tokens compared at once.
 COMPARED = 1 << 22
-GONE, PLACE = "__lines_gone", "__doc_place"
+GONE, PLACE, LOSER = "__lines_gone", "__doc_place", "__loser"
 LEAF_BITS = 23
 LINES = "doc_id long, leaf long, line long, many boolean"
 TOKENS = "leaf long, line long, tokens binary"
@@ -369,7 +369,7 @@ def drop_repeated_lines(
     docs: DataFrame, least_docs: int = LEAST_DOCS, alike: float = ALIKE, least_docs_many: int = LEAST_DOCS_MANY
 ) -> DataFrame:
     """``docs`` with shorter texts, n_lines (non-blank) and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped", GONE, PLACE)
+    docs = docs.drop("n_lines", "n_dropped", GONE, PLACE, LOSER)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
     held = pin(plain.mapInArrow(_line_hashes, LINES).distinct(), "lines_held")
@@ -385,10 +385,10 @@ def drop_repeated_lines(
     # Written, so that its join with a hot template's lines can be broadcast or split.
     recurring = pin(recurring, "recurring")
     gone = inside.join(recurring, "template").where("doc_id <> kept_in")
-    gone = pin(gone.groupBy(F.col("doc_id").alias("loser")).agg(F.collect_set("line").alias(GONE)), "gone")
-    bits = bit_map(gone, "loser")
+    gone = pin(gone.groupBy(F.col("doc_id").alias(LOSER)).agg(F.collect_set("line").alias(GONE)), "gone")
+    bits = bit_map(gone, LOSER)
     placed = docs.withColumn(PLACE, place(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
     counted = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     losing = placed.mapInArrow(_losers(bits), docs.schema)
-    losing = losing.join(gone, losing["doc_id"].cast("long") == gone["loser"], "left").drop("loser")
+    losing = losing.join(gone, losing["doc_id"].cast("long") == gone[LOSER], "left").drop(LOSER)
     return losing.mapInArrow(_rebuild, counted).unionByName(placed.mapInArrow(_others(bits), counted))

@@ -281,10 +281,8 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int) ->
     chain = fit_chain(labelled_sample(docs, labels, sample), categories)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     n = range(len(categories))
-    schema = T.StructType(rows.schema.fields)
-    for name, kind in [(f"p{i}", T.DoubleType()) for i in n] + [(f"is{i}", T.BooleanType()) for i in n]:
-        schema = schema.add(name, kind)
-    scored = rows.mapInArrow(_score(shared), schema)
+    added = [T.StructField(f"p{i}", T.DoubleType()) for i in n] + [T.StructField(f"is{i}", T.BooleanType()) for i in n]
+    scored = rows.mapInArrow(_score(shared), T.StructType([*rows.schema.fields, *added]))
     return scored.toDF(*rows.columns, *(f"p_{c}" for c in categories), *(f"is_{c}" for c in categories))
 
 

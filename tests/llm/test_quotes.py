@@ -1,3 +1,5 @@
+import random
+
 from shelfwise.llm.quotes import own_text, parse, reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string"
@@ -59,3 +61,77 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert reply_order(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_passages(text):
+    """(level, text) of runs of lines of one level and of lines of three words, without hashes."""
+    found, run, level = set(), [], None
+    norm = lambda lines: " ".join(" ".join(lines).casefold().split())
+    for line in [*text.split("\n"), None]:
+        bare = (line or "").lstrip(" \t")
+        at = 0
+        while bare.startswith(">"):
+            at, bare = at + 1, bare[1:].lstrip(" \t") if bare[1:2] in (" ", "\t") else bare[1:]
+        words = bare if at else line or ""
+        if line is None or at != level or not words.strip():
+            if run:
+                found.add((level, norm(run)))
+            run, level = [], at
+        if words.strip():
+            run.append(words)
+            if len(words.split()) >= 3:
+                found.add((at, norm([words])))
+    return found
+
+
+def plain_order(rows):
+    """(conv, turn) -> n_quotes, n_linked, parent, thread, depth; every message against every other."""
+    held = {}
+    for conv, turn, _, text, *_ in rows:
+        if conv is not None and turn is not None and text is not None:
+            held.setdefault((conv, turn), set()).update(plain_passages(text))
+    out = {}
+    for (conv, turn), mine in held.items():
+        quotes = [(level, words) for level, words in mine if level]
+        links = []
+        for level, words in quotes:
+            first = min((t for (c, t), other in held.items() if c == conv and (0, words) in other), default=None)
+            if first is not None and first < turn:
+                links.append((level, -first))
+        out[conv, turn] = [len(quotes), len(links), -min(links)[1] if links else None]
+    for (conv, turn), answer in out.items():
+        at, depth = turn, 0
+        while out[conv, at][2] is not None:
+            at, depth = out[conv, at][2], depth + 1
+        answer += [at, depth]
+    return out
+
+
+def test_against_every_message(spark):
+    random.seed(21)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(random.randint(1, 25)):
+            lines = []
+            for _ in range(random.randint(0, 3)):
+                if said and random.random() < 0.8:
+                    marks = random.choice([">", "> ", ">> ", "> > ", " > "])
+                    quoted = random.choice(said).upper() if random.random() < 0.3 else random.choice(said)
+                    lines += [marks + part for part in quoted.split("\n")] + [""] * random.randint(0, 1)
+            for _ in range(random.randint(0, 2)):
+                own = "\n".join(" ".join(random.choice("ab cd ef gh".split()) for _ in range(random.randint(1, 5))) for _ in range(random.randint(1, 2)))
+                said.append(own)
+                lines += [*own.split("\n"), ""]
+            rows.append((conv, turn, "u", "\n".join(lines), "x"))
+            if random.random() < 0.1:
+                rows.append((conv, turn, "u", random.choice(["> ab cd ef", "again the same turn"]), "x"))
+    long = "one two three four five\n" * 20000
+    rows += [(50, 0, "u", long, "x"), (50, 1, "u", "> one two three four five\nYes.", "x"), (50, 2, "u", ">" * 3000 + " ab cd ef", "x")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS parent_turn", "'y' AS n_quotes", "2 AS of_turn")
+    out = reply_order(df.repartition(6))
+    assert {"of_turn"} <= set(out.columns) and out.count() == len(rows)
+    expected = plain_order(rows)
+    for r in out.collect():
+        assert [r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn, r.depth] == expected[r.conv_id, r.turn], (r.conv_id, r.turn)
+    assert sum(e[2] is not None for e in expected.values()) > 30
