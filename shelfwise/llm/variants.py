@@ -39,6 +39,7 @@ from shelfwise.llm.words import Slice, mix, slices
 
 DAMAGED = 199
 LEAST_POINTS, LEAST_COUNT, RATIO = 6, 5, 5
+SALTS = 8
 #: Longer runs are hashed one by one.
 LONG_RUN = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,14 +142,14 @@ class Nodes:
     that of the letters from i on; ``first`` leaves length + 1 places a word.
     """
 
-    def __init__(self, words: pa.Array):
+    def __init__(self, words: pa.Array, salt: int):
         self.count = len(words)
         self.length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         self.letters = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.length + 1)])[:-1].astype(np.int64)
         text = np.concatenate([[0], np.cumsum(self.length)])[:-1].astype(np.int64)
         total = int(self.length.sum()) + self.count
-        self.prefix, self.suffix = (np.full(total, mix(np.array([k], dtype=np.uint64))[0]) for k in (1, 2))
+        self.prefix, self.suffix = (np.full(total, mix(np.array([k], dtype=np.uint64), salt)[0]) for k in (1, 2))
         order = np.argsort(-self.length, kind="stable")
         first, text, length = self.first[order], text[order], self.length[order]
         for k in range(int(length[0]) if self.count else 0):
@@ -163,39 +164,48 @@ class Nodes:
         return self.prefix[self.first + self.length].view(np.int64)
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.append_column("id", pa.array(Nodes(batch.column("word")).whole))
+def _ids(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("id", pa.array(Nodes(batch.column("word"), salt).whole))
 
+    return run
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = Nodes(batch.column("word"))
-        owner = np.repeat(nodes.whole, nodes.length + 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x.view(np.int64)) for x in (nodes.prefix, nodes.suffix, owner)], ["prefix", "suffix", "id"]
-        )
 
+def _splits(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = Nodes(batch.column("word"), salt)
+            owner = np.repeat(nodes.whole, nodes.length + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.view(np.int64)) for x in (nodes.prefix, nodes.suffix, owner)], ["prefix", "suffix", "id"]
+            )
 
-def _skips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = Nodes(batch.column("word"))
-        # Positions of all letters in the node arrays: every place but the last of each word.
-        word = np.repeat(np.arange(nodes.count), nodes.length)
-        here = np.arange(len(word)) + word
-        at = here - nodes.first[word]
-        opens = np.ones(len(word), dtype=bool)
-        opens[1:] = (nodes.letters[1:] != nodes.letters[:-1]) | (at[1:] == 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(nodes.prefix[here].view(np.int64)),
-                pa.array(nodes.suffix[here + 1].view(np.int64)),
-                pa.array(at.astype(np.int32)),
-                pa.array(opens),
-                pa.array(nodes.whole[word]),
-            ],
-            ["prefix", "suffix", "at", "first", "id"],
-        )
+    return run
+
+
+def _skips(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = Nodes(batch.column("word"), salt)
+            # Positions of all letters in the node arrays: every place but the last of each word.
+            word = np.repeat(np.arange(nodes.count), nodes.length)
+            here = np.arange(len(word)) + word
+            at = here - nodes.first[word]
+            opens = np.ones(len(word), dtype=bool)
+            opens[1:] = (nodes.letters[1:] != nodes.letters[:-1]) | (at[1:] == 0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(nodes.prefix[here].view(np.int64)),
+                    pa.array(nodes.suffix[here + 1].view(np.int64)),
+                    pa.array(at.astype(np.int32)),
+                    pa.array(opens),
+                    pa.array(nodes.whole[word]),
+                ],
+                ["prefix", "suffix", "at", "first", "id"],
+            )
+
+    return run
 
 
 def word_counts(docs: DataFrame, damaged: int = DAMAGED) -> DataFrame:
@@ -205,13 +215,26 @@ def word_counts(docs: DataFrame, damaged: int = DAMAGED) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """left, right, at of pairs of (id, word) whose words differ by one letter.
+def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
+    """The written (word, n, id), and the salt under which no two words have the same number.
 
-    Without letter ``at`` the left word is the right one, or both are equal.
+    A number is the node of a whole word. Two of a billion words share one with a probability of a few
+    percent; then the numbers are made again under another salt.
     """
-    skips = words.select("word").mapInArrow(_skips, SKIPS)
-    splits = words.select("word").mapInArrow(_splits, SPLITS)
+    counts = pin(counts, "words")
+    for salt in range(SALTS):
+        words = pin(counts.mapInArrow(_ids(salt), "word string, n long, id long"), "numbered")
+        if words.groupBy("id").count().where("count > 1").isEmpty():
+            discard(counts)
+            return words, salt
+        discard(words)
+    raise ValueError("two words have one number under every salt")
+
+
+def near_words(words: DataFrame, salt: int) -> DataFrame:
+    """left_word, right_word (id, word, n) of all pairs of words that differ by one letter."""
+    skips = words.select("word").mapInArrow(_skips(salt), SKIPS)
+    splits = words.select("word").mapInArrow(_splits(salt), SPLITS)
     pair = ["prefix", "suffix"]
     other = skips.select(*pair, F.col("id").alias("right"))
     replaced = skips.withColumnRenamed("id", "left").join(other, pair).where("left < right")
@@ -236,12 +259,10 @@ def near_words(words: DataFrame) -> DataFrame:
 def spelling_variants(docs: DataFrame, damaged: int = DAMAGED) -> DataFrame:
     """word, n, n_near, form, form_n, root of the vocabulary of (doc_id, text).
 
-    The id of every ``damaged``-th (by hash) document and run loses a letter before counting.
+    One in ``damaged`` pairs of document and run, by their hash, loses a letter before it is counted.
     """
-    words = pin(word_counts(docs, damaged).mapInArrow(_ids, "word string, n long, id long"), "words")
-    if not words.groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError("two words have one number; change the factors of the node numbers")
-    pairs = near_words(words)
+    words, salt = numbered(word_counts(docs, damaged))
+    pairs = near_words(words, salt)
     both = F.explode(
         F.array(
             F.struct(F.col("left_word.id").alias("id"), F.col("right_word").alias("near")),

@@ -3,6 +3,10 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
+from shelfwise.llm import variants
 from shelfwise.llm.variants import spelling_variants, word_counts
 from tests.llm.odd import empty_documents, odd_documents
 
@@ -97,3 +101,22 @@ def test_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert got(spelling_variants(docs)) == variants_of(rows)
     assert spelling_variants(empty_documents(spark)).count() == 0
+
+
+def test_words_that_share_a_number_get_others(spark, monkeypatch):
+    """With numbers of few bits the first salts fail; without any good one there is an error."""
+    counts = spark.createDataFrame([(f"word{chr(97 + i)}xyz", 5) for i in range(20)], "word string, n long")
+    real = variants._ids
+
+    def poor(good):
+        def ids(salt):
+            return (lambda batches: (b.append_column("id", pa.array([7] * b.num_rows)) for b in batches)) if salt < good else real(salt)
+
+        return ids
+
+    monkeypatch.setattr(variants, "_ids", poor(2))
+    words, salt = variants.numbered(counts)
+    assert salt == 2 and words.select("id").distinct().count() == 20
+    monkeypatch.setattr(variants, "_ids", poor(99))
+    with pytest.raises(ValueError, match="one number"):
+        variants.numbered(counts)
