@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import flag, pct_change, require_columns, share
+from shelfwise.functions.lineage import pin
 from shelfwise.functions.ordered import quantiles_of, running_counts, value_histogram
 
 PROMO_LABELS = ("No Promo", "Promo")
@@ -115,10 +116,10 @@ def clip_units(
 def _clipped_counts(fact: DataFrame, low: float | None, high: float) -> DataFrame:
     """Rows per promotion label and clipped value, with running counts per label.
 
-    The quantiles come from the same histogram, so the fact is read once.
+    The quantiles come from the same written histogram, so the fact is read once.
     """
     require_columns(fact, ["units", "on_promotion"], "fact")
-    by_value = value_histogram(fact, ["on_promotion"], "units")
+    by_value = pin(value_histogram(fact, ["on_promotion"], "units"), "values")
     all_values = by_value.groupBy("units").agg(F.sum("n").alias("n"))
     clipped = _clipped(all_values, "units", low, high)
     label = F.when(F.col("on_promotion"), PROMO_LABELS[1]).otherwise(PROMO_LABELS[0])
