@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import fill_both_ways, flag, promo_flag, require_columns, to_number
-from shelfwise.functions.joins import attach, attach_daily
+from shelfwise.functions.joins import attach, attach_daily, deal
 
 # Holiday types that mark a day as special.
 SPECIAL_TYPES = ("Holiday", "Event")
@@ -95,16 +95,18 @@ def product_classes(products: DataFrame) -> DataFrame:
     )
 
 
-def base_daily_sales(tables: Mapping[str, DataFrame]) -> DataFrame:
+def base_daily_sales(tables: Mapping[str, DataFrame], partitions: int | None = None) -> DataFrame:
     """The fact: every sale with its store, product, traffic and day attributes.
 
     Holiday and oil are merged into one table of days first, so the fact passes one
-    broadcast join for both. The other three joins are left to Catalyst.
+    broadcast join for both. The other three joins are left to Catalyst. With ``partitions`` the
+    fact comes in that many by (store, day), for use that sorts or groups it so.
     """
     fact = canonical_sales(tables["sales"])
     fact = attach(fact, store_clusters(tables["stores"]), ["store_id"])
     fact = attach(fact, product_classes(tables["products"]), ["product_id"])
-    fact = attach(fact, store_traffic(tables["transactions"]), ["date", "store_id"])
+    fact = deal(fact, partitions, "store_id", "date")
+    fact = attach(fact, store_traffic(tables["transactions"]), ["store_id", "date"])
     fact = attach_daily(fact, daily_signals(tables))
     return fact.select(
         "store_id",

@@ -24,6 +24,7 @@ from shelfwise.registry.inputs import (
     promo_days,
     round_all,
     rounded,
+    sales_tasks,
     total,
 )
 from shelfwise.registry.views import with_more
@@ -410,7 +411,7 @@ def effects(spark, folder):
 @query("cross_class_panel", with_more(_PANEL, " SELECT * FROM panel"))
 def cross_class_panel(spark, folder):
     """The operator on the row-level fact."""
-    return campaign.cross_class_panel(fact(spark, folder))
+    return campaign.cross_class_panel(fact(spark, folder, sales_tasks(spark, folder)))
 
 
 @query("promo_days", with_more(_PANEL, " SELECT * FROM store_promo"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
+from shelfwise.functions.joins import tasks_for
 from shelfwise.functions.lineage import pin
 from shelfwise.operators import features
 from shelfwise.operators.enrich import base_daily_sales, product_classes
@@ -15,8 +16,13 @@ from shelfwise.sources import star
 CUTOFF = "2001-06-30"
 
 
-def fact(spark: SparkSession, folder: str) -> DataFrame:
-    return base_daily_sales(star.raw_tables(spark, folder))
+def sales_tasks(spark: SparkSession, folder: str) -> int:
+    """Partitions for queries that sort or group the whole sales by store and day."""
+    return tasks_for(star.raw_tables(spark, folder)["sales"])
+
+
+def fact(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    return base_daily_sales(star.raw_tables(spark, folder, partitions), partitions)
 
 
 def base(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,15 +11,20 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.functions.joins import deal
+
 # Part types in alphabetical order; the class number is the place here.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 class Star:
-    """The tables of one folder; each file listing is read once."""
+    """The tables of one folder; each file listing is read once.
+
+    With ``partitions``, tables by store and day are made in that many partitions of (store, day).
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, partitions: int | None = None):
+        self._spark, self._folder, self.partitions = spark, folder, partitions
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -117,10 +122,14 @@ def oil(star: Star) -> DataFrame:
 
 def transactions(star: Star) -> DataFrame:
     """Orders with taxed lines per store and day; days without any have no row."""
-    return (
+    taxed = (
         star.table("lineitem")
         .filter(F.col("l_tax") >= 0.005)
-        .groupBy(_day("l_shipdate").alias("date"), F.col("l_suppkey").alias("store_nbr"))
+        .select(_day("l_shipdate").alias("date"), F.col("l_suppkey").alias("store_nbr"), "l_orderkey")
+    )
+    return (
+        deal(taxed, star.partitions, "store_nbr", "date")
+        .groupBy("date", "store_nbr")
         .agg(F.countDistinct("l_orderkey").cast("double").alias("transactions"))
     )
 
@@ -150,8 +159,8 @@ class RawTables(Mapping):
         return len(self._builders)
 
 
-def raw_tables(spark: SparkSession, folder: str) -> RawTables:
-    return RawTables(Star(spark, folder))
+def raw_tables(spark: SparkSession, folder: str, partitions: int | None = None) -> RawTables:
+    return RawTables(Star(spark, folder, partitions))
 
 
 def store_days(star: Star) -> DataFrame:
