@@ -12,7 +12,7 @@ from shelfwise.operators import enrich, features, profile, quality, sketches
 from shelfwise.operators.evaluate import split_column
 from shelfwise.plans import segment_day
 from shelfwise.registry import SQL, query
-from shelfwise.registry.inputs import CUTOFF, fact, light_fact, rounded, total
+from shelfwise.registry.inputs import CUTOFF, fact, light_fact, rounded, sales_tasks, total
 from shelfwise.registry.views import with_base, with_more
 from shelfwise.sources import buckets, raw, sinks, star
 from shelfwise.streaming import store_days
@@ -476,9 +476,11 @@ def segment_daily_total_stream(spark, folder):
 def merge_external_bucketed(spark, folder):
     """The same table from a fact and a weather table in buckets of (store_id, date)."""
     source = star.Star(spark, folder)
-    tables = {"fact_by_key": fact(spark, folder), "weather_by_key": raw.explode_weather(star.weather_payloads(source))}
+    number = sales_tasks(spark, folder)
+    weather = raw.explode_weather(star.weather_payloads(source))
+    tables = {"fact_by_key": fact(spark, folder, number), "weather_by_key": weather}
     kept = [
-        buckets.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", fresh_path(spark, name))
+        buckets.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", fresh_path(spark, name), buckets=number)
         for name, rows in tables.items()
     ]
     merged = enrich.merge_external(*kept, star.events(source))

@@ -177,21 +177,20 @@ def weather_payloads(star: Star) -> DataFrame:
 
     A store has at most one entry per calendar day, so the arrays are bounded.
     """
-    day = F.dayofyear("date")
-    temp = (day * 7 + F.col("store_id") * 3) % 300 / 10.0
-    rain = (day + F.col("store_id")) % 50 / 10.0
-    wind = (day * 3 + F.col("store_id")) % 400 / 10.0
-    entry = F.struct(
-        F.col("date").cast("string").alias("time"),
-        temp.alias("temp"),
-        rain.alias("rain"),
-        wind.alias("wind"),
-    )
-    series = (
-        store_days(star)
-        .groupBy("store_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    )
+
+    def entry(s):
+        date = s["date"]
+        day = F.dayofyear(date)
+        temp = (day * 7 + F.col("store_id") * 3) % 300 / 10.0
+        rain = (day + F.col("store_id")) % 50 / 10.0
+        wind = (day * 3 + F.col("store_id")) % 400 / 10.0
+        return F.struct(
+            date.cast("string").alias("time"), temp.alias("temp"), rain.alias("rain"), wind.alias("wind")
+        )
+
+    # Only days are shuffled and sorted; the struct keeps a missing day.
+    days = store_days(star).groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("date"))).alias("d"))
+    series = days.select("store_id", F.transform("d", entry).alias("s"))
     payload = F.to_json(
         F.struct(
             F.struct(

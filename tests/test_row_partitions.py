@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -45,3 +46,13 @@ def test_panel_of_a_dealt_fact_has_as_many_tasks_as_its_rows_need(spark):
     assert panel.rdd.getNumPartitions() == wanted and len(sizes) > wanted // 2
     assert _text(dealt) == _text(base_daily_sales(tables))
     assert _text(panel) == _text(campaign.cross_class_panel(base_daily_sales(tables)))
+
+
+def test_dealt_fact_goes_to_its_buckets_without_another_exchange(spark, tmp_path):
+    tables = _tables(spark)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) + 3
+    rows = base_daily_sales(tables, wanted).repartition(wanted, "store_id", "date")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    by_key = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(store_id#\d+L?, date#\d+, ", line)]
+    # One for the sales and one for the traffic that is joined to them.
+    assert len(by_key) == 2 and all(f", {wanted})" in line for line in by_key), plan
