@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import promo_flag
+from shelfwise.functions.joins import ROWS_IN_A_TASK
 from shelfwise.functions.lineage import fresh_path, pin
 from shelfwise.operators import enrich, features, profile, quality, sketches
 from shelfwise.operators.evaluate import split_column
@@ -449,14 +450,15 @@ def quantile_rollup(spark, folder):
     return out
 
 
-def _streamed(spark, folder):
-    """Raw tables whose sales went through the stream in two shuffled files."""
-    tables = star.raw_tables(spark, folder)
+def _streamed(spark, folder, partitions):
+    """Raw tables whose sales went through the stream in two micro-batches of shuffled files."""
+    tables = star.raw_tables(spark, folder, partitions)
     path, checkpoint, target = (fresh_path(spark, name) for name in ("sales", "stream", "store-days"))
     sales = tables["sales"]
-    sales.repartition(2).write.parquet(path)
-    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = store_days.start(stream, target, checkpoint, delay="20000 days")
+    files = -(-sales.count() // (2 * ROWS_IN_A_TASK)) or 1
+    sales.repartition(2 * files).write.parquet(path)
+    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", files).parquet(path)
+    query = store_days.start(stream, target, checkpoint, delay="20000 days", partitions=partitions)
     query.awaitTermination()
     return store_days.tables_of(spark, target, {name: tables[name] for name in tables})
 
@@ -464,12 +466,13 @@ def _streamed(spark, folder):
 @query("segment_daily_base_stream", with_base("SELECT * FROM base"))
 def segment_daily_base_stream(spark, folder):
     """The segment-day base table from a stream of sales in any order."""
-    return rounded(segment_day.segment_daily_base(_streamed(spark, folder)), "oil_price")
+    partitions = sales_tasks(spark, folder)
+    return rounded(segment_day.segment_daily_base(_streamed(spark, folder, partitions)), "oil_price")
 
 
 @query("segment_daily_total_stream", with_base("SELECT cluster, date, units FROM base"))
 def segment_daily_total_stream(spark, folder):
-    return segment_day.segment_daily_total(_streamed(spark, folder))
+    return segment_day.segment_daily_total(_streamed(spark, folder, sales_tasks(spark, folder)))
 
 
 @query("merge_external_bucketed", SQL["merge_external"])

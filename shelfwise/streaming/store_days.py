@@ -8,11 +8,15 @@ does no harm.
 
 Late data. A day is kept in the state until the latest day seen is more than ``delay`` after it; sales
 that come later than that are not added, and ``late_rows`` tells how many there were.
+
+The state holds every kept (store, day, flag), so it is as large as the table. It lies in RocksDB on the
+disks of the executors, with a bounded cache, and not in their heaps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +30,16 @@ from shelfwise.sources.sinks import replace_months
 KEYS = ["store_id", "date", "on_promotion"]
 DELAY = "28 days"
 
+# Where the state lies and what its caches may take on one executor.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
 
 def store_day_stream(sales: DataFrame, delay: str = DELAY) -> DataFrame:
     """Changed rows (store_id, date, on_promotion, units, n_sales) of a stream of raw sales.
@@ -66,16 +80,37 @@ def merge_into(path: str):
     return merge
 
 
-def start(sales: DataFrame, path: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
-    """Read what is there, in as many micro-batches as the source makes, merge it and stop."""
-    return (
+@contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def start(
+    sales: DataFrame, path: str, checkpoint: str, delay: str = DELAY, partitions: int | None = None
+) -> StreamingQuery:
+    """Read what is there, in as many micro-batches as the source makes, merge it and stop.
+
+    A checkpoint keeps the number of partitions its first run had, by default as many as shuffle
+    partitions; it should follow the size of the table that is to be kept.
+    """
+    stream = (
         store_day_stream(sales, delay)
         .writeStream.outputMode("update")
         .foreachBatch(merge_into(path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    more = {} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)}
+    # The query copies the session's settings when it starts.
+    with _settings(sales.sparkSession, STATE_SETTINGS | more):
+        return stream.start()
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import joins
 from shelfwise.operators import campaign
 from shelfwise.operators.enrich import base_daily_sales
+from shelfwise.streaming import store_days
 
 SALES = "date date, store_nbr int, item_nbr int, unit_sales double, onpromotion string"
 
@@ -56,3 +57,22 @@ def test_dealt_fact_goes_to_its_buckets_without_another_exchange(spark, tmp_path
     by_key = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(store_id#\d+L?, date#\d+, ", line)]
     # One for the sales and one for the traffic that is joined to them.
     assert len(by_key) == 2 and all(f", {wanted})" in line for line in by_key), plan
+
+
+def test_stream_state_lies_on_disk_in_the_partitions_asked_for(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    _tables(spark)["sales"].repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(SALES).option("maxFilesPerTrigger", 2).parquet(source)
+    names = [*store_days.STATE_SETTINGS, "spark.sql.shuffle.partitions"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    query = store_days.start(stream, target, checkpoint, "100 days", partitions=3)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert {name: spark.conf.get(name, None) for name in names} == before
+    reports = [report for report in query.recentProgress if report["numInputRows"]]
+    assert len(reports) == 2
+    for report in reports:
+        (state,) = report["stateOperators"]
+        assert state["numShufflePartitions"] == 3 and "rocksdbPutCount" in state["customMetrics"]
+    sums = spark.read.parquet(target).agg(F.sum("units"), F.sum("n_rows")).first()
+    assert tuple(sums) == (6001.0, 3001)
