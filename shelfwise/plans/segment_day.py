@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import flag, share
-from shelfwise.functions.joins import attach, attach_daily
+from shelfwise.functions.joins import attach, attach_daily, deal
 from shelfwise.operators.enrich import (
     canonical_sales,
     daily_signals,
@@ -50,9 +50,13 @@ def store_day_promo(tables: Mapping[str, DataFrame], counted_only: bool = True)
     return joined.filter(F.col("cluster").isNotNull())
 
 
-def segment_daily_base(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Same result as :func:`shelfwise.operators.features.segment_daily_base` on the fact."""
-    rows = attach(store_day_promo(tables), store_traffic(tables["transactions"]), ["store_id", "date"])
+def segment_daily_base(tables: Mapping[str, DataFrame], partitions: int | None = None) -> DataFrame:
+    """Same result as :func:`shelfwise.operators.features.segment_daily_base` on the fact.
+
+    With ``partitions``, the store days are joined with their traffic in that many.
+    """
+    store_days = deal(store_day_promo(tables), partitions, "store_id", "date")
+    rows = attach(store_days, store_traffic(tables["transactions"]), ["store_id", "date"])
     n, traffic = F.col("n_sales"), F.col("store_transactions")
     sums = rows.groupBy("cluster", "date").agg(
         F.sum("units").alias("units"),

@@ -467,7 +467,7 @@ def _streamed(spark, folder, partitions):
 def segment_daily_base_stream(spark, folder):
     """The segment-day base table from a stream of sales in any order."""
     partitions = sales_tasks(spark, folder)
-    return rounded(segment_day.segment_daily_base(_streamed(spark, folder, partitions)), "oil_price")
+    return rounded(segment_day.segment_daily_base(_streamed(spark, folder, partitions), partitions), "oil_price")
 
 
 @query("segment_daily_total_stream", with_base("SELECT cluster, date, units FROM base"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import joins
 from shelfwise.operators import campaign
 from shelfwise.operators.enrich import base_daily_sales
+from shelfwise.plans import segment_day
 from shelfwise.streaming import store_days
 
 SALES = "date date, store_nbr int, item_nbr int, unit_sales double, onpromotion string"
@@ -76,3 +77,11 @@ def test_stream_state_lies_on_disk_in_the_partitions_asked_for(spark, tmp_path):
         assert state["numShufflePartitions"] == 3 and "rocksdbPutCount" in state["customMetrics"]
     sums = spark.read.parquet(target).agg(F.sum("units"), F.sum("n_rows")).first()
     assert tuple(sums) == (6001.0, 3001)
+
+
+def test_segment_days_of_dealt_store_days_are_the_same(spark):
+    tables = _tables(spark)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) + 5
+    dealt = segment_day.segment_daily_base(tables, wanted)
+    assert f", {wanted}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert _text(dealt) == _text(segment_day.segment_daily_base(tables))
